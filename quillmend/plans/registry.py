@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list = []
+from . import aggregates, matching, text
+
+FAMILIES = [matching, text, aggregates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
