@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, matching, text
+from . import aggregates, matching, spatial, text, windows
 
-FAMILIES = [matching, text, aggregates]
+FAMILIES = [matching, text, aggregates, windows, spatial]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
