@@ -26,30 +26,44 @@ def _number(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: expressions that use a value many times would otherwise repeat it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse(text: Column) -> Column:
     """era, year, month and day of a tolerant date; parts that are missing or out of range are null.
 
     ``text`` is in compatibility form. Without any mark, the first numbers are taken in order.
     """
+    return let(text, _parse)
+
+
+def _parse(text: Column) -> Column:
     era = era_name(F.regexp_extract(text, f"({ERA})", 1))
-    t = F.regexp_replace(text, f"^.*?(?:{ERA})(.*)$", "$1")
-    first, counted = F.regexp_extract(t, r"(元\s*年)", 1), F.regexp_extract(t, r"(\d+\D{0,2}年)", 1)
-    is_first = (first != "") & ((counted == "") | (F.instr(t, first) <= F.instr(t, counted)))
-    mark = F.when(is_first, first).otherwise(counted)
-    year = F.when(is_first, 1).otherwise(_number(counted, r"(\d+)"))
-    after_year = F.when(mark == "", t).otherwise(F.substring(t, F.instr(t, mark) + F.length(mark), F.length(t)))
-    month = _number(after_year, r"(\d+)\D{0,2}月")
-    at = F.instr(after_year, F.lit("月"))
-    after_month = F.substring(after_year, at + 1, F.length(after_year))
-    day = F.when(at > 0, _number(after_month, r"(\d+)")).otherwise(_number(t, r"(\d+)\D{0,2}日"))
-    numbers = F.regexp_extract_all(t, F.lit(r"(\d{1,4})"), F.lit(1))
-    bare = year.isNull() & month.isNull() & day.isNull()
-
-    def part(found: Column, i: int, high: int) -> Column:
-        value = F.when(bare, F.get(numbers, F.lit(i)).try_cast("int")).otherwise(found)
-        return F.when(value.between(1, high), value)
-
-    return F.struct(era.alias("era"), part(year, 0, 99).alias("year"), part(month, 1, 12).alias("month"), part(day, 2, 31).alias("day"))
+    return let(F.regexp_replace(text, f"^.*?(?:{ERA})(.*)$", "$1"), lambda t: _parts(era, t))
+
+
+def _parts(era: Column, t: Column) -> Column:
+    marks = F.struct(F.regexp_extract(t, r"(元\s*年)", 1).alias("first"), F.regexp_extract(t, r"(\d+\D{0,2}年)", 1).alias("counted"))
+
+    def from_year(m: Column) -> Column:
+        is_first = (m["first"] != "") & ((m["counted"] == "") | (F.instr(t, m["first"]) <= F.instr(t, m["counted"])))
+        year = F.when(is_first, 1).otherwise(_number(m["counted"], r"(\d+)"))
+        rest = let(F.when(is_first, m["first"]).otherwise(m["counted"]), lambda k: F.when(k == "", t).otherwise(F.substring(t, F.instr(t, k) + F.length(k), F.length(t))))
+        return F.struct(year.alias("year"), rest.alias("rest"))
+
+    def from_rest(y: Column) -> Column:
+        at = F.instr(y["rest"], F.lit("月"))
+        day = F.when(at > 0, _number(F.substring(y["rest"], at + 1, F.length(y["rest"])), r"(\d+)")).otherwise(_number(t, r"(\d+)\D{0,2}日"))
+        return F.struct(y["year"].alias("year"), _number(y["rest"], r"(\d+)\D{0,2}月").alias("month"), day.alias("day"), F.regexp_extract_all(t, F.lit(r"(\d{1,4})"), F.lit(1)).alias("numbers"))
+
+    def checked(f: Column) -> Column:
+        bare = f["year"].isNull() & f["month"].isNull() & f["day"].isNull()
+        one = lambda n, i, high: let(F.when(bare, F.get(f["numbers"], F.lit(i)).try_cast("int")).otherwise(f[n]), lambda v: F.when(v.between(1, high), v)).alias(n)
+        return F.struct(era.alias("era"), one("year", 0, 99), one("month", 1, 12), one("day", 2, 31))
+
+    return let(let(let(marks, from_year), from_rest), checked)
 
 
 def written(parts: Column) -> Column:
@@ -66,10 +80,13 @@ def gregorian(era: Column, year: Column, month: Column, day: Column) -> Column:
 
 def enrich(text: Column, era: Column | None = None, fixed: bool = False) -> Column:
     """Parts, era, written form and Gregorian form; a given era fills in, or with ``fixed`` overrides, the one in the text."""
-    p = parse(text)
     given = era_name(era) if era is not None else F.lit("")
-    name = F.when((given != "") & (F.lit(fixed) | (p["era"] == "")), given).otherwise(p["era"])
-    return F.struct(name.alias("era"), p["year"].alias("year"), p["month"].alias("month"), p["day"].alias("day"), written(p).alias("text"), gregorian(name, p["year"], p["month"], p["day"]).alias("gregorian"))
+
+    def named(p: Column) -> Column:
+        name = F.when((given != "") & (F.lit(fixed) | (p["era"] == "")), given).otherwise(p["era"])
+        return let(name, lambda e: F.struct(e.alias("era"), p["year"].alias("year"), p["month"].alias("month"), p["day"].alias("day"), written(p).alias("text"), gregorian(e, p["year"], p["month"], p["day"]).alias("gregorian")))
+
+    return let(parse(text), named)
 
 
 def full_date(iso: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, matching, spatial, text, windows
+from . import aggregates, matching, records, spatial, text, windows
 
-FAMILIES = [matching, text, aggregates, windows, spatial]
+FAMILIES = [matching, text, aggregates, windows, spatial, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
