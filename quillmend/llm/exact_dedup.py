@@ -75,8 +75,8 @@ def _pieces(bits: int, flush_rows: int = 500_000):
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of a task's segments -> its segments of "twice", packed. Holds two bit arrays a segment."""
+def _merged(batches: Iterator[pa.RecordBatch], which: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of a task's segments -> its segments of "once" (0) or "twice" (1), packed. Holds two bit arrays a segment."""
     arrays: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for segment, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
@@ -87,16 +87,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again[new] |= seen[new]
             again[np.frombuffer(twice, np.uint32)] = True
             seen[new] = True
-    packed = [zlib.compress(np.packbits(again, bitorder="little").tobytes(), 1) for _, again in arrays.values()]
+    packed = [zlib.compress(np.packbits(again, bitorder="little").tobytes(), 1) for again in (pair[which] for pair in arrays.values())]
     yield pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array(packed, pa.binary())], ["segment", "bits"])
 
 
-def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The packed "twice" array over a one-column table of 64-bit hashes: bits/8 bytes, at most max_bits/8."""
+def filter_of(hashes: DataFrame, bits: int, repeated: bool) -> np.ndarray:
+    """The packed "twice" or "once" array over a one-column table of 64-bit hashes: bits/8 bytes, at most max_bits/8."""
     spark = hashes.sparkSession
     pieces = hashes.mapInArrow(_pieces(bits), "segment int, once binary, twice binary")
     wide = max(1, min(bits // SEGMENT_BITS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    merged = pieces.repartition(wide, "segment").mapInArrow(_merged, "segment int, bits binary")
+    merged = pieces.repartition(wide, "segment").mapInArrow(lambda batches: _merged(batches, int(repeated)), "segment int, bits binary")
     out = np.zeros(bits // 8, np.uint8)
     for segment, packed in merged.collect():
         at = segment * (SEGMENT_BITS // 8)
@@ -104,17 +104,21 @@ def repeated_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def in_filter(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether all cells of each hash are set."""
+    cell = cells(hashes, bits)
+    return ((packed[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
 def maybe_repeated(df: DataFrame, text: str = "text", max_bits: int = 1 << 30):
     """A function of a 64-bit hash column that is false only where the text certainly occurs once."""
     bits = filter_bits(df.count(), max_bits=max_bits)
-    twice = repeated_filter(df.select(F.xxhash64(text_of(text)).alias("h")), bits)
+    twice = filter_of(df.select(F.xxhash64(text_of(text)).alias("h")), bits, repeated=True)
     shared = df.sparkSession.sparkContext.broadcast(twice)
 
     @F.pandas_udf("boolean")
     def test(hashes: pd.Series) -> pd.Series:
-        cell = cells(hashes.to_numpy(), bits)
-        hit = (shared.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-        return pd.Series(hit.all(axis=0))
+        return pd.Series(in_filter(shared.value, hashes.to_numpy(), bits))
 
     return test
 

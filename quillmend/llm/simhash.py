@@ -9,6 +9,16 @@ meet in the table are linked to their neighbour in order, and the complete
 distance is verified. At most 65 fingerprints lie around a point, so no bucket
 can grow, whatever the groups of copies; work is linear in distinct fingerprints.
 
+``similar_groups`` serves stages that ask for a similarity of shingle sets
+instead of a distance in 64 bits: its fingerprints have 512 bits, of which a
+segment's bits are enough to make a table entry rare at the table's size. A
+ball of radius one inside every segment is enumerated; probes that meet no
+entry are dropped by a Bloom filter before they shuffle. Each entry and probe
+of a bucket is compared with up to four of its entries, chosen by order, so a
+bucket of any size costs in proportion to its size, and pairs are verified by
+complete distance. The distance for a similarity s is that of the angle between
+the shingle vectors, whose cosine is 2s / (1 + s) for sets of like size.
+
 Components are found by hooking each node to its smallest neighbour, pointer
 jumping and contracting, on fingerprints only; documents join at the end.
 Defined results: a null text is empty; no words gives fingerprint zero, which
@@ -29,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import HOT_SHARE, cut, hot_keys, join_hot, small_batches, without_ids
+from .exact_dedup import filter_bits, filter_of, in_filter
 
 SEED = 42
 SEGMENTS = 4
@@ -137,8 +148,115 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     return join_hot(docs, of, "fp", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """The rows whose id is the smallest of their component, with all their columns."""
-    groups = near_groups(df, doc_id, text, words)
-    gone = cut(groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc_id)).distinct())
+LANES = 8
+#: So much rarer than one is a random match of a probe in its table.
+SPARSE_BITS = 6
+MIX = 0x9E3779B97F4A7C15
+ORDERS = (0, 0x5DEECE66D2C35A17)
+
+
+def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
+    """LANES unsigned 64-bit SimHashes of a text, each from the shingle hashes mixed anew."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return np.zeros(LANES, np.uint64)
+    salts = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(MIX))[None, :]
+    counts = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), 1024):
+        h = hashes[at : at + 1024, None] ^ salts
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_distance(similarity: float) -> int:
+    """Bits of a wide fingerprint in which texts of this similarity differ on average, and a standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(64 * LANES * share + np.sqrt(64 * LANES * share * (1 - share)))
+
+
+def segment_width(rows: int) -> int:
+    """Bits of a segment at which a random match among so many rows is rare."""
+    return int(min(48, max(20, np.ceil(np.log2(max(2, rows))) + SPARSE_BITS)))
+
+
+def segment_keys(lanes: np.ndarray, width: int, ball: bool) -> np.ndarray:
+    """Table keys of (rows, LANES) fingerprints: one a segment, or with ``ball`` those one bit away, a row of keys each."""
+    bits = np.unpackbits(np.ascontiguousarray(lanes.astype("<u8")).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
+    n = bits.shape[1] // width
+    powers = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    values = (bits[:, : n * width].reshape(len(lanes), n, width) * powers).sum(axis=2, dtype=np.uint64)
+    values |= np.arange(n, dtype=np.uint64) << np.uint64(width)
+    if ball:
+        values = (values[:, :, None] ^ powers).reshape(len(lanes), -1)
+    mixed = (values ^ (values >> np.uint64(29))) * np.uint64(MIX)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64).reshape(len(lanes), -1)
+
+
+def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", words: int = 5, max_bits: int = 1 << 30) -> DataFrame:
+    """doc_id and component_id of rows that are not alone in their component; rows with a null id are left out."""
+    spark = df.sparkSession
+    small_batches(spark)
+    names = [f"f{i}" for i in range(LANES)]
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, LANES).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(LANES))], ["doc_id", *names])
+
+    lanes = ", ".join(f"{n} bigint" for n in names)
+    docs = cut(df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(marks, f"doc_id bigint, {lanes}"))
+    same = docs.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    nodes = cut(same)
+    rows = nodes.count()
+    width = segment_width(rows)
+    bits = filter_bits(rows * (64 * LANES // width), max_bits=max_bits)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = segment_keys(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64), width, False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], ["node", "key"])
+
+    entries = nodes.select("node", *names).mapInArrow(own, "node bigint, key bigint")
+    shared = spark.sparkContext.broadcast(filter_of(entries.select("key"), bits, repeated=False))
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = segment_keys(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64), width, True)
+            of = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+            keys = keys.ravel()
+            met = in_filter(shared.value, keys, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(of[met]), pa.array(keys[met])], ["node", "key"])
+
+    probed = nodes.select("node", *names).mapInArrow(probes, "node bigint, key bigint")
+    moved = [F.col("node").bitwiseXOR(F.lit(c).cast("bigint")) for c in ORDERS]
+    picks = [f(m).alias(f"p{i}") for i, (m, f) in enumerate((m, f) for m in moved for f in (F.min, F.max))]
+    chosen = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *picks))
+    meets = F.array(*(F.col(f"p{i}").bitwiseXOR(F.lit(ORDERS[i // 2]).cast("bigint")) for i in range(len(picks))))
+    hot = [r[0] for r in chosen.filter(F.col("n") > max(50, rows // HOT_SHARE)).select("key").limit(4 * HOT_SHARE).collect()]
+    crowded = join_hot(entries, chosen.filter("n > 1").select("key", meets.alias("meets")), "key", hot)
+    probing = join_hot(probed, chosen.select("key", meets.alias("meets")), "key", hot)
+    candidates = crowded.select("node", F.explode(F.array_distinct("meets")).alias("other")).unionByName(probing.select("node", F.explode(F.array_distinct("meets")).alias("other")))
+    pairs = cut(candidates.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+
+    def with_lanes(to: DataFrame, column: str, mark: str) -> DataFrame:
+        side = nodes.select(F.col("node").alias(column), *(F.col(n).alias(f"{mark}{n}") for n in names))
+        return join_hot(to, side, column, hot_keys(to, column, max(rows, 50 * HOT_SHARE)))
+
+    distance = sum((F.bit_count(F.col(f"l{n}").bitwiseXOR(F.col(f"r{n}"))) for n in names), F.lit(0))
+    near = cut(with_lanes(cut(with_lanes(pairs, "a", "l")), "b", "r").filter(distance <= wide_distance(similarity)).select("a", "b"))
+    roots = components(near).withColumnRenamed("root", "component_id")
+    of_node = nodes.select("node", "n", *names).join(roots, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")).filter((F.col("n") > 1) | (F.col("component_id") != F.col("node")))
+    crowd = cut(of_node.select(*names, "component_id").withColumn("mark", F.xxhash64(*names)))
+    members = docs.withColumn("mark", F.xxhash64(*names))
+    copies = [r[0] for r in nodes.filter(F.col("n") > max(50, rows // HOT_SHARE)).select(F.xxhash64(*names)).collect()]
+    return join_hot(members.select("doc_id", "mark"), crowd.groupBy("mark").agg(F.min("component_id").alias("component_id")), "mark", copies).select("doc_id", "component_id")
+
+
+def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows whose id is the smallest of their component of similar texts, with all their columns; null ids stay."""
+    groups = similar_groups(df, similarity, doc_id, text, words)
+    gone = cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
     return without_ids(df, gone, doc_id)
