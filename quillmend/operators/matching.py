@@ -143,7 +143,8 @@ def match_directory(readings: DataFrame, text: str, region: str, directory: Data
     """The k best directory names of each reading in its region: text, region, rank, name, score.
 
     The score is the best over the reading's forms and the name's core forms of at
-    least half the reading's length. ``form_of`` makes match forms. Readings and
+    least half the reading's length. ``form_of`` makes match forms of array items, so it
+    must be built in (compose beforehand). Readings and
     names meet on the region, so a partitioned directory is pruned.
     """
     left = readings.select(text, region).distinct().withColumn("__q", F.transform(query_forms(F.col(text), ends), form_of))
