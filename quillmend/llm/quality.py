@@ -125,8 +125,8 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 12, rate: float = 1.0, seed: int = 7) -> Scorer:
-    """Stochastic gradient descent over (buckets, counts) examples; the last fifth only calibrates."""
+def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 12, rate: float = 1.0, seed: int = 7, least_steps: int = 6000) -> Scorer:
+    """Stochastic gradient descent over (buckets, counts) examples, with more epochs where these are few; a fifth only calibrates, if it has enough of either label."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels)
     order = rng.permutation(len(labels))
@@ -136,6 +136,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epoc
     share = np.bincount(labels[fit], minlength=2) / len(fit)
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-least_steps // len(fit)))
     step, steps = 0, epochs * len(fit)
     for _ in range(epochs):
         for i in rng.permutation(fit):
@@ -155,7 +156,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epoc
             vectors[found] -= np.outer(weight, (now * back))
     model = Scorer(vectors @ (layer[1] - layer[0]), float(bias[1] - bias[0]))
     margins = np.array([float(model.weights[b] @ c) / max(1, c.sum()) + model.bias for b, c in examples])
-    use = held if len(set(labels[held])) == 2 else fit
+    use = held if np.bincount(labels[held], minlength=2).min() >= 10 else order
     model.centre, spread = best_cut(margins[use], labels[use])
     model.slope = 4 / max(spread, 1e-6)
     return model
