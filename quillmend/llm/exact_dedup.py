@@ -46,8 +46,12 @@ def cells(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((low + steps * high) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def _pieces(bits: int, flush_rows: int = 500_000):
-    """Hash batches -> sparse pieces (segment, cells hit once, cells hit again)."""
+def first_column(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False)
+
+
+def _pieces(bits: int, hashes_of=first_column, flush_rows: int = 200_000):
+    """Batches -> sparse pieces (segment, cells hit once, cells hit again) of the hashes that they hold."""
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
         cell, hits = np.unique(cells(np.concatenate(held), bits), return_counts=True)
@@ -64,8 +68,8 @@ def _pieces(bits: int, flush_rows: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            held.append(batch.column(0).to_numpy(zero_copy_only=False))
-            rows += batch.num_rows
+            held.append(hashes_of(batch))
+            rows += len(held[-1])
             if rows >= flush_rows:
                 yield emit(held)
                 held, rows = [], 0
@@ -91,10 +95,10 @@ def _merged(batches: Iterator[pa.RecordBatch], which: int) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(list(arrays), pa.int32()), pa.array(packed, pa.binary())], ["segment", "bits"])
 
 
-def filter_of(hashes: DataFrame, bits: int, repeated: bool) -> np.ndarray:
-    """The packed "twice" or "once" array over a one-column table of 64-bit hashes: bits/8 bytes, at most max_bits/8."""
-    spark = hashes.sparkSession
-    pieces = hashes.mapInArrow(_pieces(bits), "segment int, once binary, twice binary")
+def filter_of(rows: DataFrame, bits: int, repeated: bool, hashes_of=first_column) -> np.ndarray:
+    """The packed "twice" or "once" array over the 64-bit hashes of a table's batches: bits/8 bytes, at most max_bits/8."""
+    spark = rows.sparkSession
+    pieces = rows.mapInArrow(_pieces(bits, hashes_of), "segment int, once binary, twice binary")
     wide = max(1, min(bits // SEGMENT_BITS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     merged = pieces.repartition(wide, "segment").mapInArrow(lambda batches: _merged(batches, int(repeated)), "segment int, bits binary")
     out = np.zeros(bits // 8, np.uint8)

@@ -21,7 +21,7 @@ SPACE = "\t-\r \x85\xa0"
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 #: What one worker keeps beside any shared table.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 500_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -214,30 +214,34 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id
     width = segment_width(rows)
     bits = filter_bits(rows * (64 * LANES // width), max_bits=max_bits)
 
+    def keys_of(batch: pa.RecordBatch, ball: bool = False) -> np.ndarray:
+        return segment_keys(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64), width, ball)
+
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = segment_keys(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64), width, False)
+            keys = keys_of(batch)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], ["node", "key"])
 
-    entries = nodes.select("node", *names).mapInArrow(own, "node bigint, key bigint")
-    shared = spark.sparkContext.broadcast(filter_of(entries.select("key"), bits, repeated=False))
+    marked = nodes.select("node", *names)
+    entries = marked.mapInArrow(own, "node bigint, key bigint")
+    shared = spark.sparkContext.broadcast(filter_of(marked, bits, False, lambda batch: keys_of(batch).ravel()))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = segment_keys(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64), width, True)
+            keys = keys_of(batch, ball=True)
             of = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
             keys = keys.ravel()
             met = in_filter(shared.value, keys, bits)
             yield pa.RecordBatch.from_arrays([pa.array(of[met]), pa.array(keys[met])], ["node", "key"])
 
-    probed = nodes.select("node", *names).mapInArrow(probes, "node bigint, key bigint")
+    probed = marked.mapInArrow(probes, "node bigint, key bigint")
     moved = [F.col("node").bitwiseXOR(F.lit(c).cast("bigint")) for c in ORDERS]
     picks = [f(m).alias(f"p{i}") for i, (m, f) in enumerate((m, f) for m in moved for f in (F.min, F.max))]
     chosen = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *picks))
-    meets = F.array(*(F.col(f"p{i}").bitwiseXOR(F.lit(ORDERS[i // 2]).cast("bigint")) for i in range(len(picks))))
+    met = [F.col(f"p{i}").bitwiseXOR(F.lit(ORDERS[i // 2]).cast("bigint")) for i in range(len(picks))]
     hot = [r[0] for r in chosen.filter(F.col("n") > max(50, rows // HOT_SHARE)).select("key").limit(4 * HOT_SHARE).collect()]
-    crowded = join_hot(entries, chosen.filter("n > 1").select("key", meets.alias("meets")), "key", hot)
-    probing = join_hot(probed, chosen.select("key", meets.alias("meets")), "key", hot)
+    crowded = join_hot(entries, chosen.filter("n > 1").select("key", F.array(*met).alias("meets")), "key", hot)
+    probing = join_hot(probed, chosen.select("key", F.array(*met).alias("meets")), "key", hot)
     candidates = crowded.select("node", F.explode(F.array_distinct("meets")).alias("other")).unionByName(probing.select("node", F.explode(F.array_distinct("meets")).alias("other")))
     pairs = cut(candidates.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
