@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches small enough for long texts. Read when a plan runs, so it stays set."""
+    """Keep Arrow batches small enough for long texts, by rows and bytes. Read when a plan runs, so it stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def cut(df: DataFrame) -> DataFrame:
