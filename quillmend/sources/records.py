@@ -201,3 +201,34 @@ def markdown(entries: DataFrame, doc: str = "doc", section: str = "section", sec
     d = s.groupBy(doc).agg(ordered.alias("o"))
     checks = F.flatten(F.transform("o", lambda x: x["low"]))
     return d.select(doc, F.concat(F.array_join(F.transform("o", lambda x: x["b"]), "\n\n"), F.when(F.size(checks) > 0, F.concat(F.lit("\n\n## 要確認\n- "), F.array_join(checks, "\n- "))).otherwise("")).alias("markdown"))
+
+
+def persisted(records: DataFrame, path: str, heavy: list[str]) -> None:
+    """Save records without their heavy columns (pictures)."""
+    records.drop(*heavy).write.mode("overwrite").parquet(path)
+
+
+def event_log(events: DataFrame, path: str, kind: str = "csv") -> None:
+    """Save an event log as CSV or JSON lines."""
+    writer = events.write.mode("overwrite")
+    writer.option("header", "true").csv(path) if kind == "csv" else writer.json(path)
+
+
+def lexicon_json(terms: DataFrame) -> DataFrame:
+    """One JSON per lexicon, entries in order, in the form that ``lexicons`` reads: lexicon, json."""
+    entry = F.struct("ordinal", F.struct(F.col("term").alias("name"), F.col("code").alias("icd10"), F.col("flagged").alias("tokutei")).alias("e"))
+    listed = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"])
+    return terms.groupBy("lexicon").agg(F.to_json(F.struct(F.col("lexicon").alias("label"), listed.alias("entries"))).alias("json"))
+
+
+def overview(entries: DataFrame, lexicon_terms: DataFrame) -> DataFrame:
+    """How much there is: documents, fields, lexicons and terms, in one row."""
+    a = entries.agg(F.count_distinct("doc").alias("documents"), F.count_distinct("field").alias("fields"))
+    b = lexicon_terms.agg(F.count_distinct("lexicon").alias("lexicons"), F.count(F.lit(1)).alias("terms"))
+    return a.join(F.broadcast(b))
+
+
+def failure_markdown(records: DataFrame, doc: str = "doc", warnings: str = "warnings", read: str = "was_read") -> DataFrame:
+    """A page for each record: what to tell where nothing was read, else its text."""
+    told = F.concat(F.lit("# 読み取れませんでした\n\n- "), F.array_join(F.col(warnings), "\n- "))
+    return records.select(doc, F.when(F.col(read), F.col("markdown")).otherwise(told).alias("markdown"))

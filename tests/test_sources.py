@@ -56,3 +56,38 @@ def test_crawl_is_bounded(spark):
     seeds = spark.createDataFrame([("a",)], "node string")
     assert [tuple(r) for r in Q.reachable(edges, seeds, 2, 10).collect()] == [("a", 0), ("b", 1), ("e", 1), ("c", 2)]
     assert Q.reachable(edges, seeds, 2, 2).count() == 2
+
+
+def test_lexicons_round_trip(spark, tmp_path):
+    terms = spark.createDataFrame([("d", 0, "a", "", False), ("d", 1, "b", "B1", True)], "lexicon string, ordinal int, term string, code string, flagged boolean")
+    (tmp_path / "d.json").write_text(Q.lexicon_json(terms).first()["json"])
+    assert [tuple(r) for r in Q.lexicons(spark, str(tmp_path)).orderBy("ordinal").collect()] == [tuple(r) for r in terms.collect()]
+    e = spark.createDataFrame([(1, "x"), (2, "x")], "doc long, field string")
+    assert tuple(Q.overview(e, terms).first()) == (2, 1, 1, 2)
+
+
+def test_saving(spark, tmp_path):
+    rows = spark.createDataFrame([(1, b"x", ["w"], False, "m")], "doc long, image binary, warnings array<string>, was_read boolean, markdown string")
+    Q.persisted(rows, str(tmp_path / "p"), ["image"])
+    assert spark.read.parquet(str(tmp_path / "p")).columns == ["doc", "warnings", "was_read", "markdown"]
+    Q.event_log(rows.select("doc", "markdown"), str(tmp_path / "c"))
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).first()["markdown"] == "m"
+    assert "w" in Q.failure_markdown(rows).first()["markdown"]
+
+
+def test_region_partition_is_pruned(spark, tmp_path):
+    from quillmend.operators.forms import region_of, region_partition
+
+    spark.createDataFrame([("A", 1), ("B", 2)], "pref string, n int").write.partitionBy("pref").parquet(str(tmp_path / "d"))
+    got = region_partition(spark, str(tmp_path / "d"), "pref", ["B"])
+    assert [r["n"] for r in got.collect()] == [2] and "PushedFilters: [], ReadSchema: struct<n" in got._jdf.queryExecution().toString()
+    sheets = spark.createDataFrame([("一覧 [茨城県]", "s", "f"), ("", "東京都", "f"), ("", "s", "list_08_x"), ("", "s", "東京.xlsx"), ("", "s", "Tokyo.xlsx"), ("", "s", "f")], "h string, s string, f string")
+    out = sheets.select(region_of(F.col("h"), F.col("s"), F.col("f"), ["茨城県", "東京都"], {"08": "茨城県"}, {"tokyo": "東京都"}, "sole")).collect()
+    assert [r[0] for r in out] == ["茨城県", "東京都", "茨城県", "東京都", "東京都", "sole"]
+
+
+def test_directory_rows(spark):
+    from quillmend.operators.forms import directory_rows
+
+    rows = spark.createDataFrame([("s", 1, "1", "c1", "甲病院", "〒300-0001 つくば", "029", ["x"]), ("s", 2, "", "", "", "", "", ["現存"]), ("s", 3, "2", "c2", "乙病院", "〒300-0002 土浦", "029", ["x"]), ("s", 4, "", "", "", "", "", ["廃止"])], "sheet string, i int, no string, code string, name string, address string, phone string, status_cells array<string>")
+    assert [tuple(r)[2:] for r in directory_rows(rows, ["sheet"], "i").collect()] == [("c1", "甲病院", "300-0001", "つくば", "029", "現存")]
