@@ -185,9 +185,9 @@ def script_score(text: Column, script: str = JAPANESE, implausible: str = PLAUSI
     """How much text looks like the script, 0 to 1: plausible characters and those of the script; mostly digits count as plausible."""
     t = F.trim(text)
     n = F.length(t)
-    valid = F.length(F.regexp_replace(t, implausible, "")) / n
-    own = F.length(F.regexp_replace(t, f"[^{script}]", "")) / n
-    digits = F.length(F.regexp_replace(t, r"[^0-9０-９]", ""))
+    valid = F.length(F.regexp_replace(t, f"{implausible}+", "")) / n
+    own = F.length(F.regexp_replace(t, f"[^{script}]+", "")) / n
+    digits = F.length(F.regexp_replace(t, r"[^0-9０-９]+", ""))
     mixed = F.least(F.lit(1.0), valid * 0.6 + F.least(own * 2, F.lit(1.0)) * 0.4)
     return F.when(text.isNull(), None).when(n == 0, 1.0).otherwise(F.round(F.when(digits >= n * 0.6, valid).otherwise(mixed), 3))
 

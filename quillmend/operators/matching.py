@@ -105,14 +105,21 @@ def suggest(lexicon: DataFrame, term: str, form: str, ordinal: str, queries: Dat
 
 
 def drop_boilerplate(lines: DataFrame, form: str, boilerplate: DataFrame, phrase: str, alike: float = S.LINES_ALIKE, length_ratio: float = 0.70) -> DataFrame:
-    """Lines that are no near copy of a printed phrase of about their length."""
-    one = F.broadcast(boilerplate.agg(F.collect_set(phrase).alias("phrases")))
+    """Lines that are no near copy of a printed phrase of about their length.
 
-    def same(p: Column) -> Column:
-        ratio = F.least(F.length(p), F.length(form)) / F.greatest(F.length(p), F.length(form))
-        return F.when(ratio < length_ratio, False).when(p == F.col(form), True).otherwise(S.similarity(F.col(form), p) >= alike)
+    An edit changes two bigrams at most, so lines that share too few of a
+    phrase's bigrams are passed over before any distance is computed.
+    """
+    packed = boilerplate.select(phrase).distinct().agg(F.collect_list(F.struct(F.col(phrase).alias("p"), S.bigrams(F.col(phrase)).alias("g"))).alias("phrases"))
+
+    def same(x: Column) -> Column:
+        p, n, m = x["p"], F.length(form), F.length(x["p"])
+        shared = F.size(F.array_intersect(x["g"], "__g"))
+        fewest = F.least(F.size(x["g"]) - 2 * (1 - alike) * (m + 2), alike / 2 * (F.size(x["g"]) + F.size("__g")))
+        return F.when(F.least(m, n) / F.greatest(m, n) < length_ratio, False).when(p == F.col(form), True).when(shared < fewest, False).otherwise(S.similarity(F.col(form), p) >= alike)
 
-    seen = lines.select(form).distinct().join(one).filter(F.exists("phrases", same)).select(form)
+    distinct = lines.select(form).distinct().withColumn("__g", S.bigrams(F.col(form)))
+    seen = distinct.join(F.broadcast(packed)).filter(F.exists("phrases", same)).select(form)
     return lines.join(seen, form, "left_anti")
 
 
