@@ -13,10 +13,11 @@ can grow, whatever the groups of copies; work is linear in distinct fingerprints
 instead of a distance in 64 bits: its fingerprints have 512 bits, of which a
 segment's bits are enough to make a table entry rare at the table's size. A
 ball of radius one inside every segment is enumerated; probes that meet no
-entry are dropped by a Bloom filter before they shuffle. Each entry and probe
-of a bucket is compared with up to four of its entries, chosen by order, so a
-bucket of any size costs in proportion to its size, and pairs are verified by
-complete distance. The distance for a similarity s is that of the angle between
+entry are dropped by a Bloom filter before they shuffle. Each entry of a bucket
+is compared with up to four of its entries, the first and last by two orders,
+and each probe, of which there are many more, with up to two; so a bucket of
+any size costs in proportion to its size, and pairs are verified by complete
+distance. The distance for a similarity s is that of the angle between
 the shingle vectors, whose cosine is 2s / (1 + s) for sets of like size.
 
 Components are found by hooking each node to its smallest neighbour, pointer
@@ -241,7 +242,7 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id
     met = [F.col(f"p{i}").bitwiseXOR(F.lit(ORDERS[i // 2]).cast("bigint")) for i in range(len(picks))]
     hot = [r[0] for r in chosen.filter(F.col("n") > max(50, rows // HOT_SHARE)).select("key").limit(4 * HOT_SHARE).collect()]
     crowded = join_hot(entries, chosen.filter("n > 1").select("key", F.array(*met).alias("meets")), "key", hot)
-    probing = join_hot(probed, chosen.select("key", F.array(*met).alias("meets")), "key", hot)
+    probing = join_hot(probed, chosen.select("key", F.array(*met[:2]).alias("meets")), "key", hot)
     candidates = crowded.select("node", F.explode(F.array_distinct("meets")).alias("other")).unionByName(probing.select("node", F.explode(F.array_distinct("meets")).alias("other")))
     pairs = cut(candidates.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
