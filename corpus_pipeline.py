@@ -25,7 +25,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_topics(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates by fingerprints of five-word shingles, the document with the smallest id."""
+    """Of documents linked by a similarity of 0.8 of five-word shingles, the one with the smallest id."""
     return simhash.keep_one_of_each(docs, words=5)
 
 

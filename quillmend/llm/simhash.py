@@ -10,15 +10,15 @@ distance is verified. At most 65 fingerprints lie around a point, so no bucket
 can grow, whatever the groups of copies; work is linear in distinct fingerprints.
 
 ``similar_groups`` serves stages that ask for a similarity of shingle sets
-instead of a distance in 64 bits: its fingerprints have 512 bits, of which a
-segment's bits are enough to make a table entry rare at the table's size. A
-ball of radius one inside every segment is enumerated; probes that meet no
-entry are dropped by a Bloom filter before they shuffle. Each entry of a bucket
-is compared with up to four of its entries, the first and last by two orders,
-and each probe, of which there are many more, with up to two; so a bucket of
-any size costs in proportion to its size, and pairs are verified by complete
-distance. The distance for a similarity s is that of the angle between
-the shingle vectors, whose cosine is 2s / (1 + s) for sets of like size.
+instead of a distance in 64 bits, and is exact. In one order of all shingles,
+sets of similarity s share one of the first n - ceil(s n) + 1 of each set's n
+(uncommon shingles come first, so few unrelated texts meet). Prefix shingles
+that occur once are dropped by a Bloom filter before they shuffle. Each node is
+first compared with up to two that share a bucket with it; when these links
+are contracted, all pairs of a bucket that are still in different components
+are compared, in blocks. Sizes and sketches rule pairs out without error, and
+the complete sets decide. Work can grow with the square of a bucket only where
+its texts stay in different components.
 
 Components are found by hooking each node to its smallest neighbour, pointer
 jumping and contracting, on fingerprints only; documents join at the end.
@@ -149,115 +149,210 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     return join_hot(docs, of, "fp", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-LANES = 8
-#: So much rarer than one is a random match of a probe in its table.
-SPARSE_BITS = 6
-MIX = 0x9E3779B97F4A7C15
-ORDERS = (0, 0x5DEECE66D2C35A17)
+#: Texts whose shingles are counted: one in so many, by a hash of the id.
+COMMON_SHARE = 16
+#: Times that a common shingle is seen in these, and the most that are listed. The list only sets an order, so it never changes a result.
+COMMON_SEEN = 3
+COMMON_MOST = 200_000
+#: Ranges of a node's sketch, and of the one that goes with each entry of a bucket.
+CELLS, FEW_CELLS = 256, 64
+#: Entries of a bucket that meet in one row, give or take.
+BLOCK = 256
+ORDERS = (1, 2)
 
 
-def wide_fingerprint(text: str | None, words: int) -> np.ndarray:
-    """LANES unsigned 64-bit SimHashes of a text, each from the shingle hashes mixed anew."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return np.zeros(LANES, np.uint64)
-    salts = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(MIX))[None, :]
-    counts = np.zeros(64 * LANES, np.int64)
-    for at in range(0, len(hashes), 1024):
-        h = hashes[at : at + 1024, None] ^ salts
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
-
-
-def wide_distance(similarity: float) -> int:
-    """Bits of a wide fingerprint in which texts of this similarity differ on average, and a standard deviation more."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(64 * LANES * share + np.sqrt(64 * LANES * share * (1 - share)))
-
-
-def segment_width(rows: int) -> int:
-    """Bits of a segment at which a random match among so many rows is rare."""
-    return int(min(48, max(20, np.ceil(np.log2(max(2, rows))) + SPARSE_BITS)))
-
-
-def segment_keys(lanes: np.ndarray, width: int, ball: bool) -> np.ndarray:
-    """Table keys of (rows, LANES) fingerprints: one a segment, or with ``ball`` those one bit away, a row of keys each."""
-    bits = np.unpackbits(np.ascontiguousarray(lanes.astype("<u8")).view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
-    n = bits.shape[1] // width
-    powers = np.uint64(1) << np.arange(width, dtype=np.uint64)
-    values = (bits[:, : n * width].reshape(len(lanes), n, width) * powers).sum(axis=2, dtype=np.uint64)
-    values |= np.arange(n, dtype=np.uint64) << np.uint64(width)
-    if ball:
-        values = (values[:, :, None] ^ powers).reshape(len(lanes), -1)
-    mixed = (values ^ (values >> np.uint64(29))) * np.uint64(MIX)
-    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64).reshape(len(lanes), -1)
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in order."""
+    return np.unique(shingle_hashes(text, words))
 
 
-def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", words: int = 5, max_bits: int = 1 << 30) -> DataFrame:
-    """doc_id and component_id of rows that are not alone in their component; rows with a null id are left out."""
-    spark = df.sparkSession
-    small_batches(spark)
-    names = [f"f{i}" for i in range(LANES)]
+def set_mark(shingles: np.ndarray) -> int:
+    """A signed long that stands for a set of shingles."""
+    mark = xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED)
+    return mark - (1 << 64) if mark >> 63 else mark
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def set_prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles, uncommon ones before common ones, of which sets of this similarity share at least one."""
+    if not len(shingles):
+        return shingles
+    place = np.searchsorted(common, shingles)
+    listed = np.append(common, np.uint64(0))[place] == shingles if len(common) else np.zeros(len(shingles), bool)
+    listed &= place < len(common)
+    keep = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1
+    return np.concatenate([shingles[~listed], shingles[listed]])[:keep]
+
+
+def set_sketch(shingles: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """How many shingles fall in each of so many ranges, 255 at most: sketches differ by no more than the sets do."""
+    shift = np.uint64(65 - cells.bit_length())
+    return np.minimum(np.bincount((shingles >> shift).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+
+
+def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, sketch_a: np.ndarray, sketch_b: np.ndarray, similarity: float) -> np.ndarray:
+    """False only where sizes or sketches rule the similarity out."""
+    apart = np.abs(sketch_a.astype(np.int16) - sketch_b).sum(axis=1, dtype=np.int64)
+    most = (1 - similarity) / (1 + similarity) * (size_a + size_b) + 1e-6
+    return (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-6) & (apart <= most)
+
+
+def are_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared > 0 and shared / (len(a) + len(b) - shared) >= similarity
+
+
+def block_pairs(nodes: np.ndarray, roots: np.ndarray, own: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, within: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries of a block, or of two blocks, that are of different components and may be similar."""
+    cross = roots[:, None] < roots[None, :]
+    if not within:
+        cross &= own[:, None] != own[None, :]
+    cross &= np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
+    left, right = np.nonzero(cross)
+    kept = [np.zeros(0, bool)]
+    for at in range(0, len(left), 1 << 14):
+        a, b = left[at : at + (1 << 14)], right[at : at + (1 << 14)]
+        kept.append(may_be_similar(sizes[a], sizes[b], sketches[a], sketches[b], similarity))
+    met = np.concatenate(kept)
+    return nodes[left[met]], nodes[right[met]]
+
+
+def _longs(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, "<u8") for b in column.to_pylist()]
+
+
+def _sketches(column: pa.Array, cells: int = CELLS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, cells)
+
+
+def common_shingles(source: DataFrame, words: int) -> np.ndarray:
+    """Shingles that a share of the texts holds repeatedly, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([wide_fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, LANES).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(LANES))], ["doc_id", *names])
+            for text in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["h"])
+
+    share = source.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % COMMON_SHARE == 0)
+    counted = share.mapInArrow(run, "h bigint").groupBy("h").count().filter(F.col("count") >= COMMON_SEEN)
+    return np.sort(counted.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").toArrow().column(0).to_numpy().view(np.uint64))
 
-    lanes = ", ".join(f"{n} bigint" for n in names)
-    docs = cut(df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(marks, f"doc_id bigint, {lanes}"))
-    same = docs.groupBy(*names).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n"))
-    nodes = cut(same)
-    rows = nodes.count()
-    width = segment_width(rows)
-    bits = filter_bits(rows * (64 * LANES // width), max_bits=max_bits)
 
-    def keys_of(batch: pa.RecordBatch, ball: bool = False) -> np.ndarray:
-        return segment_keys(np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1).view(np.uint64), width, ball)
+def verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, similarity: float, words: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the similarity: sketches pass over most others, the sets decide."""
+    total = max(nodes.count(), 50 * HOT_SHARE)
+
+    def with_sides(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        for column in ("a", "b"):
+            side = table.select(F.col("node").alias(column), *(F.col(c).alias(f"{column}_{c}") for c in columns))
+            rows = join_hot(rows, side, column, hot_keys(rows, column, total))
+        return rows.select("a", "b", *(f"{column}_{c}" for c in columns for column in ("a", "b")))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, size_a, size_b = (c.to_numpy() for c in batch.columns[:4])
+            met = may_be_similar(size_a, size_b, _sketches(batch.column(4)), _sketches(batch.column(5)), similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(a[met]), pa.array(b[met])], ["a", "b"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_mark(s) for s in found], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], ["node", "shingles"])
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_of(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1])), pa.array(keys.ravel())], ["node", "key"])
+            met = np.array([are_similar(a, b, similarity) for a, b in zip(_longs(batch.column(2)), _longs(batch.column(3)))], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(c.to_numpy()[met]) for c in batch.columns[:2]], ["a", "b"])
 
-    marked = nodes.select("node", *names)
-    entries = marked.mapInArrow(own, "node bigint, key bigint")
-    shared = spark.sparkContext.broadcast(filter_of(marked, bits, False, lambda batch: keys_of(batch).ravel()))
+    open_pairs = cut(with_sides(pairs, nodes, ["size", "sketch"]).mapInArrow(maybe, "a bigint, b bigint"))
+    wanted = open_pairs.select(F.col("a").alias("node")).union(open_pairs.select("b")).distinct()
+    ids = cut(nodes.select("node", "doc_id").join(wanted, "node", "left_semi").select("doc_id").distinct())
+    texts = source.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_semi")
+    held = cut(texts.mapInArrow(sets, "node bigint, shingles binary"))
+    if held.count() > ids.count():  # ids repeat
+        held = cut(held.dropDuplicates(["node"]))
+    return cut(with_sides(open_pairs, held, ["shingles"]).mapInArrow(exact, "a bigint, b bigint"))
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", words: int = 5, max_bits: int = 1 << 30) -> DataFrame:
+    """doc_id and component_id of rows that are not alone in their component; rows with a null id are left out."""
+    spark = df.sparkSession
+    small_batches(spark)
+    source = df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    common = spark.sparkContext.broadcast(common_shingles(source, words))
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
+            prefixes = [set_prefix(s, similarity, common.value).astype("<u8").tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_mark(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([set_sketch(s).tobytes() for s in found], pa.binary()), pa.array([set_sketch(s, FEW_CELLS).tobytes() for s in found], pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "node", "size", "sketch", "small", "prefix"])
+
+    docs = cut(source.mapInArrow(marks, "doc_id bigint, node bigint, size bigint, sketch binary, small binary, prefix binary"))
+    heads = cut(docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    repeats = heads.filter("n > 1").select("node")
+    repeats = F.broadcast(repeats) if repeats.count() <= 1_000_000 else repeats
+    single = docs.join(repeats, "node", "left_anti")
+    marked = single.unionByName(docs.join(repeats, "node", "left_semi").dropDuplicates(["node"]))
+    nodes = cut(marked.select("node", "doc_id", "size", "sketch", "small"))
+    rows, keys = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("prefix") / 8), F.lit(0)).cast("bigint")).first()
+    bits = filter_bits(keys, max_bits=max_bits)
+    prefixed = marked.select("node", "prefix")
+    shared = spark.sparkContext.broadcast(filter_of(prefixed, bits, True, lambda batch: np.concatenate([np.zeros(0, np.uint64), *_longs(batch.column(1))]).view(np.int64)))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _longs(batch.column(1))
+            of = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
+            key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            met = in_filter(shared.value, key, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(of[met]), pa.array(key[met])], ["node", "key"])
+
+    entries = cut(prefixed.mapInArrow(repeated, "node bigint, key bigint"))
+    crowd = max(50, rows // HOT_SHARE)
+
+    def hot_of(buckets: DataFrame) -> list:
+        total = buckets.agg(F.sum("n")).first()[0] or 0
+        return [r[0] for r in buckets.filter(F.col("n") > max(50, total // HOT_SHARE)).select("key").collect()]
+
+    # First each node meets the first by two orders of all that share a bucket with it, which links most of a large group.
+    firsts = [F.min_by("node", F.xxhash64("node", F.lit(salt))).alias(f"p{i}") for i, salt in enumerate(ORDERS)]
+    buckets = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *firsts).filter("n > 1"))
+    crowded = cut(join_hot(entries, buckets.drop("n"), "key", hot_of(buckets)).select("node", "key", "p0", "p1"))
+    meets = [F.min_by(f"p{i}", F.xxhash64(f"p{i}", F.lit(salt))).alias(f"p{i}") for i, salt in enumerate(ORDERS)]
+    met = crowded.groupBy("node").agg(*meets).select("node", F.explode(F.array_distinct(F.array("p0", "p1"))).alias("other"))
+    pairs = cut(met.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    near = verified(pairs, source, nodes, similarity, words)
+    roots = components(near)
+
+    # Then whatever shares a bucket and is not yet in one component is compared, pair by pair, in blocks.
+    at_root = nodes.select("node", "size", "small").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(crowded.select("node", "key").join(at_root, "node"))
+    mixed = cut(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last").select("key", "n"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("bigint")
+    apart = join_hot(rooted, mixed, "key", hot_of(mixed)).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")))
+    dealt = apart.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    entry = F.struct("node", "root", "own", "size", "small")
+    blocks = dealt.groupBy("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(F.collect_list(entry).alias("held")).select((F.col("i") == F.col("j")).alias("within"), "held")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_of(batch, ball=True)
-            of = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-            keys = keys.ravel()
-            met = in_filter(shared.value, keys, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(of[met]), pa.array(keys[met])], ["node", "key"])
-
-    probed = marked.mapInArrow(probes, "node bigint, key bigint")
-    moved = [F.col("node").bitwiseXOR(F.lit(c).cast("bigint")) for c in ORDERS]
-    picks = [f(m).alias(f"p{i}") for i, (m, f) in enumerate((m, f) for m in moved for f in (F.min, F.max))]
-    chosen = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *picks))
-    met = [F.col(f"p{i}").bitwiseXOR(F.lit(ORDERS[i // 2]).cast("bigint")) for i in range(len(picks))]
-    hot = [r[0] for r in chosen.filter(F.col("n") > max(50, rows // HOT_SHARE)).select("key").limit(4 * HOT_SHARE).collect()]
-    crowded = join_hot(entries, chosen.filter("n > 1").select("key", F.array(*met).alias("meets")), "key", hot)
-    probing = join_hot(probed, chosen.select("key", F.array(*met[:2]).alias("meets")), "key", hot)
-    candidates = crowded.select("node", F.explode(F.array_distinct("meets")).alias("other")).unionByName(probing.select("node", F.explode(F.array_distinct("meets")).alias("other")))
-    pairs = cut(candidates.filter("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-
-    def with_lanes(to: DataFrame, column: str, mark: str) -> DataFrame:
-        side = nodes.select(F.col("node").alias(column), *(F.col(n).alias(f"{mark}{n}") for n in names))
-        return join_hot(to, side, column, hot_keys(to, column, max(rows, 50 * HOT_SHARE)))
-
-    distance = sum((F.bit_count(F.col(f"l{n}").bitwiseXOR(F.col(f"r{n}"))) for n in names), F.lit(0))
-    near = cut(with_lanes(cut(with_lanes(pairs, "a", "l")), "b", "r").filter(distance <= wide_distance(similarity)).select("a", "b"))
-    roots = components(near).withColumnRenamed("root", "component_id")
-    of_node = nodes.select("node", "n", *names).join(roots, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")).filter((F.col("n") > 1) | (F.col("component_id") != F.col("node")))
-    crowd = cut(of_node.select(*names, "component_id").withColumn("mark", F.xxhash64(*names)))
-    members = docs.withColumn("mark", F.xxhash64(*names))
-    copies = [r[0] for r in nodes.filter(F.col("n") > max(50, rows // HOT_SHARE)).select(F.xxhash64(*names)).collect()]
-    return join_hot(members.select("doc_id", "mark"), crowd.groupBy("mark").agg(F.min("component_id").alias("component_id")), "mark", copies).select("doc_id", "component_id")
+            held = batch.column(1)
+            ends, flat = held.offsets.to_numpy(), held.values
+            longs = [flat.field(i).to_numpy() for i in range(4)]
+            sketches = _sketches(flat.field(4), FEW_CELLS)
+            for within, start, end in zip(batch.column(0).to_pylist(), ends[:-1], ends[1:]):
+                a, b = block_pairs(*(c[start:end] for c in longs), sketches[start:end], within, similarity)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    others = cut(blocks.mapInArrow(compare, "a bigint, b bigint").distinct().join(pairs, ["a", "b"], "left_anti"))
+    roots = components(near.unionByName(verified(others, source, nodes, similarity, words)))
+
+    rooted = cut(heads.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    groups = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).filter("n > 1"))
+    large = [r[0] for r in groups.filter(F.col("n") > crowd).select("root").collect()]
+    of = cut(join_hot(rooted.select("node", "root"), groups.select("root", "component_id"), "root", large).select("node", "component_id"))
+    copies = [r[0] for r in heads.filter(F.col("n") > crowd).select("node").collect()]
+    return join_hot(docs.select("doc_id", "node"), of, "node", copies).select("doc_id", "component_id")
 
 
 def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

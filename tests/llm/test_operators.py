@@ -378,6 +378,57 @@ def test_similar_texts_are_grouped(spark):
     assert len(near.keys() & left) <= 1 and {10 * k for k in range(60)} <= left
 
 
+def edited(rng, words, n, tag):
+    """A copy of the words with n of them replaced, at places more than a shingle apart."""
+    out = list(words)
+    for at in rng.sample(range(0, len(words) - 5, 5), n):
+        out[at + rng.randrange(5)] = f"{tag}{at}"
+    return out
+
+
+def alike(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def grouped(spark, texts):
+    frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame).collect()}
+    return {i: found.get(i, i) for i in texts}
+
+
+def brute_groups(texts, least=0.8):
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) > 0:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in texts}
+
+
+def test_copies_meet_their_original_whatever_its_id(spark):
+    """Edits near the original but not near each other: only the original links them."""
+    rng = random.Random(11)
+    texts = {}
+    for k in range(6):
+        words = [f"{rng.choice('bcdfgh')}{rng.randrange(4000)}" for _ in range(300)]
+        texts[1000 * k + 37] = " ".join(words)
+        for i in range(0, 74):
+            if i != 37:
+                texts[1000 * k + i] = " ".join(edited(rng, words, 6, f"e{i}x"))
+    assert 0.8 <= alike(texts[37], texts[3]) and alike(texts[3], texts[4]) < 0.8
+    got = grouped(spark, texts)
+    assert got == {i: i - i % 1000 for i in texts} and got == brute_groups(texts)
+
+
 # 9
 
 
