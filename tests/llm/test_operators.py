@@ -429,6 +429,21 @@ def test_copies_meet_their_original_whatever_its_id(spark):
     assert got == {i: i - i % 1000 for i in texts} and got == brute_groups(texts)
 
 
+def test_prefixes_of_similar_sets_meet():
+    """No pair at the similarity is missed, whatever the number of rows and whichever shingles are listed as common."""
+    rng = np.random.default_rng(12)
+    for n in (*range(1, 40), 300, 2000):
+        for _ in range(20):
+            union = rng.choice(np.iinfo(np.int64).max, n, replace=False).astype(np.uint64) << np.uint64(1)
+            side = rng.permutation(n)[: n - int(np.ceil(0.8 * n - 1e-9))]
+            cut_at = rng.integers(len(side) + 1)
+            a, b = (np.sort(np.delete(union, s)) for s in (side[:cut_at], side[cut_at:]))
+            common = np.sort(rng.choice(union, rng.integers(n + 1), replace=False))
+            assert set(simhash.set_prefix(a, 0.8, common).tolist()) & set(simhash.set_prefix(b, 0.8, common).tolist())
+            sizes = [np.array([len(x)]) for x in (a, b)]
+            assert simhash.may_be_similar(*sizes, *(simhash.set_sketch(x)[None] for x in (a, b)), 0.8).all()
+
+
 # 9
 
 
