@@ -444,6 +444,22 @@ def test_prefixes_of_similar_sets_meet():
             assert simhash.may_be_similar(*sizes, *(simhash.set_sketch(x)[None] for x in (a, b)), 0.8).all()
 
 
+def test_groups_are_those_at_the_similarity(spark):
+    """Pairs on both sides of 0.8 and at it, short texts too: as by brute force over the shingle sets."""
+    rng = random.Random(13)
+    texts, i = {}, 0
+    for n in (6, 9, 13, 14, 24, 49, 50, 120, 300):
+        for _ in range(12):
+            words = [f"{rng.choice('bcdfgh')}{rng.randrange(4000)}" for _ in range(n)]
+            texts[i] = " ".join(words)
+            texts[i + 1] = " ".join(words[: n - rng.randrange(max(2, n // 4))])
+            texts[i + 2] = " ".join(edited(rng, words, max(0, round(n / rng.uniform(35, 60))), "z"))
+            i += 3
+    values = [alike(texts[k], texts[k + d]) for k in range(0, i, 3) for d in (1, 2)]
+    assert sum(0.8 <= v < 0.85 for v in values) > 10 and sum(0.7 <= v < 0.8 for v in values) > 10 and 0.8 in values
+    assert grouped(spark, texts) == brute_groups(texts)
+
+
 # 9
 
 

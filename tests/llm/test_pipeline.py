@@ -52,6 +52,14 @@ def test_near_stage_keeps_one_of_each_group(kept):
             assert len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) < 0.85
 
 
+def test_near_stage_decides_at_the_similarity(kept):
+    """Brute force at 0.8 on both sides: who goes has such a neighbour, and of who stays no two are so similar."""
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in kept[3].collect()}
+    left = ids(kept[4])
+    near = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0} for i in sets}
+    assert all(near[i] for i in sets.keys() - left) and not any(near[i] & left for i in left)
+
+
 def test_run_packs_what_is_left(spark, sf_dir, kept):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in rows} == ids(kept[4])
