@@ -16,24 +16,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches small enough for long texts, by rows and bytes. Read when a plan runs, so it stays set."""
+def small_batches(spark: SparkSession, rows: int = 500, read_rows: int = 256) -> None:
+    """Keep Arrow batches and those of the Parquet reader small enough for long texts. Read when a plan runs, so it stays set."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(read_rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, fewer: int = 1) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Only where that is unset, as in tests, a temporary folder is used.
+    A table much smaller than what it comes from is written in a share, 1/``fewer``, of the shuffle's partitions.
+    Only where that is unset and everything runs on one machine, as in tests, a temporary folder is used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    if fewer > 1:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // fewer))
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the table does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))
