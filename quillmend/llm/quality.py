@@ -1,17 +1,19 @@
 """Quality classifier on supervised subword embeddings.
 
-Words and their character n-grams of 3 to 5 bytes hash into one table of
-learned vectors; a document is their mean, and a softmax over it gives the
-label. A word equal to the one before also counts as one shared feature, so
-that repetition shows whatever the word. Vectors and output layer are trained
-by plain stochastic gradient descent in numpy on at most ``sample_rows``
-labelled texts of at most ``SAMPLE_BYTES`` each, half of each label.
+Words, pairs of neighbouring words, and the words' character n-grams of 3 to 5
+code points hash into one table of learned vectors; a document is their mean,
+and a softmax over it gives the label. Before that, a word that repeats the one
+ahead of it is written as one repeat mark, a word like any other: a mean cannot
+tell repetition of words it has never learned. Vectors and output layer are trained by
+plain stochastic gradient descent in numpy on at most ``sample_rows`` labelled
+texts of at most ``SAMPLE_BYTES`` each, half of each label.
 
 The output is linear in the mean, so scoring needs one number a bucket; it runs
 over whole texts, a few array operations each, and nothing shuffles.
 Defined results: a null text is empty; a text without words scores by the bias;
-rows that repeat get equal scores; without labels of both kinds every score is
-0.5; an empty table gives no rows; further columns are ignored.
+rows that repeat get equal scores; of rows with one id the first text in order
+is learned from, with the larger label; without labels of both kinds every
+score is 0.5; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,18 +37,18 @@ SAMPLE_BYTES = 1 << 16
 THRESHOLD = 0.7
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-RADIX = 0x100000001B3
+RADIX = np.uint64(0x100000001B3)
 CHUNK = 1 << 16
-SAME = 0
+REPEAT = "\u27f3"
 
 
 def _powers(base: int) -> np.ndarray:
-    out = np.full(CHUNK + 2, base % (1 << 64), np.uint64)
+    out = np.full(CHUNK + 2, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-POWERS, INVERSE = _powers(RADIX), _powers(pow(RADIX, -1, 1 << 64))
+POWERS, INVERSE = _powers(int(RADIX)), _powers(pow(int(RADIX), -1, 1 << 64))
 
 
 def _bucket(codes: np.ndarray, salt: int) -> np.ndarray:
@@ -56,46 +58,44 @@ def _bucket(codes: np.ndarray, salt: int) -> np.ndarray:
 
 
 def buckets(text: str | None) -> Iterator[np.ndarray]:
-    """Buckets of all features of a text, in pieces of bounded size cut between words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    before = None
-    at = 0
+    """Buckets of all features of a text, in pieces of bounded size cut between words; a word longer than a piece counts as several."""
+    long = CHUNK - 2
+    plain = (text or "").lower().split()
+    if len(text or "") > long:
+        plain = [w[i : i + long] for w in plain for i in range(0, len(w), long)]
+    words = [w if w != ahead else REPEAT for ahead, w in zip([None, *plain], plain)]
+    before, at = None, 0
     while at < len(words):
-        size, end = 0, at
-        while end < len(words) and (end == at or size + len(words[end]) + 2 < CHUNK):
+        size, end = len(words[at]) + 2, at + 1
+        while end < len(words) and size + len(words[end]) + 1 <= CHUNK:
             size += len(words[end]) + 1
             end += 1
-        found, before = _features([w[: CHUNK - 2] for w in words[at:end]] if size >= CHUNK else words[at:end], before)
+        found, before = _features(words[at:end], before)
         yield found
-        if size >= CHUNK:  # one word longer than a chunk: its rest follows as words of their own
-            rest = words[at][CHUNK - 2 :]
-            words[at] = rest
-            if rest:
-                continue
         at = end
 
 
-def _features(words: list[bytes], before: int | None) -> tuple[np.ndarray, int]:
-    letters = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+def _features(words: list[str], before: np.uint64 | None) -> tuple[np.ndarray, np.uint64]:
+    """Buckets of words, pairs and n-grams, and the last word's hash; ``before`` is that of the word ahead."""
+    letters = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     space = letters == 32
     codes = letters.astype(np.uint64)
     edges = np.flatnonzero(space)
     prefix = np.cumsum(codes * POWERS[: len(codes)], dtype=np.uint64)
     hashes = (prefix[edges[1:]] - prefix[edges[:-1]]) * INVERSE[edges[:-1]]
-    out = [_bucket(hashes, 1)]
-    same = int(np.count_nonzero(hashes[1:] == hashes[:-1])) + (before == int(hashes[0]))
-    out.append(np.full(same, SAME, np.int64))
+    ahead = hashes if before is None else np.append(before, hashes)
+    out = [_bucket(hashes, 1), _bucket(ahead[:-1] * RADIX + ahead[1:], 2)]
     gram, inner = codes, None
     for n in range(2, GRAMS[-1] + 1):
         if len(codes) < n:
             break
-        gram = gram[:-1] | (codes[n - 1 :] << np.uint64(8 * (n - 1)))
+        gram = gram[:-1] * RADIX + codes[n - 1 :]
         if n > 2:
             middle = space[n - 2 : len(space) - 1]
             inner = middle if inner is None else inner[:-1] | middle
         if n in GRAMS:
             out.append(_bucket(gram[~inner], n))
-    return np.concatenate(out), int(hashes[-1])
+    return np.concatenate(out), hashes[-1]
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -179,22 +179,27 @@ def labelled_sample(labels: DataFrame, column: str, out_of: int, held: int, rows
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % out_of
     open_ = labels.filter((fold != held) & F.col(column).isNotNull()).select("doc_id", F.col(column).cast("int").alias("label"))
     parts = [open_.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
-    return parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
+    return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def labelled_texts(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, label and text of the chosen documents of at most SAMPLE_BYTES, one row an id: no more rows than ids were chosen."""
+    texts = df.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(df: DataFrame, labels: DataFrame, column: str = "quality", out_of: int = 4, held: int = 2, sample_rows: int = SAMPLE_ROWS) -> Scorer:
     """Train on labelled rows of ``df``: ids and features of the sample come to the driver, bounded by ``sample_rows``."""
     small_batches(df.sparkSession)
-    chosen = F.broadcast(labelled_sample(labels, column, out_of, held, (sample_rows // 2, sample_rows // 2)))
-    texts = df.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(chosen, "doc_id").select("doc_id", "label", "text")
+    texts = labelled_texts(df, labelled_sample(labels, column, out_of, held, (sample_rows // 2, sample_rows // 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counted(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([b.astype("<u4").tobytes() for b, _ in found], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary())], ["doc_id", "label", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([b.astype("<u4").tobytes() for b, _ in found], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary())], ["doc_id", "label", "buckets", "counts"])
 
-    rows = sorted(texts.mapInArrow(run, "doc_id bigint, label int, buckets binary, counts binary").collect(), key=lambda r: (r[0], r[1], r[2]))[: 2 * sample_rows]
-    return train([(np.frombuffer(r[2], "<u4").astype(np.int64), np.frombuffer(r[3], "<u4").astype(np.int64)) for r in rows], [r[1] for r in rows])
+    rows = sorted(texts.mapInArrow(run, "doc_id string, label int, buckets binary, counts binary").collect(), key=lambda r: (r[0], r[1]))
+    return train([(np.frombuffer(r[2], "<u4"), np.frombuffer(r[3], "<u4")) for r in rows], [r[1] for r in rows])
 
 
 def scores(df: DataFrame, model: Scorer, out_of: int = 4, held: int = 2) -> DataFrame:
