@@ -49,7 +49,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).withColumn("evidence", F.array_join(F.col("evidence").cast("array<string>"), ","))
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).withColumn("evidence", F.array_join("evidence", ","))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_sentencepiece, op4_sharding, op5_media, op6_packing, op7_token_matrix, op8_simhash, op9_token_counts, op10_toxicity)}

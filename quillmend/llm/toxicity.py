@@ -1,19 +1,23 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-At most ``sample_rows`` labelled texts, a quarter of them toxic, are the examples.
-Terms that tell the labels apart beyond chance (chi-squared at FALSE_TERMS
-false ones expected, at most TERMS) are indexed: each term's postings lie in blocks of BLOCK examples with
-the block's largest impact. A query adds up, block by block, the most that its
-terms can give, visits blocks in that order, and stops when the next block
-cannot beat the k-th best, so the k nearest are exact. Votes are weighted by
-similarity, against a constant for no evidence, and calibrated by leaving each
-example out once; the nearest examples of the winning side are the evidence.
+At most ``sample_rows`` labelled texts, a quarter of them toxic, are the
+examples. Every term of theirs is indexed with the weight (1 + log tf) * idf *
+association, the squared phi coefficient of the term's presence and the label
+among the examples (``association=False`` leaves it out): without it, most of a
+cosine comes from the many words that say nothing of toxicity. Each term's
+postings lie in blocks of BLOCK examples with the block's largest impact. A
+query adds up, block by block, the most that its terms can give, visits the most
+promising blocks and then those that can still beat the k-th best, so the k
+nearest are exact. Votes are weighted by similarity, against a constant for
+no evidence, and calibrated by leaving each example out once; the nearest
+examples of the winning side are the evidence.
 
 Scoring runs over whole texts and nothing shuffles.
-Defined results: a null text is empty; a text without indexed terms scores 0;
-rows that repeat get equal scores; similarity ties go to the earlier example;
-without toxic examples every score is 0; an empty table gives no rows; further
-columns are ignored.
+Defined results: a null text is empty; a text without any term of the examples
+scores 0; rows that repeat get equal scores; similarity ties go to the earlier
+example; of examples with one id the first text in order counts, of equal ones
+that with the smallest id; without toxic examples every score is 0; an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .quality import THRESHOLD, labelled_sample
+from .quality import THRESHOLD, labelled_sample, labelled_texts
 
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 1 << 16
-TERMS = 512
-FALSE_TERMS = 0.05
 BLOCK = 64
+#: Blocks that a query visits at a time: a few first, then all that the best of these leave open.
+FIRST_BLOCKS = 6
 NEIGHBOURS = 15
 NO_EVIDENCE = 0.5
 
@@ -47,56 +50,78 @@ def term_counts(text: str | None) -> Counter:
     return Counter(words((text or "").lower()))
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, end), one after the other."""
+    lengths = ends - starts
+    return np.repeat(ends - lengths.cumsum(), lengths) + np.arange(lengths.sum())
+
+
 @dataclass
 class Index:
-    """Block-max inverted index over unit vectors of the examples."""
+    """Block-max inverted index over unit vectors of the examples.
+
+    Term t owns the entries first[t]:first[t + 1], one a block that holds it;
+    entry e has its block, the largest impact, and postings begin[e]:begin[e + 1].
+    """
 
     terms: dict[str, int]
-    idf: np.ndarray
-    postings: np.ndarray  # rows of BLOCK impacts; row 0 is empty
-    where: np.ndarray  # term x block: the row of postings
-    most: np.ndarray  # term x block: the largest impact
-    ids: np.ndarray
+    weights: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    begin: np.ndarray
+    place: np.ndarray
+    impact: np.ndarray
+    ids: list
     toxic: np.ndarray
     cut: float = 0.5
 
     @classmethod
-    def build(cls, ids: list[int], counts: list[Counter], labels: list[int]) -> Index:
-        terms, idf = choose_terms(counts, labels)
-        vectors = [unit_vector(c, terms, idf) for c in counts]
+    def build(cls, ids: list, counts: list[Counter], labels: list[int], association: bool = True) -> Index:
+        names, weights = term_weights(counts, labels, association)
+        terms = {t: i for i, t in enumerate(names)}
+        vectors = [unit_vector(c, terms, weights) for c in counts]
         # Alike examples in one block make its bounds sharp.
-        order = sorted(range(len(ids)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, ids[i]))
-        blocks = -(-len(order) // BLOCK)
-        dense = np.zeros((len(idf), blocks * BLOCK), np.float64)
-        for place, i in enumerate(order):
-            dense[vectors[i][0], place] = vectors[i][1]
-        by_block = dense.reshape(len(idf), blocks, BLOCK)
-        most = by_block.max(axis=2) if by_block.size else np.zeros((len(idf), blocks))
-        where = np.zeros(most.shape, np.int32)
-        filled = np.nonzero(most)
-        where[filled] = np.arange(1, len(filled[0]) + 1)
-        postings = np.concatenate([np.zeros((1, BLOCK)), by_block[filled]])
-        pad = blocks * BLOCK - len(order)
-        return cls(terms, idf, postings, where, most, np.array([ids[i] for i in order] + [-1] * pad, np.int64), np.array([labels[i] for i in order] + [0] * pad, bool))
+        order = sorted(range(len(ids)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
+        rows, place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([vectors[i][0] for i in order], [np.full(len(vectors[i][0]), k) for k, i in enumerate(order)]))
+        impact = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        by_term = np.lexsort((place, rows))
+        rows, place, impact = rows[by_term], place[by_term], impact[by_term]
+        opens = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | (np.diff(place // BLOCK, prepend=-1) != 0))
+        most = np.maximum.reduceat(impact, opens) if len(opens) else np.zeros(0)
+        first = np.searchsorted(rows[opens], np.arange(len(names) + 1))
+        return cls(terms, weights, first, (place[opens] // BLOCK).astype(np.int32), most, np.append(opens, len(rows)), place.astype(np.int32), impact, [ids[i] for i in order], np.array([labels[i] for i in order], bool))
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        return unit_vector(counts, self.terms, self.weights)
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine over 0, best first; ``without`` leaves out a place."""
         rows, weights = vector
-        if not len(rows):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[rows]
+        entries = ranges(self.first[rows], self.first[rows + 1])
+        weight, block = np.repeat(weights, self.first[rows + 1] - self.first[rows]), self.block[entries]
+        bound = np.bincount(block, weights=weight * self.most[entries], minlength=1)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1] - 1e-12:
+        for at, end in ((0, FIRST_BLOCKS), (FIRST_BLOCKS, len(order))):
+            wave = order[at:end]
+            if len(best) == k:
+                wave = wave[bound[wave] >= best[-1] - 1e-9]
+            if not len(wave):
                 break
-            got = weights @ self.postings[self.where[rows, block]]
-            at = np.flatnonzero(got > (best[-1] - 1e-12 if len(best) == k else 0))
-            if not len(at):
-                continue
-            best_at, best = np.append(best_at, at + block * BLOCK), np.append(best, got[at])
-            if without >= 0:
-                stay = best_at != without
-                best_at, best = best_at[stay], best[stay]
+            visited = np.zeros(len(bound), bool)
+            visited[wave] = True
+            use = visited[block]
+            starts, ends = self.begin[entries[use]], self.begin[entries[use] + 1]
+            posting = ranges(starts, ends)
+            got = np.bincount(self.place[posting], weights=np.repeat(weight[use], ends - starts) * self.impact[posting])
+            if 0 <= without < len(got):
+                got[without] = 0
+            met = np.flatnonzero(got > 0)
+            if len(met) > k:
+                met = met[got[met] >= np.partition(got[met], len(met) - k)[len(met) - k] - 1e-9]
+            best_at, best = np.append(best_at, met), np.append(best, got[met])
             keep = np.lexsort((best_at, -np.round(best, 12)))[:k]
             best_at, best = best_at[keep], best[keep]
         return best_at, best
@@ -105,82 +130,79 @@ class Index:
         weight = cosines**2
         return float(weight[self.toxic[places]].sum() / (weight.sum() + NO_EVIDENCE))
 
-    def calibrate(self, counts: dict[int, Counter]) -> None:
-        """Set the raw vote that separates the examples best, each judged by the others."""
-        places = [p for p in range(len(self.ids)) if int(self.ids[p]) in counts]
-        raw = np.array([self.raw(*self.nearest(unit_vector(counts[int(self.ids[p])], self.terms, self.idf), without=p)) for p in places])
-        if len(raw) and self.toxic.any() and not self.toxic[places].all():
-            y = self.toxic[places]
-            edges = np.unique(np.append(raw, [0.02, 0.98]))
+    def calibrate(self, counts: list[Counter]) -> None:
+        """Set the raw vote that separates the examples (in order of places) best, each judged by the others and without the words that only it has."""
+        seen = Counter(t for c in counts for t in c)
+        known = [Counter({t: n for t, n in c.items() if seen[t] > 1}) for c in counts]
+        raw = np.array([self.raw(*self.nearest(self.vector(c), without=p)) for p, c in enumerate(known)])
+        if len(raw) and self.toxic.any() and not self.toxic.all():
+            y = self.toxic
+            edges = np.unique(np.append(raw, [0.1, 0.9]))
             tries = (edges[1:] + edges[:-1]) / 2
-            wrong = [(float(np.mean(raw[y] < t)) + float(np.mean(raw[~y] >= t)), -min(t, 1 - t), float(t)) for t in tries]
-            self.cut = float(np.clip(min(wrong)[2], 0.02, 0.98))
+            caught, passed = np.sort(raw[y]), np.sort(raw[~y])
+            wrong = np.searchsorted(caught, tries) / len(caught) + 1 - np.searchsorted(passed, tries) / len(passed)
+            best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+            widest = best[np.argmax((edges[1:] - edges[:-1])[best])]
+            self.cut = float(np.clip(tries[widest], 0.1, 0.9))
 
     def score(self, raw: float) -> float:
         """A raw vote on a scale where THRESHOLD is the separating vote."""
         return THRESHOLD * raw / self.cut if raw < self.cut else min(1.0, THRESHOLD + (1 - THRESHOLD) * (raw - self.cut) / (1 - self.cut))
 
-    def judge(self, text: str | None, evidence: int = 3) -> tuple[float, list[int]]:
-        places, cosines = self.nearest(unit_vector(term_counts(text), self.terms, self.idf))
+    def judge(self, text: str | None, evidence: int = 3) -> tuple[float, list]:
+        places, cosines = self.nearest(self.vector(term_counts(text)))
         score = self.score(self.raw(places, cosines))
         side = self.toxic[places] == (score >= THRESHOLD)
-        return score, self.ids[places[side][:evidence]].tolist()
+        return score, [self.ids[p] for p in places[side][:evidence].tolist()]
 
 
-def choose_terms(counts: list[Counter], labels: list[int]) -> tuple[dict[str, int], np.ndarray]:
-    """Terms whose presence depends on the label, and inverse document frequencies of these and of any other word."""
-    y = np.asarray(labels)
+def term_weights(counts: list[Counter], labels: list[int], association: bool = True) -> tuple[list[str], np.ndarray]:
+    """All terms in order, and idf times the squared phi coefficient of presence and label."""
+    y = np.asarray(labels, bool)
     n, n1 = len(y), int(y.sum())
-    seen, toxic = Counter(), Counter()
-    for c, label in zip(counts, labels):
-        seen.update(c.keys())
-        if label:
-            toxic.update(c.keys())
-    names = sorted(t for t, d in seen.items() if 3 <= d < n)
+    seen = Counter(t for c in counts for t in c)
+    toxic = Counter(t for c, label in zip(counts, labels) if label for t in c)
+    names = sorted(seen)
     d, a = np.array([seen[t] for t in names], float), np.array([toxic[t] for t in names], float)
-    if not names or not 0 < n1 < n:
-        return {}, np.full(1, np.log(2.0))
-    least = 2 * np.log(len(names) / FALSE_TERMS)  # where the tail of one degree of freedom is about that share
-    chi = n * (a * (n - n1) - (d - a) * n1) ** 2 / (d * (n - d) * n1 * (n - n1))
-    kept = [int(i) for i in np.lexsort((np.arange(len(names)), -chi))[:TERMS] if chi[i] >= least]
-    return {names[i]: j for j, i in enumerate(kept)}, np.log(1 + n / np.append(d[kept], n))
-
-
-def unit_vector(counts: Counter, terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and weights (1 + log count) * idf of a text's indexed terms, of length 1; the last row is all its other words together."""
-    found = {terms[t]: counts[t] for t in counts.keys() & terms.keys()}
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0)
-    other = sum(counts.values()) - sum(found.values())
-    if other:
-        found[len(terms)] = other
-    rows = np.array(sorted(found), np.int64)
-    weights = (1 + np.log([found[r] for r in rows.tolist()])) * idf[rows]
-    return rows, weights / np.sqrt((weights**2).sum())
-
-
-def fit(df: DataFrame, labels: DataFrame, column: str = "toxic", out_of: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS) -> Index:
+    idf = np.log(1 + n / np.maximum(d, 1))
+    if not association or not 0 < n1 < n:
+        return names, idf
+    return names, idf * (n * a - d * n1) ** 2 / np.maximum(d * (n - d) * n1 * (n - n1), 1)
+
+
+def unit_vector(counts: Counter, terms: dict[str, int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order and weights (1 + log count) * weight of a text's terms that the examples have, of length 1."""
+    found = sorted((terms[t], counts[t]) for t in counts.keys() & terms.keys())
+    rows, n = np.array(found, np.int64).reshape(-1, 2).T
+    values = (1 + np.log(n)) * weights[rows]
+    length = np.sqrt((values**2).sum())
+    return (rows[values > 0], values[values > 0] / length) if length else (rows[:0], values[:0])
+
+
+def fit(df: DataFrame, labels: DataFrame, column: str = "toxic", out_of: int = 3, held: int = 1, sample_rows: int = SAMPLE_ROWS, association: bool = True) -> Index:
     """Index the sampled labelled rows of ``df``: at most ``sample_rows`` texts of SAMPLE_BYTES come to the driver, as term counts."""
     small_batches(df.sparkSession)
-    chosen = F.broadcast(labelled_sample(labels, column, out_of, held, (sample_rows - sample_rows // 4, sample_rows // 4)))
-    texts = df.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(chosen, "doc_id").select("doc_id", "label", "text")
+    texts = labelled_texts(df, labelled_sample(labels, column, out_of, held, (sample_rows - sample_rows // 4, sample_rows // 4)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [term_counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([" ".join(c) for c in found], pa.string()), pa.array([np.array(list(c.values()), "<u4").tobytes() for c in found], pa.binary())], ["doc_id", "label", "terms", "counts"])
+            found = [sorted(term_counts(t).items()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([" ".join(t for t, _ in c) for c in found], pa.string()), pa.array([np.array([n for _, n in c], "<u4").tobytes() for c in found], pa.binary())], ["doc_id", "label", "terms", "counts"])
 
     # Equal texts would vote many times over: one row of each.
-    rows = sorted(texts.mapInArrow(run, "doc_id bigint, label int, terms string, counts binary").dropDuplicates(["terms", "counts"]).collect(), key=lambda r: r[0])
+    kind = dict(texts.dtypes)["doc_id"]
+    held_rows = texts.mapInArrow(run, f"doc_id {kind}, label int, terms string, counts binary").groupBy("terms", "counts").agg(F.min(F.struct("doc_id", "label")).alias("of"))
+    rows = sorted(held_rows.select("of.doc_id", "of.label", "terms", "counts").collect(), key=lambda r: r[0])
     names: dict[str, str] = {}
     counts = [Counter(dict(zip((names.setdefault(t, t) for t in r[2].split()), np.frombuffer(r[3], "<u4").tolist()))) for r in rows]
-    index = Index.build([r[0] for r in rows], counts, [r[1] for r in rows])
-    index.calibrate({r[0]: c for r, c in zip(rows, counts)})
+    index = Index.build([r[0] for r in rows], counts, [r[1] for r in rows], association)
+    of = {r[0]: c for r, c in zip(rows, counts)}
+    index.calibrate([of[i] for i in index.ids])
     return index
 
 
 def scores(df: DataFrame, index: Index, out_of: int = 3, held: int = 1) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (ids of the nearest examples that agree) of every row."""
+    """doc_id, held_out, score, predicted and evidence (ids of the nearest examples that agree, as text) of every row."""
     spark = df.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(index)
@@ -188,10 +210,10 @@ def scores(df: DataFrame, index: Index, out_of: int = 3, held: int = 1) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.judge(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([[str(i) for i in f[1]] for f in found], pa.list_(pa.string()))], ["doc_id", "score", "evidence"])
 
     kind = dict(df.dtypes)["doc_id"]
-    scored = df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence array<bigint>")
+    scored = df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, evidence array<string>")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % out_of, F.lit(-1))
     return scored.select("doc_id", (fold == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
