@@ -71,9 +71,13 @@ def similarity(reading: Column, term: Column, groups: dict[str, str] | None = No
     return F.when((reading == "") | (term == ""), 0.0).when(reading == term, 1.0).otherwise(F.round(best, 4))
 
 
+# Marks that carry no meaning.
+FILLERS = r"[\s　.,、。・:：;；!！?？'\"“”「」『』（）()\[\]【】/／\\|ー\-—–]+"
+
+
 def is_shortening(reading: Column, term: Column) -> Column:
     """Whether the term stands inside the reading and something of meaning would be lost with the rest."""
     at = F.instr(reading, term)
     rest = F.concat(F.substring(reading, F.lit(1), at - 1), F.substring(reading, at + F.length(term), F.length(reading)))
-    bare = F.regexp_replace(rest, r"[\s　.,、。・:：;；!！?？'\"“”「」『』（）()\[\]【】/／\\|ー\-—–]+", "")
+    bare = F.regexp_replace(rest, FILLERS, "")
     return (at > 0) & (term != "") & (bare != "")

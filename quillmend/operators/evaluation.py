@@ -102,15 +102,38 @@ def stratified(rows: DataFrame, stratum: str, key: str, per: int) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(W.partitionBy(stratum).orderBy(key))).filter(F.col("__r") <= per).drop("__r")
 
 
-def train_test(rows: DataFrame, key: str, share: float) -> DataFrame:
-    """Mark the first share of the sorted keys, at least one, as training.
+def nth_key(rows: DataFrame, key: str, n: int, at_once: int = 10_000, cuts: int = 256) -> object:
+    """The n-th smallest key, counted from 1 with repeats. Keys must not be null.
 
-    The cut is a quantile of the keys, found exactly by a global sort limited to
-    that many rows, so no window holds the table.
+    Sampled cuts split the keys that are still possible, one count of them per
+    interval tells which interval holds the n-th, and so on until few are left.
     """
+    left = rows.select(key)
+    while (total := left.count()) > at_once:
+        sample = sorted(r[0] for r in left.orderBy(F.xxhash64(key), key).select(key).limit(4 * cuts).distinct().collect())
+        bounds = sample[:: max(1, len(sample) // cuts)]
+        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
+        exact = F.array_contains(F.array(*map(F.lit, bounds)), F.col(key))
+        slots = left.select(F.struct(place.alias("p"), (~exact).cast("int").alias("between")).alias("slot"), key)
+        before = 0
+        for slot, count, low, high in sorted(slots.groupBy("slot").agg(F.count(F.lit(1)), F.min(key), F.max(key)).collect(), key=lambda r: tuple(r[0])):
+            if before + count >= n:
+                break
+            before += count
+        if low == high:
+            return low
+        left, n = left.filter(F.col(key).between(F.lit(low), F.lit(high))), n - before
+        if count == total:
+            break
+    return left.orderBy(key).offset(n - 1).limit(1).first()[0]
+
+
+def train_test(rows: DataFrame, key: str, share: float) -> DataFrame:
+    """Mark the first share of the sorted keys, at least one, as training. The last of them is found by ``nth_key``, so no task sorts the table."""
     n = max(1, int(rows.count() * share))
-    last = rows.select(key).orderBy(key).offset(n - 1).limit(1).withColumnRenamed(key, "__last")
-    return rows.join(F.broadcast(last)).withColumn("train", F.col(key) <= F.col("__last")).drop("__last")
+    if rows.isEmpty():
+        return rows.withColumn("train", F.lit(True))
+    return rows.withColumn("train", F.col(key) <= F.lit(nth_key(rows, key, n)))
 
 
 def multi_choice(readings: DataFrame, key: str, option: str, word: str, checked: str, confidence: str) -> DataFrame:
@@ -125,9 +148,16 @@ def first_best(rows: DataFrame, key: str, score: str, ordinal: str, value: str)
 
 
 def rebuild_lines(tokens: DataFrame, key: list[str], line: str, ordinal: str, token: str, confidence: str) -> DataFrame:
-    """Texts from tokens: tokens of a line in order, lines in order, and the mean of the lines' mean confidence."""
-    lines = tokens.groupBy(*key, line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, token))), lambda s: s[token]), " ").alias("__t"), F.avg(F.when(F.col(confidence) >= 0, F.col(confidence))).alias("__c"))
-    return lines.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line, "__t"))), lambda s: s["__t"]), "\n").alias("text"), F.count(F.lit(1)).alias("lines"), F.avg("__c").alias("confidence"))
+    """Texts from tokens: tokens of a line in order, lines in order, and the mean of the lines' mean confidence.
+
+    Means are quotients of decimal sums, so they don't depend on the order in which rows meet.
+    """
+    sure = F.when(F.col(confidence) >= 0, F.col(confidence).cast("decimal(18,9)"))
+    mean = (F.sum(sure).cast("double") / F.count(sure)).cast("decimal(18,9)")
+    lines = tokens.groupBy(*key, line).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, token))), lambda s: s[token]), " ").alias("__t"), mean.alias("__c"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(line, "__t"))), lambda s: s["__t"]), "\n")
+    return lines.groupBy(*key).agg(text.alias("text"), F.count(F.lit(1)).alias("lines"), (F.sum("__c").cast("double") / F.count("__c")).alias("confidence"))
+
 
 
 def pairs_of_changes(changes: DataFrame, wrong: str, right: str, support: int) -> DataFrame:

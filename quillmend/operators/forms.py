@@ -202,24 +202,40 @@ def areas_of_commits(files: DataFrame, commit: str, path: str, prefixes: list[tu
     return files.groupBy(commit).agg(F.array_join(F.transform(F.array_sort(F.collect_set(area)), lambda s: s["a"]), ",").alias("areas"), F.count(F.lit(1)).alias("files"))
 
 
-def aligned(a: list[tuple[int, float]], b: list[tuple[int, float]], skip: float = 0.6) -> list[tuple[int, int]]:
-    """Order-keeping pairs of two sequences of (boxes, relative middle): like counts attract, distance repels, a skip costs."""
+# What pairing two rows of boxes gains or costs.
+PAIR_SAME, PAIR_PER_BOX, PAIR_MOST_BOXES, PAIR_EMPTY, PAIR_OFF_BY_ONE, PAIR_UNLIKE, PAIR_DISTANCE, SKIP = 3.0, 0.5, 4, 0.8, 0.5, -2.0, 4.0, 0.6
+
+
+def pairing_gains(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What pairing each (boxes, middle) of one side with each of the other gains."""
+    n, m = a[:, 0][:, None], b[:, 0][None, :]
+    filled = (n > 0) & (m > 0)
+    alike = np.select([(n == m) & filled, n == m, filled & (np.abs(n - m) <= 1)], [PAIR_SAME + np.minimum(n, PAIR_MOST_BOXES) * PAIR_PER_BOX, PAIR_EMPTY, PAIR_OFF_BY_ONE], PAIR_UNLIKE)
+    return alike - np.abs(a[:, 1][:, None] - b[:, 1][None, :]) * PAIR_DISTANCE
+
+
+def aligned(a: list[tuple[int, float]], b: list[tuple[int, float]], skip: float = SKIP) -> list[tuple[int, int]]:
+    """Order-keeping pairs of two sequences of (boxes, relative middle) with the greatest total gain, less a cost for each item left out.
+
+    A whole row of totals is made at a time: a run of items left out on one side
+    is a running maximum once each place is lifted by what skipping up to it costs.
+    """
     if not a or not b:
         return []
-    (xa, pa_), (xb, pb) = (np.array(s, float).T for s in (a, b))
-    same, both = xa[:, None] == xb[None, :], (xa[:, None] > 0) & (xb[None, :] > 0)
-    gain = np.where(same & both, 3.0 + np.minimum(xa, 4)[:, None] * 0.5, np.where(same, 0.8, np.where(both & (np.abs(xa[:, None] - xb[None, :]) <= 1), 0.5, -2.0))) - np.abs(pa_[:, None] - pb[None, :]) * 4.0
-    best = np.zeros((len(a) + 1, len(b) + 1))
-    best[:, 0], best[0, :] = -skip * np.arange(len(a) + 1), -skip * np.arange(len(b) + 1)
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            best[i, j] = max(best[i - 1, j] - skip, best[i, j - 1] - skip, best[i - 1, j - 1] + gain[i - 1, j - 1])
-    i, j, pairs = len(a), len(b), []
+    gains = pairing_gains(np.array(a, float), np.array(b, float))
+    lift = skip * np.arange(len(b) + 1)
+    totals = [-lift]
+    for row in gains:
+        above = totals[-1]
+        start = np.maximum(above - skip, np.append(-np.inf, above[:-1] + row))
+        totals.append(np.maximum.accumulate(start + lift) - lift)
+    pairs, i, j = [], len(a), len(b)
     while i and j:
-        if best[i, j] == best[i - 1, j - 1] + gain[i - 1, j - 1]:
+        here = totals[i][j]
+        if abs(here - totals[i - 1][j - 1] - gains[i - 1, j - 1]) < 1e-9:
             i, j = i - 1, j - 1
             pairs.append((i, j))
-        elif best[i, j] == best[i - 1, j] - skip:
+        elif abs(here - totals[i - 1][j] + skip) < 1e-9:
             i -= 1
         else:
             j -= 1

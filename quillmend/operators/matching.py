@@ -1,62 +1,69 @@
 """Matching readings to lexicons and directories.
 
-A lexicon is a bounded dimension: it travels as one row holding an array of its
-terms (its size is checked), so that a reading is scored in place and only its
-best terms become rows. Readings are made distinct first.
+A lexicon travels as rows that each hold an array of at most BLOCK_TERMS terms,
+so that a reading is scored in place and only its best terms become rows; the
+best of all blocks are ranked again, so the number of blocks never changes a
+result. Readings are made distinct first.
 """
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmend.functions import similarity as S
 
-#: A lexicon beyond this goes through ``candidate_join`` instead of a broadcast row.
-LEXICON_ROWS = 20_000
+#: Terms of one broadcast row. Larger lexicons take several, one after the other.
+BLOCK_TERMS = 20_000
+#: Rows of a small side that may be broadcast; beyond it the join is left to the planner.
+SMALL_ROWS = 100_000
+
+
+def small(side: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The side with a broadcast hint, if a count shows it to be small."""
+    return F.broadcast(side) if side.count() <= rows else side
 
 
-def _packed(lexicon: DataFrame, term: str, form: str, extra: list[str]) -> DataFrame:
-    entry = F.struct(F.col(term).alias("term"), F.col(form).alias("form"), *(F.col(c).alias(c) for c in extra))
-    return lexicon.agg(F.collect_list(entry).alias("lexicon"))
+def packed(terms: DataFrame, columns: list[str], per_block: int) -> list[DataFrame]:
+    """Tables of one row with an array ``items`` of at most so many of the terms each, give or take a hash's unevenness."""
+    n = max(1, -(-terms.count() // per_block))
+    item = F.array_sort(F.collect_list(F.struct(*columns))).alias("items")
+    if n == 1:
+        return [terms.agg(item)]
+    dealt = terms.withColumn("__block", F.pmod(F.xxhash64(*columns), F.lit(n)))
+    return [dealt.filter(F.col("__block") == i).agg(item) for i in range(n)]
 
 
-def top_terms(values: DataFrame, form: str, lexicon: DataFrame, term: str = "term", term_form: str = "form", k: int = 8, least: float = S.SUGGEST, groups: dict[str, str] | None = None, priority: str | None = None) -> DataFrame:
+def top_terms(values: DataFrame, form: str, lexicon: DataFrame, term: str = "term", term_form: str = "form", k: int = 8, least: float = S.SUGGEST, groups: dict[str, str] | None = None, priority: str | None = None, per_block: int = BLOCK_TERMS) -> DataFrame:
     """The k most similar terms of each distinct value: form, rank, term, term_form, score.
 
     Ordered by score, then the longer form, then priority (true first), then the term.
     """
-    if lexicon.count() > LEXICON_ROWS:
-        return candidate_join(values, form, lexicon, term, term_form, k, least, groups)
-    one = F.broadcast(_packed(lexicon, term, term_form, [priority] if priority else []))
+    first = (~F.coalesce(F.col(priority).cast("boolean"), F.lit(False))).cast("int") if priority else F.lit(0)
+    terms = lexicon.select(F.col(term).alias("term"), F.col(term_form).alias("form"), first.alias("first"))
     distinct = values.select(F.col(form).alias("value")).filter("value is not null and value <> ''").distinct()
 
     def scored(e: Column) -> Column:
-        first = (~F.coalesce(e[priority].cast("boolean"), F.lit(False))).cast("int") if priority else F.lit(0)
         score = S.similarity(F.col("value"), e["form"], groups)
-        return F.struct((-score).alias("order"), (-F.length(e["form"])).alias("longer"), first.alias("first"), e["term"].alias("term"), e["form"].alias("term_form"))
-
-    ranked = F.array_sort(F.filter(F.transform("lexicon", scored), lambda s: s["order"] <= -least))
-    best = distinct.join(one).select("value", F.posexplode(F.slice(ranked, 1, k)).alias("at", "m"))
+        return F.struct((-score).alias("order"), (-F.length(e["form"])).alias("longer"), e["first"].alias("first"), e["term"].alias("term"), e["form"].alias("term_form"))
+
+    ranked = F.array_sort(F.filter(F.transform("items", scored), lambda s: s["order"] <= -least))
+    blocks = packed(terms, ["term", "form", "first"], per_block)
+    best = reduce(DataFrame.unionByName, [distinct.join(F.broadcast(one)).select("value", F.explode(F.slice(ranked, 1, k)).alias("m")) for one in blocks])
+    if len(blocks) > 1:
+        best = best.groupBy("value").agg(F.slice(F.array_sort(F.collect_list("m")), 1, k).alias("m")).select("value", F.posexplode("m").alias("at", "m"))
+    else:
+        best = distinct.join(F.broadcast(blocks[0])).select("value", F.posexplode(F.slice(ranked, 1, k)).alias("at", "m"))
     return best.select(F.col("value").alias(form), (F.col("at") + 1).alias("rank"), F.col("m.term").alias("term"), F.col("m.term_form").alias("term_form"), (-F.col("m.order")).alias("score"))
 
 
-def candidate_join(values: DataFrame, form: str, lexicon: DataFrame, term: str, term_form: str, k: int, least: float, groups: dict[str, str] | None = None) -> DataFrame:
-    """top_terms for large lexicons: only pairs that share a canonical bigram are scored.
-
-    Lossless for ``least`` of 2/3 or more and terms of four characters or more: so close
-    a pair has a stretch of two unchanged characters.
-    """
-    canon = (lambda c: S.canonical(c, groups)) if groups else (lambda c: c)
-    left = values.select(F.col(form).alias("value")).filter("value <> ''").distinct().withColumn("gram", F.explode(S.bigrams(canon(F.col("value")))))
-    right = lexicon.select(F.col(term).alias("term"), F.col(term_form).alias("term_form")).withColumn("gram", F.explode(S.bigrams(canon(F.col("term_form")))))
-    pairs = left.join(right, "gram").select("value", "term", "term_form").distinct()
-    scored = pairs.withColumn("score", S.similarity(F.col("value"), F.col("term_form"), groups)).filter(F.col("score") >= least)
-    order = W.partitionBy("value").orderBy(F.desc("score"), F.desc(F.length("term_form")), "term")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(F.col("value").alias(form), "rank", "term", "term_form", "score")
-
-
 def decide(readings: DataFrame, text: str, form: str, confidence: str, hits: DataFrame, adopt: float = S.ADOPT) -> DataFrame:
     """Add adopted and adopted_confidence to readings, given their top_terms.
 
@@ -96,30 +103,123 @@ def standard_name(reading: Column, name: Column, before: list[str] = BEFORE, aft
     return F.when((n == "") | ((core > 0) & (F.length(n) < core * cover)), r).otherwise(out)
 
 
-def suggest(lexicon: DataFrame, term: str, form: str, ordinal: str, queries: DataFrame, query: str, k: int = 8) -> DataFrame:
-    """Completions of each query: terms that begin with it, then those that contain it, in lexicon order."""
-    hits = queries.join(F.broadcast(lexicon), F.contains(F.col(form), F.col(query)))
-    kind = F.when(F.startswith(F.col(form), F.col(query)), 0).otherwise(1)
-    order = W.partitionBy(query).orderBy(kind, ordinal)
+def suggest(lexicon: DataFrame, term: str, form: str, ordinal: str, queries: DataFrame, query: str, k: int = 8, least: float = 0.45) -> DataFrame:
+    """Completions of each query: terms that begin with it, then those that contain it, in lexicon order, then similar ones, best first.
+
+    ``least`` of 1 or more leaves the similar ones out. The queries are the small side; the lexicon is read where it lies.
+    """
+    begins, holds = F.startswith(F.col(form), F.col(query)), F.contains(F.col(form), F.col(query))
+    score = F.when(holds, 1.0).otherwise(S.similarity(F.col(query), F.col(form))) if least < 1 else holds.cast("double")
+    hits = lexicon.join(small(queries), holds if least >= 1 else F.lit(True)).withColumn("score", score).filter(holds | (F.col("score") >= least))
+    kind = F.when(begins, 0).when(holds, 1).otherwise(2)
+    order = W.partitionBy(query).orderBy("kind", F.when(F.col("kind") < 2, 0.0).otherwise(-F.col("score")), ordinal)
     return hits.withColumn("kind", kind).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query, "rank", "kind", F.col(term).alias("suggestion"))
 
 
-def drop_boilerplate(lines: DataFrame, form: str, boilerplate: DataFrame, phrase: str, alike: float = S.LINES_ALIKE, length_ratio: float = 0.70) -> DataFrame:
-    """Lines that are no near copy of a printed phrase of about their length.
+def character_masks(phrase: str) -> dict[str, int]:
+    """For each character the bits of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(phrase):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
 
-    An edit changes two bigrams at most, so lines that share too few of a
-    phrase's bigrams are passed over before any distance is computed.
+def near_stretch(masks: dict[str, int], m: int, line: str, most: float) -> bool:
+    """Whether some stretch of the line is at most so many edits from the phrase of m characters.
+
+    A column of the edit table is held as the bits of its steps up and down, and all its cells move on at once.
+    """
+    if m <= most:
+        return True
+    full, top = (1 << m) - 1, 1 << m - 1
+    up, down, edits = full, 0, m
+    for c in line:
+        same = masks.get(c, 0)
+        flat = ((same & up) + up ^ up) | same
+        rise, fall = down | full & ~(flat | up), up & flat
+        edits += bool(rise & top) - bool(fall & top)
+        if edits <= most:
+            return True
+        keep = same | down
+        rise, fall = rise << 1 & full, fall << 1 & full
+        up, down = fall | full & ~(keep | rise), rise & keep
+    return False
+
+
+class NearPhrases:
+    """Phrases by their bigrams, to tell which of them a line may be alike.
+
+    Two strings are alike by the share of distinct bigrams, which is counted, or
+    by few edits: an edit changes two bigrams at most, so so many of a phrase's
+    bigrams, repeats included, must be in the line, and no stretch of the line
+    is nearer to the phrase than ``fewest_edits``. Neither test misses a pair.
     """
-    packed = boilerplate.select(phrase).distinct().agg(F.collect_list(F.struct(F.col(phrase).alias("p"), S.bigrams(F.col(phrase)).alias("g"))).alias("phrases"))
 
-    def same(x: Column) -> Column:
-        p, n, m = x["p"], F.length(form), F.length(x["p"])
-        shared = F.size(F.array_intersect(x["g"], "__g"))
-        fewest = F.least(F.size(x["g"]) - 2 * (1 - alike) * (m + 2), alike / 2 * (F.size(x["g"]) + F.size("__g")))
-        return F.when(F.least(m, n) / F.greatest(m, n) < length_ratio, False).when(p == F.col(form), True).when(shared < fewest, False).otherwise(S.similarity(F.col(form), p) >= alike)
+    def __init__(self, phrases: list[str], alike: float, length_ratio: float):
+        self.alike, self.length_ratio = alike - 1e-4, length_ratio  # likeness is rounded to four places
+        self.masks = [character_masks(p) for p in phrases]
+        self.lengths = np.array([len(p) for p in phrases])
+        grams = [self.grams(p) for p in phrases]
+        self.distinct = np.array([len(g) for g, _ in grams])
+        self.where = [self._postings([g[side] for g in grams]) for side in (0, 1)]
+
+    @staticmethod
+    def grams(text: str) -> tuple[set[str], set[str]]:
+        """Distinct bigrams, and bigrams numbered by occurrence."""
+        seen: dict[str, int] = {}
+        numbered = set()
+        for pair in map(operator.add, text, text[1:]):
+            seen[pair] = seen.get(pair, 0) + 1
+            numbered.add(f"{pair}{seen[pair]}")
+        return set(seen), numbered
+
+    @staticmethod
+    def _postings(grams: list[set[str]]) -> dict[str, np.ndarray]:
+        out: dict[str, list[int]] = {}
+        for i, held in enumerate(grams):
+            for g in held:
+                out.setdefault(g, []).append(i)
+        return {g: np.array(at) for g, at in out.items()}
+
+    def candidates(self, line: str) -> np.ndarray:
+        """Places of the phrases of about the line's length that it may be alike."""
+        n, m = len(line), self.lengths
+        held = self.grams(line)
+        shared = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(where[g] for g in grams & where.keys())]).astype(np.int64), minlength=len(m)) for grams, where in zip(held, self.where)]
+        by_share = 2 * shared[0] >= self.alike * (len(held[0]) + self.distinct)
+        by_edits = shared[1] >= m - 1 - 2 * (1 - self.alike) * (m + 2)
+        fits = np.minimum(m, n) >= self.length_ratio * np.maximum(m, n) - 1e-9
+        doubtful = [i for i in np.flatnonzero(fits & by_edits & ~by_share).tolist() if not near_stretch(self.masks[i], int(m[i]), line, (1 - self.alike) * (m[i] + 2))]
+        found = fits & (by_share | by_edits)
+        found[doubtful] = False
+        return np.flatnonzero(found)
+
+
+def drop_boilerplate(lines: DataFrame, form: str, boilerplate: DataFrame, phrase: str, alike: float = S.LINES_ALIKE, length_ratio: float = 0.70, per_block: int = BLOCK_TERMS) -> DataFrame:
+    """Lines that are no near copy of a printed phrase of about their length.
 
-    distinct = lines.select(form).distinct().withColumn("__g", S.bigrams(F.col(form)))
-    seen = distinct.join(F.broadcast(packed)).filter(F.exists("phrases", same)).select(form)
+    Blocks of phrases go to the workers, which name the few that a line may be alike; only for those is the likeness worked out.
+    """
+    distinct = lines.select(F.col(form).alias("line")).filter("line is not null").distinct()
+    context = lines.sparkSession.sparkContext
+
+    def met(one: DataFrame) -> DataFrame:
+        phrases = context.broadcast([x["p"] for x in one.first()["items"] or []])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = NearPhrases(phrases.value, alike, length_ratio)
+            for batch in batches:
+                pairs = [(t, phrases.value[i]) for t in batch.column(0).to_pylist() for i in near.candidates(t).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], ["line", "p"])
+
+        return distinct.mapInArrow(run, "line string, p string")
+
+    phrases = boilerplate.select(F.col(phrase).alias("p")).filter("p is not null").distinct()
+    n, m = F.length("line"), F.length("p")
+    fits = F.least(m, n) / F.greatest(m, n) >= length_ratio
+    shares = F.round(S.dice(F.col("line"), F.col("p")), 4) >= alike  # enough for most, and far cheaper than the rest of the likeness
+    like = F.when(F.col("line") == F.col("p"), True).when(shares, True).otherwise(S.similarity(F.col("line"), F.col("p")) >= alike)
+    seen = reduce(DataFrame.unionByName, [met(one).filter(fits & like).select(F.col("line").alias(form)) for one in packed(phrases, ["p"], per_block)]).distinct()
     return lines.join(seen, form, "left_anti")
 
 
@@ -139,10 +239,14 @@ def core_names(name: Column, ends: list[str] = FACILITY_ENDS, owners: str = OWNE
     return F.array_distinct(F.concat(F.array(name), F.when(F.size(parts) > 1, shorter).otherwise(F.array().cast("array<string>")), own))
 
 
+# Marks and digits that lead a reading.
+LEADING = r"^[\s　0-9０-９.,、。・\-ー―_|｜]+"
+
+
 def query_forms(text: Column, ends: list[str] = FACILITY_ENDS) -> Column:
     """A reading and, if it differs, the part up to its last facility end without leading digits and marks."""
     cut = F.regexp_extract(text, "^(.*(?:" + "|".join(ends) + "))", 1)
-    bare = F.trim(F.regexp_replace(F.when(cut != "", cut).otherwise(text), r"^[\s　0-9０-９.,、。・\-ー―_|｜]+", ""))
+    bare = F.trim(F.regexp_replace(F.when(cut != "", cut).otherwise(text), LEADING, ""))
     return F.array_distinct(F.filter(F.array(text, bare), lambda x: x != ""))
 
 
@@ -184,7 +288,7 @@ def infer_region(texts: DataFrame, key: str, ordinal: str, form: str, regions: D
     """The first listed region found in a record's texts: by text order, whole names before names without their suffix, then list order."""
     short = F.substring(region_form, F.lit(1), F.length(region_form) - suffix)
     both = regions.select(F.col(region).alias("region"), F.col(list_ordinal).alias("at"), F.explode(F.array(F.struct(F.lit(0).alias("pass"), F.col(region_form).alias("f")), F.struct(F.lit(1).alias("pass"), short.alias("f")))).alias("n"))
-    hits = texts.join(F.broadcast(both), (F.col("n.f") != "") & F.contains(F.col(form), F.col("n.f")))
+    hits = texts.join(small(both), (F.col("n.f") != "") & F.contains(F.col(form), F.col("n.f")))
     return hits.groupBy(key).agg(F.min_by("region", F.struct(ordinal, "n.pass", "at")).alias("region"))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import pairs_of_changes
+from .matching import BLOCK_TERMS, packed, small
 
 
 def changes_of(truth: str, read: str, pad: int = 2, longest: int = 8) -> list[tuple[str, str]]:
@@ -52,22 +54,21 @@ def vocabulary(*terms: DataFrame, pattern: str = r"^[ぁ-んァ-ヶ一-龥ー]+$
 def real_words_removed(fixes: DataFrame, words: DataFrame, corpus: DataFrame, text: str, longest_word: int = 12) -> DataFrame:
     """Fixes whose wrong form is no word, occurs in no corpus text and holds no word of three or more characters.
 
-    The corpus is searched once for all wrong forms, which are few after mining:
-    they travel as one array.
+    The corpus is searched once for each block of wrong forms, which travel as arrays.
     """
     bare = fixes.join(words.select(F.col("word").alias("wrong")), "wrong", "left_anti")
     grams = bare.select("wrong", F.explode(F.filter(F.flatten(F.transform(F.sequence(F.lit(3), F.lit(longest_word)), lambda n: F.when(F.length("wrong") >= n, F.transform(F.sequence(F.lit(1), F.length("wrong") - n + 1), lambda i: F.substring("wrong", i, n))).otherwise(F.array().cast("array<string>")))), lambda g: g != "")).alias("word"))
     holds = grams.join(words, "word").select("wrong").distinct()
     bare = bare.join(holds, "wrong", "left_anti")
-    one = F.broadcast(bare.agg(F.collect_set("wrong").alias("__w")))
-    seen = corpus.join(one).select(F.explode(F.filter("__w", lambda w: F.contains(F.col(text), w))).alias("wrong")).distinct()
+    blocks = packed(bare.select("wrong").distinct(), ["wrong"], BLOCK_TERMS)
+    seen = reduce(DataFrame.unionByName, [corpus.join(F.broadcast(one)).select(F.explode(F.filter("items", lambda w: F.contains(F.col(text), w["wrong"]))["wrong"]).alias("wrong")) for one in blocks]).distinct()
     return bare.join(seen, "wrong", "left_anti")
 
 
 def generated_fixes(words: DataFrame, confusions: DataFrame, word: str = "word") -> DataFrame:
     """Words with one character confused: wrong, right. Kept where the wrong form is no word and has one origin. Confusions: bad, good."""
     at = words.select(F.col(word).alias("right"), F.explode(F.sequence(F.lit(1), F.length(word))).alias("i")).withColumn("good", F.substring("right", F.col("i"), F.lit(1)))
-    made = at.join(F.broadcast(confusions), "good").select(F.concat(F.substring("right", F.lit(1), F.col("i") - 1), "bad", F.substring("right", F.col("i") + 1, F.length("right"))).alias("wrong"), "right")
+    made = at.join(small(confusions), "good").select(F.concat(F.substring("right", F.lit(1), F.col("i") - 1), "bad", F.substring("right", F.col("i") + 1, F.length("right"))).alias("wrong"), "right")
     novel = made.join(words.select(F.col(word).alias("wrong")), "wrong", "left_anti")
     return novel.groupBy("wrong").agg(F.min("right").alias("right"), F.count_distinct("right").alias("n")).filter("n = 1").drop("n")
 

@@ -29,6 +29,18 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], l: tuple[str
     return a.join(b, [*on, "cell"]).filter((F.col(l[0]) < F.col(r[1])) & (F.col(r[0]) < F.col(l[1])) & (F.col("cell") == begins)).drop("cell")
 
 
+def cell_of(x: str, y: str, width: float, height: float) -> list[Column]:
+    """A point's cell of a grid."""
+    return [F.floor(F.col(x) / width).alias("cx"), F.floor(F.col(y) / height).alias("cy")]
+
+
+def with_neighbours(points: DataFrame, x: str, y: str, width: float, height: float) -> DataFrame:
+    """A row per cell around each point: points closer than a cell's size on both axes share one of them."""
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    cx, cy = cell_of(x, y, width, height)
+    return points.withColumn("__d", F.explode(steps)).withColumn("cx", cx + F.col("__d.i")).withColumn("cy", cy + F.col("__d.j")).drop("__d")
+
+
 def best_overlap(tokens: DataFrame, labels: DataFrame, on: list[str], token: str, label: str, width: float, centre_bonus: float = 1000.0) -> DataFrame:
     """For each token the label with the largest horizontal overlap, one holding the token's centre first: token, label. Columns tx0, tx1 and lx0, lx1."""
     pairs = interval_join(tokens, labels, on, ("tx0", "tx1"), ("lx0", "lx1"), width)
@@ -37,12 +49,13 @@ def best_overlap(tokens: DataFrame, labels: DataFrame, on: list[str], token: str
     return pairs.groupBy(*on, token).agg(F.max_by(label, F.struct(cover.alias("c"), (-F.col(label)).alias("o"))).alias(label))
 
 
-def lines_in(lines: DataFrame, rects: DataFrame, on: list[str], line: str, rect: str, share: float = 0.55) -> DataFrame:
-    """Lines that lie in a rectangle by at least a share of their own area. Columns x0..y1 and rx0..ry1."""
+def lines_in(lines: DataFrame, rects: DataFrame, on: list[str], line: str, rect: str, share: float = 0.55, height: float = 64.0) -> DataFrame:
+    """Lines that lie in a rectangle by at least a share of their own area. Columns x0..y1 and rx0..ry1. They meet in bands of the given height."""
     c = F.col
     inside = overlap(c("x0"), c("x1"), c("rx0"), c("rx1")) * overlap(c("y0"), c("y1"), c("ry0"), c("ry1"))
     area = (c("x1") - c("x0")) * (c("y1") - c("y0"))
-    return lines.join(rects, on).filter(inside >= area * share).select(*on, line, rect, "x0", "y0")
+    met = interval_join(lines.select(*on, line, "x0", "y0", "x1", "y1"), rects.select(*on, rect, "rx0", "ry0", "rx1", "ry1"), on, ("y0", "y1"), ("ry0", "ry1"), height)
+    return met.filter(inside >= area * share).select(*on, line, rect, "x0", "y0")
 
 
 def text_of(hits: DataFrame, on: list[str], rect: str, line: str, separator: str = " ") -> DataFrame:
@@ -58,25 +71,30 @@ def zip_if_equal(left: DataFrame, right: DataFrame, on: list[str], l_order: list
     return a.join(b, [*on, "__i", "__n"]).drop("__n").withColumnRenamed("__i", "position")
 
 
-def row_lines(lines: DataFrame, boxes: DataFrame, on: list[str], field: str, pad_y: float = 6, pad_x: float = 10) -> DataFrame:
-    """Distinct lines that touch any box of a field, joined in order: on, field, text. Boxes bx0..by1, lines x0..y1 and text."""
+def row_lines(lines: DataFrame, boxes: DataFrame, on: list[str], field: str, pad_y: float = 6, pad_x: float = 10, height: float = 64.0) -> DataFrame:
+    """Distinct lines that touch any box of a field, joined in order: on, field, text. Boxes bx0..by1, lines x0..y1 and text. They meet in bands of the given height."""
     c = F.col
     middle = (c("by0") + c("by1")) / 2
+    banded = lines.withColumn("__band", F.explode(F.sequence(F.floor((c("y0") - pad_y) / height), F.floor((c("y1") + pad_y) / height))))
     hit = middle.between(c("y0") - pad_y, c("y1") + pad_y) & (c("x1") >= c("bx0") - pad_x) & (c("x0") <= c("bx1") + pad_x)
-    met = lines.join(boxes, on).filter(hit).select(*on, field, "y0", "x0", "text").distinct()
+    met = banded.join(boxes.withColumn("__band", F.floor(middle / height)), [*on, "__band"]).filter(hit).select(*on, field, "y0", "x0", "text").distinct()
     return met.groupBy(*on, field).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda s: s["text"]), " ").alias("text"))
 
 
 def nearest(points: DataFrame, targets: DataFrame, on: list[str], point: str, target: str, max_dx: float, max_dy: float) -> DataFrame:
-    """The nearest target of each point within limits on both axes: point, target, distance. Columns px, py and qx, qy."""
+    """The nearest target of each point within limits on both axes: point, target, distance. Columns px, py and qx, qy. They meet in cells of the limits' size."""
     dx, dy = F.abs(F.col("px") - F.col("qx")), F.abs(F.col("py") - F.col("qy"))
-    near = points.join(targets, on).filter((dx <= max_dx) & (dy <= max_dy)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    around = with_neighbours(points, "px", "py", max_dx, max_dy)
+    near = around.join(targets.select("*", *cell_of("qx", "qy", max_dx, max_dy)), [*on, "cx", "cy"]).filter((dx <= max_dx) & (dy <= max_dy)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
     return near.groupBy(*on, point).agg(F.min_by(F.struct(target, "distance"), F.struct(F.round("distance", 9).alias("d"), target)).alias("n")).select(*on, point, F.col(f"n.{target}").alias(target), F.round("n.distance", 4).alias("distance"))
 
 
 def unknown_boxes(found: DataFrame, known: DataFrame, on: list[str], close: float = 8) -> DataFrame:
-    """Found boxes with no known box closer than so much on both axes. Columns px, py and qx, qy."""
-    return found.join(known, (found[on[0]] == known[on[0]]) & (F.abs(found["px"] - known["qx"]) < close) & (F.abs(found["py"] - known["qy"]) < close), "left_anti")
+    """Found boxes with no known box of the same key closer than so much on both axes. Columns px, py and qx, qy."""
+    around = with_neighbours(known.select(*(F.col(c).alias(f"__{c}") for c in on), "qx", "qy"), "qx", "qy", close, close).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
+    cells = found.select("*", *cell_of("px", "py", close, close))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on] + [F.col("cx") == F.col("__cx"), F.col("cy") == F.col("__cy")]
+    return cells.join(around, [*same, F.abs(F.col("px") - F.col("qx")) < close, F.abs(F.col("py") - F.col("qy")) < close], "left_anti").drop("cx", "cy")
 
 
 def same_row(fields: DataFrame, on: list[str], field: str, y: str, pad: float = 18) -> DataFrame:

@@ -84,8 +84,8 @@ def ensemble_pick(spark, sf_dir):
 
 
 def token_lines(spark, sf_dir):
-    """Rebuild short ASCII lines of documents from their words."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).filter(F.col("l").rlike("^[ -~]+$")).select("doc_id", "line", F.posexplode(F.split("l", " ")).alias("ord", "token"))
+    """Rebuild the lines of documents from their words."""
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).select("doc_id", "line", F.posexplode(F.split("l", " ")).alias("ord", "token"))
     return E.rebuild_lines(w.withColumn("confidence", F.length("token") / 10.0), ["doc_id"], "line", "ord", "token", "confidence").select("doc_id", F.md5("text").alias("text_md5"), "lines", F.round("confidence", 4).alias("confidence"))
 
 
@@ -155,9 +155,9 @@ ORACLE_SQL = {
     "agg_train_test": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= greatest(1, floor(count(*) OVER () * 0.7)) AS train FROM documents",
     "agg_multi_choice": """WITH e AS (SELECT user_id, event_type, max(value > 5) AS c, round(max(value) / 100, 3) AS f FROM events GROUP BY 1, 2) SELECT user_id, coalesce(string_agg(event_type, ',' ORDER BY event_type) FILTER (c), '') AS picked, min(f) AS confidence FROM e GROUP BY 1""",
     "agg_ensemble_pick": "SELECT user_id, event_type AS picked, value AS best FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1",
-    "agg_token_lines": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l FROM documents), s AS (SELECT * FROM l WHERE regexp_full_match(l, '[ -~]+')),
-        w AS (SELECT doc_id, i, unnest(string_split(l, ' ')) AS t FROM s), m AS (SELECT doc_id, i, avg(length(t) / 10.0) AS c FROM w GROUP BY 1, 2), g AS (SELECT doc_id, md5(string_agg(l, chr(10) ORDER BY i)) AS text_md5, count(*) AS lines FROM s GROUP BY 1)
-        SELECT doc_id, text_md5, lines, round(avg(c), 4) AS confidence FROM g JOIN m USING (doc_id) GROUP BY ALL""",
+    "agg_token_lines": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l FROM documents),
+        w AS (SELECT doc_id, i, unnest(string_split(l, ' ')) AS t FROM l), m AS (SELECT doc_id, i, ((sum(length(t)) / 10)::DOUBLE / count(*))::DECIMAL(18, 9) AS c FROM w GROUP BY 1, 2), g AS (SELECT doc_id, md5(string_agg(l, chr(10) ORDER BY i)) AS text_md5, count(*) AS lines FROM l GROUP BY 1)
+        SELECT doc_id, text_md5, lines, round(sum(c)::DOUBLE / count(*), 4) AS confidence FROM g JOIN m USING (doc_id) GROUP BY ALL""",
     "agg_distinct_in_order": "WITH s AS (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS seen FROM s GROUP BY 1",
     "agg_best_of_two": "SELECT p_partkey, CASE WHEN p_size / 50.0 >= p_retailprice / 1000 % 1 THEN p_name ELSE p_type END AS best, CASE WHEN p_name = '' OR (length(p_type) >= length(p_name) + 3 AND p_retailprice / 1000 % 1 >= 0.5) THEN p_type ELSE p_name END AS line FROM part",
     "agg_worst_fields": "SELECT l_suppkey, round(avg(l_discount), 6) AS mean, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY mean, l_suppkey LIMIT 15",

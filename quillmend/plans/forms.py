@@ -80,9 +80,12 @@ def reader_tokens(spark, sf_dir):
 
 
 def aligned_rows(spark, sf_dir):
-    p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("s"))
-    seq = lambda n: F.transform(F.slice("s", n, 12), lambda x, i: F.struct((x["p_size"] % 5).cast("double").alias("n"), (i / 12.0).alias("m")))
-    return O.align_sequences(p.select("p_brand", seq(1).alias("a"), seq(2).alias("b")), "p_brand", "a", "b")
+    """The parts of each brand with an even key against those with an odd one."""
+    p = table(spark, sf_dir, "part")
+    side = lambda odd: F.array_sort(F.collect_list(F.when(F.col("p_partkey") % 2 == odd, F.struct("p_partkey", "p_size"))))
+    rows = lambda c: F.transform(c, lambda x, i: F.struct((x["p_size"] % 5).cast("double").alias("n"), (i / F.size(c)).alias("m")))
+    g = p.groupBy("p_brand").agg(side(0).alias("a"), side(1).alias("b"))
+    return O.align_sequences(g.select("p_brand", rows(F.col("a")).alias("a"), rows(F.col("b")).alias("b")), "p_brand", "a", "b")
 
 
 QUERIES = {f"form_{f.__name__}": f for f in (routing, asking, loose_inputs, candidates, fresh_keys, option_expansion, compared_forms, addresses, date_slots, value_texts, commit_areas, reader_tokens, aligned_rows)}

@@ -46,9 +46,9 @@ def lexicon_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    right = F.broadcast(table(spark, sf_dir, "part").select(F.lower("p_type").alias("b")).distinct())
-    return left.join(right).select("a", "b", S.similarity(F.col("a"), F.col("b")).alias("score"), F.round(S.dice(F.col("a"), F.col("b")), 4).alias("dice"), S.is_shortening(F.col("a"), F.col("b")).alias("shortening"))
+    """Each part's name against its own type."""
+    pairs = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.lower("p_type").alias("b")).distinct()
+    return pairs.select("a", "b", S.similarity(F.col("a"), F.col("b")).alias("score"), F.round(S.dice(F.col("a"), F.col("b")), 4).alias("dice"), S.is_shortening(F.col("a"), F.col("b")).alias("shortening"))
 
 
 def nearest_code(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,16 +59,15 @@ def nearest_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("term")).agg(F.min("p_partkey").alias("ordinal"))
-    queries = spark.sql("SELECT explode(array('re', 'small', 'g', 'o')) AS query")
+    queries = spark.sql("SELECT explode(array('re', 'small', 'g', 'o', 'hot rin', 'smal bolt')) AS query")
     return M.suggest(names.withColumn("form", F.col("term")), "term", "form", "ordinal", queries, "query", k=5)
 
 
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short ASCII lines of documents that are no near copy of a line repeated in many of them."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    short = lines.filter(F.length("line").between(4, 60) & F.col("line").rlike("^[ -~]+$"))
-    repeated = short.groupBy("line").agg(F.count_distinct("doc_id").alias("n")).filter("n >= 5").select("line")
-    return M.drop_boilerplate(short, "line", repeated, "line").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines_kept"))
+    """Lines of documents that are no near copy of a line repeated in many of them."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    repeated = lines.groupBy("line").agg(F.count_distinct("doc_id").alias("n")).filter("n >= 5").select("line")
+    return M.drop_boilerplate(lines, "line", repeated, "line").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines_kept"))
 
 
 def infer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,16 +124,23 @@ ORACLE_SQL = {
               round(CASE WHEN exact IS NOT NULL THEN 0.8 WHEN bt IS NULL THEN 0.42 WHEN short OR score < 0.72 THEN 0.45 ELSE least(0.95, 0.3 + score * 0.5) END, 3) AS adopted_confidence FROM j)
         SELECT *, CASE WHEN adopted_confidence >= 0.8 THEN 'high' WHEN adopted_confidence >= 0.5 THEN 'medium' ELSE 'low' END AS level FROM o""",
     "match_lexicon_top_k": f"WITH {_RANKED} SELECT a AS form, rank, term, score FROM r WHERE rank <= 3",
-    "match_similarity_pairs": f"""WITH p AS (SELECT DISTINCT x.p_name AS a, lower(y.p_type) AS b FROM part x, (SELECT DISTINCT p_type FROM part) y), {SIM_SQL}
+    "match_similarity_pairs": f"""WITH p AS (SELECT DISTINCT p_name AS a, lower(p_type) AS b FROM part), {SIM_SQL}
         SELECT a, b, score, round(d, 4) AS dice, contains(a, b) AND {_SHORT} AS shortening FROM sim JOIN s0 USING (a, b)""",
     "match_nearest_code": f"WITH {_RANKED} SELECT a AS form, term, 'C' || length(term) AS code, score, a = b AS exact FROM r WHERE rank = 1 AND score >= 0.6",
-    "match_suggest": """WITH n AS (SELECT p_name AS term, min(p_partkey) AS ordinal FROM part GROUP BY 1), q AS (SELECT unnest(['re', 'small', 'g', 'o']) AS query)
-        SELECT query, rank, kind, term AS suggestion FROM (SELECT *, CASE WHEN starts_with(term, query) THEN 0 ELSE 1 END AS kind, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN starts_with(term, query) THEN 0 ELSE 1 END, ordinal) AS rank FROM n JOIN q ON contains(term, query)) WHERE rank <= 5""",
-    "match_boilerplate_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT * FROM l WHERE length(line) BETWEEN 4 AND 60 AND regexp_full_match(line, '[ -~]+')),
+    "match_suggest": f"""WITH n AS (SELECT p_name AS term, min(p_partkey) AS ordinal FROM part GROUP BY 1), q AS (SELECT unnest(['re', 'small', 'g', 'o', 'hot rin', 'smal bolt']) AS query), p AS (SELECT query AS a, term AS b FROM n, q), {SIM_SQL},
+        h AS (SELECT query, term, ordinal, score, CASE WHEN starts_with(term, query) THEN 0 WHEN contains(term, query) THEN 1 ELSE 2 END AS kind FROM sim JOIN n ON term = b JOIN q ON query = a)
+        SELECT query, rank, kind, term AS suggestion FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY kind, CASE WHEN kind < 2 THEN 0 ELSE -score END, ordinal) AS rank FROM h WHERE kind < 2 OR score >= 0.45) WHERE rank <= 5""",
+    "match_boilerplate_lines": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT * FROM l WHERE line <> ''),
         rep AS (SELECT line FROM s GROUP BY line HAVING count(DISTINCT doc_id) >= 5),
         p AS (SELECT DISTINCT s.line AS a, rep.line AS b FROM (SELECT DISTINCT line FROM s) s, rep WHERE least(length(s.line), length(rep.line)) / greatest(length(s.line), length(rep.line))::DOUBLE >= 0.7), {SIM_SQL},
         gone AS (SELECT DISTINCT a FROM sim WHERE score >= 0.8)
         SELECT doc_id, count(*) AS lines_kept FROM s WHERE line NOT IN (SELECT a FROM gone) GROUP BY doc_id""",
+    "match_directory": f"""WITH d AS (SELECT s_nationkey AS region, s_name AS name, regexp_replace(s_name, '#0', '#O') AS text FROM supplier), x AS (SELECT l.region, l.text, r.name, lower(l.text) AS a, lower(r.name) AS b FROM d l JOIN d r ON l.region = r.region),
+        p AS (SELECT DISTINCT a, b FROM x), {SIM_SQL}, r AS (SELECT text, region, name, round(score, 3) AS score FROM x JOIN sim USING (a, b) WHERE score >= 0.55)
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text, region ORDER BY score DESC, length(name), name) AS rank FROM r) WHERE rank <= 3""",
+    "match_directory_picker": f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), held AS (SELECT name, 0 AS kind, 1.0::DOUBLE AS score FROM n WHERE contains(name, 'hot rin') ORDER BY name LIMIT 40), p AS (SELECT 'hot rin' AS a, name AS b FROM n WHERE NOT contains(name, 'hot rin')), {SIM_SQL},
+        near AS (SELECT b AS name, 1 AS kind, score FROM sim WHERE score >= 0.5 AND (SELECT count(*) FROM held) < 8 ORDER BY score DESC, b LIMIT 20)
+        SELECT name, kind, row_number() OVER (ORDER BY kind, score DESC, name) AS rank, score FROM (SELECT * FROM held UNION ALL SELECT * FROM near)""",
     "match_infer_region": """WITH t AS (SELECT o_orderkey, lower(o_orderpriority || ' ' || o_orderstatus) AS form FROM orders),
         r AS (SELECT * FROM (VALUES ('high', 'high-', 1), ('urgent', 'urgent', 2), ('low', 'low', 3), ('medium', 'mediums', 4)) AS v(region, rform, ord)),
         b AS (SELECT region, ord, 0 AS pass, rform AS f FROM r UNION ALL SELECT region, ord, 1, substr(rform, 1, length(rform) - 1) FROM r)

@@ -81,7 +81,7 @@ def anonymised(spark, sf_dir):
 def traces(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     step = F.struct("event_id", F.struct(F.col("event_type").alias("step"), F.when(F.col("user_id") % 2 == 0, F.col("value").cast("string")).alias("detail"), F.when(F.col("event_type") == "click", "a").alias("before"), F.when(F.col("event_type") == "click", "b").alias("after")).alias("s"))
-    t = e.filter("event_id < 3000").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("trace"))
+    t = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["s"]).alias("trace"))
     return t.select("user_id", R.trace_summary(F.col("trace")).alias("summary"), F.md5(F.array_join(R.trace_lines(F.col("trace")), "\n")).alias("lines_md5"), R.engine_of(F.col("trace"), ["click", "view"]).alias("engine"))
 
 
@@ -104,17 +104,17 @@ def suggestions(spark, sf_dir):
 
 
 def values_json(spark, sf_dir):
-    e = _entries(spark, sf_dir).withColumn("value", F.regexp_replace("v_text", r"[^A-Za-z]", ""))
+    e = _entries(spark, sf_dir).withColumn("value", F.col("v_text"))
     return Q.from_records_json(Q.records_json(e))
 
 
 def csv_export(spark, sf_dir):
-    e = _entries(spark, sf_dir).withColumn("value", F.regexp_replace("v_text", r"[^A-Za-z]", ""))
+    e = _entries(spark, sf_dir).withColumn("value", F.col("v_text"))
     return Q.csv_table(e, ["user", "assistant"], {"user": "人", "assistant": "機械"})
 
 
 def markdown_export(spark, sf_dir):
-    e = _entries(spark, sf_dir).select("doc", F.lit("S").alias("section"), F.lit(1).alias("section_no"), F.length("field").alias("ordinal"), F.col("field").alias("label"), F.regexp_replace("v_text", r"[^A-Za-z]", "").alias("value"), F.when(F.col("confidence") >= 0.3, "high").otherwise("low").alias("level"))
+    e = _entries(spark, sf_dir).select("doc", F.lit("S").alias("section"), F.lit(1).alias("section_no"), F.length("field").alias("ordinal"), F.col("field").alias("label"), F.col("v_text").alias("value"), F.when(F.col("confidence") >= 0.3, "high").otherwise("low").alias("level"))
     return Q.markdown(e).select("doc", F.md5("markdown").alias("md5"))
 
 
@@ -129,10 +129,10 @@ def page_links(spark, sf_dir):
 
 
 def reachable_pages(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    l = Q.links(p, "page_id", "html", "th", "ad").select(F.col("page_id").cast("string").alias("src"), "href").join(p.select((F.col("page_id") % 7).cast("string").alias("k"), F.col("page_id").cast("string").alias("dst")).filter("dst < 60"), F.length("href") % 7 == F.col("k")).select("src", "dst").distinct()
-    seeds = spark.sql("SELECT '0' AS node")
-    return Q.reachable(l, seeds, 2, 40)
+    """Pages within two links of page 0, the first 40 of them; where a link leads follows from its page and length."""
+    l = Q.links(table(spark, sf_dir, "pages"), "page_id", "html", "th", "ad")
+    to = (F.col("page_id") * 7 + F.length("href")) % 1009
+    return Q.reachable(l.select(F.col("page_id").cast("string").alias("src"), to.cast("string").alias("dst")).distinct(), spark.sql("SELECT '0' AS node"), 2, 40)
 
 
 def mined_fixes(spark, sf_dir):
@@ -171,7 +171,7 @@ def boilerplate_build(spark, sf_dir):
 
 def commit_log(spark, sf_dir):
     """Order lines as a log of commits: parsed, then rolled up by area."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 500").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.when(F.col("l_tax") > 0.04, "-").otherwise(F.col("l_suppkey").cast("string")), F.concat(F.lower("l_returnflag"), F.lit("/x"), F.col("l_partkey").cast("string"))))), "\n").alias("body"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\t", F.col("l_linenumber").cast("string"), F.when(F.col("l_tax") > 0.04, "-").otherwise(F.col("l_suppkey").cast("string")), F.concat(F.lower("l_returnflag"), F.lit("/x"), F.col("l_partkey").cast("string"))))), "\n").alias("body"))
     log = li.select(F.concat(F.lit("@"), F.col("l_orderkey").cast("string"), F.lit("|2024-01-01|work\n\n"), "body").alias("value"))
     c = Q.parse_numstat(log, "value")
     return c.groupBy(F.substring("file", 1, 2).alias("area")).agg(F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.count_distinct("file").alias("files"), F.count_distinct("sha").alias("commits"))
@@ -179,7 +179,7 @@ def commit_log(spark, sf_dir):
 
 def sheet_import(spark, sf_dir):
     """Customers as cells of a sheet below a header row."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 200")
+    c = table(spark, sf_dir, "customer")
     body = c.select(F.col("c_nationkey").alias("sheet"), (F.col("c_custkey") + 10).alias("r"), F.posexplode(F.array("c_name", F.col("c_mktsegment"))).alias("col", "v"))
     head = c.select(F.col("c_nationkey").alias("sheet")).distinct().select("sheet", F.lit(3).cast("bigint").alias("r"), F.posexplode(F.array(F.lit("Name"), F.lit("Segment"))).alias("col", "v"))
     note = head.select("sheet", F.lit(1).cast("bigint").alias("r"), "col", F.lit("note").alias("v"))
@@ -200,8 +200,9 @@ QUERIES = {f"rec_{f.__name__}": f for f in (parse_dates, ages, slot_confidences,
 QUERIES |= {f"mine_{f.__name__}": f for f in (mined_fixes, clear_targets, generated_fixes, real_words, dictionary_build, boilerplate_build)}
 QUERIES |= {f"src_{f.__name__}": f for f in (event_props, page_links, reachable_pages, commit_log, sheet_import, upload_payloads, wide_truth)}
 
+_LINKS = r"""a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>')) AS a FROM pages),
+        h AS (SELECT DISTINCT page_id, regexp_extract(a, '(?is)href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_replace(a, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS label FROM a), l AS (SELECT *, lower(href || ' ' || label) AS w FROM h)""".replace("\\\\", "\\")
 _W = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)"
-_AZ = "regexp_replace(v_text, '[^A-Za-z]', '', 'g')"
 ORACLE_SQL = {
     "rec_parse_dates": """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, year(o_orderdate) - 1988 AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders),
         p AS (SELECT o_orderkey, CASE k WHEN 0 THEN '平成' || y || '年' || m || '月' || d || '日' WHEN 1 THEN 'H ' || y || '年' || m || '月' || d WHEN 2 THEN y || '日年' || m || '月' || d WHEN 3 THEN y || '/' || m || '/' || d WHEN 4 THEN '平' || y || '年13月' || d || '日' ELSE '元年5月' END AS raw,
@@ -228,10 +229,10 @@ ORACLE_SQL = {
         SELECT p_brand, array_to_string(f, ',') AS found, array_to_string(m, ',') AS missing, array_to_string(e, ',') AS extra, len(e) > 0 AND len(f) * 2 >= len(f) + len(m) AS reported FROM g""",
     "rec_confirmed": "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F' OR o_orderkey % 2 = 0) AS confirmed, count(*) FILTER (o_orderstatus <> 'F' AND o_orderkey % 2 = 0) AS newly FROM orders GROUP BY 1",
     "rec_suggestions": """WITH p AS (SELECT *, p_partkey % 3 > 0 AND p_size > 25 AND lower(p_type) <> p_name AS a FROM part) SELECT p_partkey, CASE WHEN a THEN lower(p_type) ELSE p_name END AS value, CASE WHEN a THEN p_name || ',x' ELSE 'x' END AS candidates, round(CASE WHEN a THEN greatest(p_size / 60, 0.55) ELSE p_size / 60 END, 4) AS confidence, a AS applied FROM p""",
-    "rec_values_json": f"WITH {_E} SELECT doc, field, {_AZ} AS value FROM e",
+    "rec_values_json": f"WITH {_E} SELECT doc, field, v_text AS value FROM e",
     "rec_csv_export": f"""WITH {_E} SELECT 0 AS row, '文書' AS doc, '人' AS "user", '確信度' AS user_confidence, '機械' AS assistant, '確信度' AS assistant_confidence UNION ALL
-        SELECT 1, doc::VARCHAR, coalesce(max({_AZ}) FILTER (field = 'user'), ''), coalesce(max(confidence::VARCHAR) FILTER (field = 'user'), ''), coalesce(max({_AZ}) FILTER (field = 'assistant'), ''), coalesce(max(confidence::VARCHAR) FILTER (field = 'assistant'), '') FROM e GROUP BY doc""",
-    "rec_markdown_export": f"""WITH {_E}, r AS (SELECT doc, length(field) AS o, field, '| ' || field || ' | ' || {_AZ} || ' | ' || CASE WHEN confidence >= 0.3 THEN 'high' ELSE 'low' END || ' |' AS r, confidence < 0.3 AS low FROM e),
+        SELECT 1, doc::VARCHAR, coalesce(max(v_text) FILTER (field = 'user'), ''), coalesce(max(confidence::VARCHAR) FILTER (field = 'user'), ''), coalesce(max(v_text) FILTER (field = 'assistant'), ''), coalesce(max(confidence::VARCHAR) FILTER (field = 'assistant'), '') FROM e GROUP BY doc""",
+    "rec_markdown_export": f"""WITH {_E}, r AS (SELECT doc, length(field) AS o, field, '| ' || field || ' | ' || replace(v_text, '|', '\\|') || ' | ' || CASE WHEN confidence >= 0.3 THEN 'high' ELSE 'low' END || ' |' AS r, confidence < 0.3 AS low FROM e),
         d AS (SELECT doc, '## S' || chr(10) || string_agg(r, chr(10) ORDER BY o, r) AS t, string_agg(field, chr(10) || '- ' ORDER BY o, field) FILTER (low) AS l FROM r GROUP BY 1) SELECT doc, md5(t || CASE WHEN l IS NULL THEN '' ELSE chr(10) || chr(10) || '## 要確認' || chr(10) || '- ' || l END) AS md5 FROM d""",
     "mine_clear_targets": """WITH n AS (SELECT string_split(p_name, ' ')[1] AS wrong, p_type AS "right", count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS k, lead(n) OVER w AS x FROM n WINDOW w AS (PARTITION BY wrong ORDER BY n DESC, "right")) SELECT wrong, "right", n FROM r WHERE k = 1 AND n >= 5 AND n > coalesce(x, 0)""",
     "mine_generated_fixes": f"""WITH {_W}, c AS (SELECT * FROM (VALUES ('0', 'o'), ('1', 'l'), ('c', 'e'), ('q', 'g'), ('d', 't'), ('o', 'e'), ('h', 'b')) AS t(bad, good)), a AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w),
@@ -241,8 +242,15 @@ ORACLE_SQL = {
     "mine_dictionary_build": "SELECT p_name AS term, bool_or(p_size > 48) AS flagged FROM part GROUP BY 1",
     "mine_boilerplate_build": "SELECT DISTINCT replace(p_name, ' ', '') AS phrase FROM part WHERE length(replace(p_name, ' ', '')) >= 8",
     "src_event_props": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, json_extract(props, '$.k')::BIGINT AS v FROM events",
-    "src_commit_log": """SELECT lower(l_returnflag) || '/' AS area, sum(l_linenumber)::BIGINT AS added, sum(CASE WHEN l_tax > 0.04 THEN 0 ELSE l_suppkey END)::BIGINT AS deleted, count(DISTINCT l_partkey) AS files, count(DISTINCT l_orderkey) AS commits FROM lineitem WHERE l_orderkey < 500 GROUP BY 1""",
-    "src_sheet_import": "SELECT c_nationkey AS sheet, c_custkey + 10 AS r, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey < 200",
+    "rec_traces": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE WHEN user_id % 2 = 0 THEN value::VARCHAR END AS detail, event_type = 'click' AS c FROM events),
+        s AS (SELECT user_id, event_type, min(i) AS f FROM e GROUP BY 1, 2), u AS (SELECT user_id, string_agg(event_type, ' → ' ORDER BY f) AS summary FROM s GROUP BY 1)
+        SELECT user_id, summary, md5(string_agg(i || '. ' || event_type || CASE WHEN coalesce(detail, '') <> '' THEN '　' || detail ELSE '' END || CASE WHEN c THEN '　「a」→「b」' ELSE '' END, chr(10) ORDER BY i)) AS lines_md5,
+          arg_min(struct_pack(d := detail), i) FILTER (event_type IN ('click', 'view'))['d'] AS engine FROM e JOIN u USING (user_id) GROUP BY 1, 2""",
+    "src_page_links": rf"""WITH {_LINKS} SELECT page_id, count(*) AS links, sum(CASE WHEN regexp_matches(w, 'th|list') THEN 2 ELSE 0 END - CASE WHEN regexp_matches(w, 'ad') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(href), '\.(xlsx?|csv|zip)$') THEN 5 ELSE 0 END)::BIGINT AS score FROM l GROUP BY 1""",
+    "src_reachable_pages": rf"""WITH RECURSIVE {_LINKS}, g AS (SELECT DISTINCT page_id::VARCHAR AS src, ((page_id * 7 + length(href)) % 1009)::VARCHAR AS dst FROM l), r AS (SELECT '0' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN g ON src = node WHERE depth < 2)
+        SELECT node, min(depth) AS depth FROM r GROUP BY 1 ORDER BY depth, node LIMIT 40""",
+    "src_commit_log": """SELECT lower(l_returnflag) || '/' AS area, sum(l_linenumber)::BIGINT AS added, sum(CASE WHEN l_tax > 0.04 THEN 0 ELSE l_suppkey END)::BIGINT AS deleted, count(DISTINCT l_partkey) AS files, count(DISTINCT l_orderkey) AS commits FROM lineitem GROUP BY 1""",
+    "src_sheet_import": "SELECT c_nationkey AS sheet, c_custkey + 10 AS r, c_name AS name, c_mktsegment AS segment FROM customer",
     "src_upload_payloads": """SELECT c_custkey, replace(c_name, '#', '_') || CASE c_custkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.png' ELSE '' END AS name, CASE WHEN c_custkey % 3 < 2 THEN 8 END AS size, CASE WHEN c_custkey % 3 = 2 THEN 'not base64' END AS problem FROM customer""",
     "src_wide_truth": "SELECT s_suppkey, 'n1' AS field, s_nationkey::VARCHAR AS truth FROM supplier UNION ALL SELECT s_suppkey, 'n2', CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END FROM supplier",
 }

@@ -27,14 +27,14 @@ def interval_overlap(spark, sf_dir):
 
 def best_overlap(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    t = b.filter("box % 3 = 0").select("page", F.col("box").alias("token"), F.col("x0").alias("tx0"), F.col("x1").alias("tx1"))
-    l = b.filter("box % 3 = 1").select("page", F.col("box").alias("label"), F.col("x0").alias("lx0"), F.col("x1").alias("lx1"))
+    t = b.filter("box % 2 = 0").select("page", F.col("box").alias("token"), F.col("x0").alias("tx0"), F.col("x1").alias("tx1"))
+    l = b.filter("box % 2 = 1").select("page", F.col("box").alias("label"), F.col("x0").alias("lx0"), F.col("x1").alias("lx1"))
     return S.best_overlap(t, l, ["page"], "token", "label", 50.0)
 
 
 def containment(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    rects = b.filter("box % 10 = 0").select("page", F.col("box").alias("rect"), F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), (F.col("x0") + 150).alias("rx1"), (F.col("y0") + 120).alias("ry1"))
+    rects = b.select("page", F.col("box").alias("rect"), F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), (F.col("x0") + 150).alias("rx1"), (F.col("y0") + 120).alias("ry1"))
     return S.text_of(S.lines_in(b, rects, ["page"], "box", "rect"), ["page"], "rect", "box")
 
 
@@ -47,15 +47,15 @@ def zip_if_equal(spark, sf_dir):
 
 def question_rows(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    boxes = b.filter("box % 7 = 0").select("page", (F.col("box") % 4).alias("field"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    lines = b.filter("box % 7 <> 0").select("page", "x0", "y0", "x1", "y1", F.col("box").cast("string").alias("text"))
+    boxes = b.filter("box % 2 = 0").select("page", (F.col("box") % 4).alias("field"), F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
+    lines = b.filter("box % 2 = 1").select("page", "x0", "y0", "x1", "y1", F.col("box").cast("string").alias("text"))
     return S.row_lines(lines, boxes, ["page"], "field")
 
 
 def nearest(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    p = b.filter("box % 5 = 0").select("page", F.col("box").alias("point"), F.col("x0").alias("px"), F.col("y0").alias("py"))
-    q = b.filter("box % 5 = 1").select("page", F.col("box").alias("target"), F.col("x0").alias("qx"), F.col("y0").alias("qy"))
+    p = b.filter("box % 2 = 0").select("page", F.col("box").alias("point"), F.col("x0").alias("px"), F.col("y0").alias("py"))
+    q = b.filter("box % 2 = 1").select("page", F.col("box").alias("target"), F.col("x0").alias("qx"), F.col("y0").alias("qy"))
     return S.nearest(p, q, ["page"], "point", "target", 110.0, 80.0)
 
 
@@ -67,7 +67,7 @@ def unknown_boxes(spark, sf_dir):
 
 
 def same_row(spark, sf_dir):
-    f = _boxes(spark, sf_dir).filter("box % 4 = 0").select("page", F.col("box").alias("field"), "y0")
+    f = _boxes(spark, sf_dir).select("page", F.col("box").alias("field"), "y0")
     return S.same_row(f, ["page"], "field", "y0").groupBy("page", "field").agg(F.count(F.lit(1)).alias("others"))
 
 
@@ -88,8 +88,8 @@ def label_rects(spark, sf_dir):
 
 def snap_to_rules(spark, sf_dir):
     b = _boxes(spark, sf_dir)
-    rules = b.filter("box % 3 = 0").select("page", F.col("x0").alias("rule"))
-    return S.snap_to_rules(b.filter("box % 3 = 1").select("page", "box", F.col("x0").alias("l"), F.col("x1").alias("r")), rules, ["page"], "box")
+    rules = b.filter("box % 2 = 1").select("page", F.col("x0").alias("rule"))
+    return S.snap_to_rules(b.filter("box % 2 = 0").select("page", "box", F.col("x0").alias("l"), F.col("x1").alias("r")), rules, ["page"], "box")
 
 
 def row_signature(spark, sf_dir):
@@ -99,7 +99,7 @@ def row_signature(spark, sf_dir):
 
 
 def anchored_rect(spark, sf_dir):
-    b = _boxes(spark, sf_dir).filter("box < 75").withColumn("name", F.concat(F.lit("b"), (F.col("box") / 25).cast("int").cast("string")))
+    b = _boxes(spark, sf_dir).withColumn("name", F.concat(F.lit("b"), (F.col("box") % 3).cast("string")))
     rules = spark.sql("SELECT * FROM VALUES ('f1', 'after', 'b0', null), ('f2', 'between', 'b0', 'b1'), ('f3', 'span', 'b2', null) AS t(field, rule, first, second)")
     return S.anchored_rect(rules, b.groupBy("page", "name").agg(F.min("x0").alias("x0"), F.min("x1").alias("x1")), ["page"], 4.0)
 
@@ -169,22 +169,28 @@ QUERIES |= {f"kernel_{f.__name__}": f for f in (mark_scores, page_matches, segme
 _U = lambda v, a, b: f"greatest(0.0, least(1.0, ({v} - {a}) / ({b} - {a})))"
 ORACLE_SQL = {
     "space_interval_overlap": f"""WITH {_B} SELECT l.page, count(*) AS pairs, round(sum(least(l.x1, r.x1) - greatest(l.x0, r.x0)), 2) AS shared FROM b l JOIN b r ON l.page = r.page AND l.x0 < r.x1 AND r.x0 < l.x1 WHERE l.box % 2 = 0 AND r.box % 2 = 1 GROUP BY 1""",
-    "space_best_overlap": f"""WITH {_B}, p AS (SELECT t.page, t.box AS token, l.box AS label, least(t.x1, l.x1) - greatest(t.x0, l.x0) + CASE WHEN (t.x0 + t.x1) / 2 BETWEEN l.x0 AND l.x1 THEN 1000 ELSE 0 END AS c FROM b t JOIN b l ON t.page = l.page AND t.x0 < l.x1 AND l.x0 < t.x1 WHERE t.box % 3 = 0 AND l.box % 3 = 1)
+    "space_best_overlap": f"""WITH {_B}, p AS (SELECT t.page, t.box AS token, l.box AS label, least(t.x1, l.x1) - greatest(t.x0, l.x0) + CASE WHEN (t.x0 + t.x1) / 2 BETWEEN l.x0 AND l.x1 THEN 1000 ELSE 0 END AS c FROM b t JOIN b l ON t.page = l.page AND t.x0 < l.x1 AND l.x0 < t.x1 WHERE t.box % 2 = 0 AND l.box % 2 = 1)
         SELECT page, token, label FROM (SELECT *, row_number() OVER (PARTITION BY page, token ORDER BY c DESC, label) AS k FROM p) WHERE k = 1""",
-    "space_containment": f"""WITH {_B}, r AS (SELECT page, box AS rect, x0 AS rx0, y0 AS ry0, x0 + 150 AS rx1, y0 + 120 AS ry1 FROM b WHERE box % 10 = 0)
+    "space_containment": f"""WITH {_B}, r AS (SELECT page, box AS rect, x0 AS rx0, y0 AS ry0, x0 + 150 AS rx1, y0 + 120 AS ry1 FROM b)
         SELECT r.page, rect, string_agg(box::VARCHAR, ' ' ORDER BY y0, x0, box::VARCHAR) AS text FROM b JOIN r ON b.page = r.page AND greatest(0, least(x1, rx1) - greatest(x0, rx0)) * greatest(0, least(y1, ry1) - greatest(y0, ry0)) >= (x1 - x0) * (y1 - y0) * 0.55 GROUP BY 1, 2""",
     "space_zip_if_equal": f"""WITH {_B}, l AS (SELECT page, floor(y0 / 70) AS band, box, row_number() OVER (PARTITION BY page, floor(y0 / 70) ORDER BY x0, box) AS i, count(*) OVER (PARTITION BY page, floor(y0 / 70)) AS n FROM b WHERE box % 2 = 0), r AS (SELECT page, floor(y0 / 70) AS band, box AS line, row_number() OVER (PARTITION BY page, floor(y0 / 70) ORDER BY x0, box) AS i, count(*) OVER (PARTITION BY page, floor(y0 / 70)) AS n FROM b WHERE box % 2 = 1)
         SELECT box, line, i::INT AS position FROM l JOIN r USING (page, band, i, n)""",
-    "space_question_rows": f"""WITH {_B}, h AS (SELECT DISTINCT l.page, q.box % 4 AS field, l.y0, l.x0, l.box::VARCHAR AS t FROM b l JOIN b q ON l.page = q.page WHERE q.box % 7 = 0 AND l.box % 7 <> 0 AND (q.y0 + q.y1) / 2 BETWEEN l.y0 - 6 AND l.y1 + 6 AND l.x1 >= q.x0 - 10 AND l.x0 <= q.x1 + 10)
+    "space_question_rows": f"""WITH {_B}, h AS (SELECT DISTINCT l.page, q.box % 4 AS field, l.y0, l.x0, l.box::VARCHAR AS t FROM b l JOIN b q ON l.page = q.page WHERE q.box % 2 = 0 AND l.box % 2 = 1 AND (q.y0 + q.y1) / 2 BETWEEN l.y0 - 6 AND l.y1 + 6 AND l.x1 >= q.x0 - 10 AND l.x0 <= q.x1 + 10)
         SELECT page, field, string_agg(t, ' ' ORDER BY y0, x0, t) AS text FROM h GROUP BY 1, 2""",
-    "space_nearest": f"""WITH {_B}, p AS (SELECT p.page, p.box AS point, q.box AS target, sqrt((p.x0 - q.x0) * (p.x0 - q.x0) + (p.y0 - q.y0) * (p.y0 - q.y0)) AS d FROM b p JOIN b q ON p.page = q.page WHERE p.box % 5 = 0 AND q.box % 5 = 1 AND abs(p.x0 - q.x0) <= 110 AND abs(p.y0 - q.y0) <= 80)
+    "space_nearest": f"""WITH {_B}, p AS (SELECT p.page, p.box AS point, q.box AS target, sqrt((p.x0 - q.x0) * (p.x0 - q.x0) + (p.y0 - q.y0) * (p.y0 - q.y0)) AS d FROM b p JOIN b q ON p.page = q.page WHERE p.box % 2 = 0 AND q.box % 2 = 1 AND abs(p.x0 - q.x0) <= 110 AND abs(p.y0 - q.y0) <= 80)
         SELECT page, point, target, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY page, point ORDER BY round(d, 9), target) AS k FROM p) WHERE k = 1""",
     "space_unknown_boxes": f"WITH {_B} SELECT page, box FROM b p WHERE box % 2 = 0 AND NOT EXISTS (SELECT 1 FROM b q WHERE q.page = p.page AND q.box % 2 = 1 AND abs(p.x0 - q.x0) < 30 AND abs(p.y0 - q.y0) < 30)",
-    "space_same_row": f"WITH {_B} SELECT a.page, a.box AS field, count(*) AS others FROM b a JOIN b c ON a.page = c.page AND abs(a.y0 - c.y0) <= 18 WHERE a.box % 4 = 0 AND c.box % 4 = 0 GROUP BY 1, 2",
+    "space_same_row": f"WITH {_B} SELECT a.page, a.box AS field, count(*) AS others FROM b a JOIN b c ON a.page = c.page AND abs(a.y0 - c.y0) <= 18 GROUP BY 1, 2",
+    "space_suppress": f"""WITH RECURSIVE {_B}, o AS (SELECT page, box, x0, y0, x0 + 160 AS x1, y0 + 160 AS y1, row_number() OVER (PARTITION BY page ORDER BY (box * 13 % 101) / 100.0 DESC, box) AS i FROM b),
+        k AS (SELECT page, 0::BIGINT AS i, []::STRUCT(b BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM (SELECT DISTINCT page FROM o) UNION ALL SELECT o.page, o.i, CASE WHEN len(list_filter(kept, lambda v: greatest(0, 160 - abs(v.x - x0)) * greatest(0, 160 - abs(v.y - y0)) / (51200 - greatest(0, 160 - abs(v.x - x0)) * greatest(0, 160 - abs(v.y - y0))) >= 0.3)) > 0 THEN kept ELSE list_append(kept, {{'b': box, 'x': x0, 'y': y0}}) END FROM k JOIN o ON o.page = k.page AND o.i = k.i + 1),
+        l AS (SELECT page, arg_max(kept, i) AS kept FROM k GROUP BY 1) SELECT page, u.b AS box FROM (SELECT page, unnest(kept) AS u FROM l)""",
+    "space_thin_out": f"""WITH RECURSIVE {_B}, o AS (SELECT page, box, x0, y0, row_number() OVER (PARTITION BY page ORDER BY box) AS i FROM b),
+        k AS (SELECT page, 0::BIGINT AS i, []::STRUCT(b BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM (SELECT DISTINCT page FROM o) UNION ALL SELECT o.page, o.i, CASE WHEN len(list_filter(kept, lambda v: abs(v.x - x0) < 40 AND abs(v.y - y0) < 40)) > 0 THEN kept ELSE list_append(kept, {{'b': box, 'x': x0, 'y': y0}}) END FROM k JOIN o ON o.page = k.page AND o.i = k.i + 1),
+        l AS (SELECT page, arg_max(kept, i) AS kept FROM k GROUP BY 1) SELECT page, u.b AS box FROM (SELECT page, unnest(kept) AS u FROM l)""",
     "space_label_rects": f"""WITH {_B} SELECT page, box, x1 AS left, round(greatest(least(x1 + (x1 - x0) * 9, coalesce(lead(x0) OVER (PARTITION BY page, floor(y0 / 100) ORDER BY x0, box) - (x1 - x0) * 0.6, 1e12)), x1), 4) AS right FROM b""".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'),
-    "space_snap_to_rules": f"""WITH {_B} SELECT q.page, q.box, coalesce((SELECT max(x0) FROM b r WHERE r.page = q.page AND r.box % 3 = 0 AND r.x0 <= q.x0), q.x0) AS "left", coalesce((SELECT min(x0) FROM b r WHERE r.page = q.page AND r.box % 3 = 0 AND r.x0 >= q.x1), q.x1) AS "right" FROM b q WHERE q.box % 3 = 1""",
+    "space_snap_to_rules": f"""WITH {_B} SELECT q.page, q.box, coalesce((SELECT max(x0) FROM b r WHERE r.page = q.page AND r.box % 2 = 1 AND r.x0 <= q.x0), q.x0) AS "left", coalesce((SELECT min(x0) FROM b r WHERE r.page = q.page AND r.box % 2 = 1 AND r.x0 >= q.x1), q.x1) AS "right" FROM b q WHERE q.box % 2 = 0""",
     "space_row_signature": f"WITH {_B}, r AS (SELECT page, unnest(range(7))::INT AS row FROM (SELECT DISTINCT page FROM b)) SELECT r.page, row, count(*) FILTER (y0 >= row * 100 AND y0 < row * 100 + 100) AS boxes FROM r JOIN b USING (page) GROUP BY 1, 2",
-    "space_anchored_rect": f"""WITH {_B}, n AS (SELECT page, 'b' || (box // 25) AS name, min(x0) AS x0, min(x1) AS x1 FROM b WHERE box < 75 GROUP BY 1, 2), r AS (SELECT * FROM (VALUES ('f1', 'after', 'b0', NULL), ('f2', 'between', 'b0', 'b1'), ('f3', 'span', 'b2', NULL)) AS t(field, rule, first, second))
+    "space_anchored_rect": f"""WITH {_B}, n AS (SELECT page, 'b' || (box % 3) AS name, min(x0) AS x0, min(x1) AS x1 FROM b GROUP BY 1, 2), r AS (SELECT * FROM (VALUES ('f1', 'after', 'b0', NULL), ('f2', 'between', 'b0', 'b1'), ('f3', 'span', 'b2', NULL)) AS t(field, rule, first, second))
         SELECT a.page, field, CASE WHEN rule = 'span' THEN 0.0 ELSE a.x1 + 4 END AS "left", CASE WHEN rule = 'between' THEN c.x0 - 4 WHEN rule = 'after' THEN a.x1 + 4 + 10 * (a.x1 - a.x0) ELSE a.x0 - 4 END AS "right" FROM r JOIN n a ON a.name = first LEFT JOIN n c ON c.name = second AND c.page = a.page""",
     "space_restore_missing": f"WITH {_B} SELECT page, box, CASE WHEN box % 2 = 0 THEN x0 WHEN box % 3 = 0 THEN y0 WHEN box % 5 > 0 THEN -1.0 ELSE x1 END AS rect FROM b",
     "space_proportional_slots": f"WITH {_B} SELECT box, round(y0 + 2 * 50 / (x1 - x0), 4) AS t0, round(y0 + 9 * 50 / (x1 - x0), 4) AS t1 FROM b",

@@ -13,12 +13,8 @@ WORDS = {"teh": "the", "thea": "the a", "onof": "on of", "tion": "TION", "TIONs"
 GLYPHS = {"0": "o", "1": "l", "5": "s", "|": "l"}
 
 
-def _ascii(c: str = "text"):
-    return F.regexp_replace(F.substring(c, 1, 4000), r"[^ -~\n]", "")
-
-
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^ -~\n]", "").alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
 
 
 def normalise(spark, sf_dir):
@@ -56,8 +52,8 @@ def restore_point(spark, sf_dir):
 
 
 def char_accuracy(spark, sf_dir):
-    """Short lines against a copy with confused glyphs."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "truth")).filter(F.length("truth") <= 120)
+    """Every line against a copy with confused glyphs."""
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "truth"))
     read = lines.withColumn("read", F.translate("truth", "eot.", "c0t"))
     acc = read.withColumn("acc", F.round(T.char_accuracy(F.col("truth"), F.col("read")), 4))
     return acc.groupBy("doc_id").agg(F.round(F.sum("acc"), 4).alias("accuracy_sum"), F.count_if(F.col("truth") == F.col("read")).alias("exact"), F.count_if(F.col("acc") >= 0.8).alias("rough"), F.count(F.lit(1)).alias("n"))
@@ -94,7 +90,7 @@ def predicates(spark, sf_dir):
 
 QUERIES = {f"text_{f.__name__}": f for f in (normalise, strip_noise, replace_words, fix_units, script_score, charset_filters, restore_point, char_accuracy, bounded_edit, escapes, strip_tags, notes, predicates)}
 
-_D = "d AS (SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS t FROM documents)"
+_D = "d AS (SELECT doc_id, text AS t FROM documents)"
 _FIX = "replace(replace(replace(replace(replace(replace(t, 'teh', 'the'), 'thea', 'the a'), 'onof', 'on of'), 'tion', 'TION'), 'TIONs', 'TION s'), 'and', '&')"
 _STEPS = ["t"]
 for _w, _r in WORDS.items():
@@ -118,7 +114,7 @@ ORACLE_SQL = {
         SELECT doc_id, md5(array_to_string(regexp_extract_all(t, '[0-9]+'), '-')) AS phone_md5, CASE WHEN length(g) >= 7 THEN substr(g, 1, 3) || '-' || substr(g, 4, 4) ELSE g END AS postal, md5(trim(regexp_replace(k, '\s+', ' ', 'g'), ' ')) AS decimal_md5 FROM x""",
     "text_restore_point": """WITH r AS (SELECT o_orderkey, o_custkey::VARCHAR AS raw FROM orders), m AS (SELECT *, regexp_replace(raw, '^(\\d+)(\\d)$', '\\1.\\2') AS moved FROM r)
         SELECT o_orderkey, raw, CASE WHEN length(raw) >= 2 AND NOT raw::DOUBLE BETWEEN 20 AND 99.5 AND moved::DOUBLE BETWEEN 20 AND 99.5 THEN moved ELSE raw END AS fixed FROM m""".replace("\\\\", "\\"),
-    "text_char_accuracy": rf"""WITH {_D}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS truth FROM d), s AS (SELECT doc_id, truth, translate(truth, 'eot.', 'c0t') AS read FROM l WHERE length(truth) <= 120),
+    "text_char_accuracy": rf"""WITH {_D}, l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS truth FROM d), s AS (SELECT doc_id, truth, translate(truth, 'eot.', 'c0t') AS read FROM l),
         n AS (SELECT *, regexp_replace(truth, '\s+', '', 'g') AS a, regexp_replace(read, '\s+', '', 'g') AS b FROM s),
         c AS (SELECT *, round(CASE WHEN a = '' THEN CASE WHEN b = '' THEN 1.0 ELSE 0.0 END ELSE greatest(0.0, 1 - levenshtein(a, b) / length(a)::DOUBLE) END, 4) AS acc FROM n)
         SELECT doc_id, round(sum(acc), 4) AS accuracy_sum, count(*) FILTER (truth = read) AS exact, count(*) FILTER (acc >= 0.8) AS rough, count(*) AS n FROM c GROUP BY 1""",

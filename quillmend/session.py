@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import sys
@@ -29,6 +30,7 @@ def ship_package(spark: SparkSession) -> None:
     if str(ROOT) in {os.path.abspath(p) for p in known if p} or any("quillmend" in f for f in context._python_includes) or "site-packages" in ROOT.parts:
         return
     folder = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     shutil.copytree(ROOT / "quillmend", Path(folder) / "tree/quillmend", ignore=shutil.ignore_patterns("__pycache__"))
     if (ROOT / "corpus_pipeline.py").exists():
         shutil.copy(ROOT / "corpus_pipeline.py", Path(folder) / "tree")

@@ -83,7 +83,7 @@ def numstat(spark: SparkSession, path: str) -> DataFrame:
 def parse_numstat(rows: DataFrame, text: str) -> DataFrame:
     block = rows.select(F.explode(F.filter(F.split(text, "(?m)^@"), lambda b: F.trim(b) != "")).alias("b"))
     head = F.split(F.split("b", "\n")[0], r"\|", 3)
-    lines = F.filter(F.slice(F.split("b", "\n"), 2, 1_000_000), lambda l: l.rlike(r"^[0-9-]+\t[0-9-]+\t"))
+    lines = F.filter(F.slice(F.split("b", "\n"), F.lit(2), F.size(F.split("b", "\n"))), lambda l: l.rlike(r"^[0-9-]+\t[0-9-]+\t"))
     c = block.select(head[0].alias("sha"), head[1].alias("date"), head[2].alias("subject"), F.explode(lines).alias("l"))
     number = lambda i: F.coalesce(F.split("l", "\t")[i].try_cast("bigint"), F.lit(0))
     return c.select("sha", "date", "subject", number(0).alias("added"), number(1).alias("deleted"), F.split("l", "\t", 3)[2].alias("file"))
@@ -116,7 +116,7 @@ def sheet_rows(cells: DataFrame, key: list[str], row: str, col: str, value: str,
     heads = cells.withColumn("name", known).filter("name is not null")
     first = heads.groupBy(*key).agg(F.min(row).alias("__head"))
     head = heads.join(first, key).filter(F.col(row) == F.col("__head")).select(*key, col, "name", "__head")
-    body = cells.join(F.broadcast(head), [*key, col]).filter(F.col(row) > F.col("__head"))
+    body = cells.join(head, [*key, col]).filter(F.col(row) > F.col("__head"))
     return body.groupBy(*key, row).pivot("name", list(names)).agg(F.first(value))
 
 

@@ -89,11 +89,124 @@ def test_decisions(spark):
     assert got == {"右大腿骨頸部骨折術後": ("右大腿骨頸部骨折術後", 0.6), "骨粗葵症": ("骨粗鬆症", 0.675), "高血圧症": ("高血圧症", 0.7), "回提": ("回提", 0.35)}
 
 
-def test_candidate_join_loses_no_hit(spark):
-    terms = spark.createDataFrame([(w,) for w in ("standard", "economy", "promotion", "medium", "largest")], "term string").withColumn("form", F.col("term"))
-    reads = spark.createDataFrame([(w,) for w in ("standerd", "econmy", "promotoin", "medium size", "larges", "xyz")], "form string")
-    full = {tuple(r) for r in M.top_terms(reads, "form", terms, least=0.7).collect()}
-    assert full == {tuple(r) for r in M.candidate_join(reads, "form", terms, "term", "form", 8, 0.7).collect()} and full
+def test_blocks_of_a_lexicon_change_nothing(spark):
+    """However few terms travel together, hits, order and ties are those of the whole lexicon; close pairs that share no bigram stay."""
+    terms = spark.createDataFrame([(w, i % 2 == 0) for i, w in enumerate(("standard", "economy", "promotion", "medium", "largest", "axc", "larg st", "larger"))], "term string, flagged boolean").withColumn("form", F.col("term"))
+    reads = spark.createDataFrame([(w,) for w in ("standerd", "econmy", "promotoin", "medium size", "larges", "xyz", "abc")], "form string")
+    full = M.top_terms(reads, "form", terms, k=2, priority="flagged").collect()
+    assert {(r["form"], r["term"]) for r in full} >= {("abc", "axc"), ("econmy", "economy")}
+    for per_block in (1, 3):
+        assert sorted(map(tuple, M.top_terms(reads, "form", terms, k=2, priority="flagged", per_block=per_block).collect())) == sorted(map(tuple, full))
+
+
+def test_blocks_of_boilerplate_change_nothing(spark):
+    lines = spark.createDataFrame([(w,) for w in ("the small red ring", "the small red rinq", "a hot gear", "old bolt and anvil", "something else")], "line string")
+    phrases = spark.createDataFrame([("the small red ring",), ("a hot gear",), ("old bolt und anvil",)], "line string")
+    got = [sorted(r["line"] for r in M.drop_boilerplate(lines, "line", phrases, "line", per_block=n).collect()) for n in (1, 100)]
+    assert got[0] == got[1] == ["something else"]
+
+
+def test_nearest_stretch_by_brute_force():
+    import random
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, x, b, i)
+        return row[-1]
+
+    def _next(row, x, b, i):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        return out
+
+    rng = random.Random(3)
+    for _ in range(150):
+        phrase, line = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, n))) for n in (9, 12))
+        least = min(edits(line[i:j], phrase) for i in range(len(line) + 1) for j in range(i, len(line) + 1))
+        masks = M.character_masks(phrase)
+        assert M.near_stretch(masks, len(phrase), line, least) and not M.near_stretch(masks, len(phrase), line, least - 1)
+
+
+def test_near_phrases_miss_nothing(spark):
+    """Whatever is alike by the full measure is named, for short and long lines."""
+    import random
+
+    rng = random.Random(4)
+    phrases = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (2, 3, 5, 9, 20, 60)]
+    lines = [p[:k] + rng.choice(["", "x", "xy"]) + p[k + rng.randrange(3) :] for p in phrases for k in (0, 1, len(p) // 2) for _ in range(4)]
+    near = M.NearPhrases(phrases, 0.8, 0.7)
+    named = {(t, phrases[i]) for t in lines for i in near.candidates(t).tolist()}
+    pairs = spark.createDataFrame([(a, b) for a in set(lines) for b in phrases if a], "a string, b string")
+    fits = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b")) >= 0.7
+    alike = {(r["a"], r["b"]) for r in pairs.filter(fits & ((F.col("a") == F.col("b")) | (S.similarity(F.col("a"), F.col("b")) >= 0.8))).collect()}
+    assert alike <= named and alike
+
+
+def test_nth_key(spark):
+    import random
+
+    from quillmend.operators import evaluation as E
+
+    rng = random.Random(1)
+    values = [rng.randrange(50) if rng.random() < 0.5 else rng.randrange(10**6) for _ in range(3000)]
+    frame = spark.createDataFrame([(v, f"k{v:07d}") for v in values], "v long, s string").cache()
+    for n in (1, 700, 3000):
+        assert E.nth_key(frame, "v", n, at_once=40, cuts=8) == sorted(values)[n - 1]
+    assert E.nth_key(frame, "s", 1500, at_once=40, cuts=8) == sorted(f"k{v:07d}" for v in values)[1499]
+    assert E.train_test(frame, "v", 0.25).filter("train").count() >= 750 and E.train_test(frame.filter("false"), "v", 0.5).count() == 0
+
+
+def test_known_boxes_of_other_pages_do_not_count(spark):
+    found = spark.createDataFrame([("d", 1, 10.0, 10.0), ("d", 2, 10.0, 10.0), ("e", 1, 99.0, 3.0)], "doc string, page int, px double, py double")
+    known = spark.createDataFrame([("d", 1, 12.0, 9.0), ("e", 1, 90.0, 3.0)], "doc string, page int, qx double, qy double")
+    assert {(r["doc"], r["page"]) for r in spatial.unknown_boxes(found, known, ["doc", "page"]).collect()} == {("d", 2), ("e", 1)}
+
+
+def test_alignment_is_the_best_by_brute_force():
+    """Total gain as by trying every order-keeping pairing."""
+    import random
+    from functools import cache
+
+    import numpy as np
+
+    from quillmend.operators import forms
+
+    rng = random.Random(2)
+    for _ in range(60):
+        a, b = ([(rng.randrange(4), rng.random()) for _ in range(rng.randrange(7))] for _ in range(2))
+        pairs = forms.aligned(a, b)
+        assert all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:]))
+        if not a or not b:
+            assert pairs == []
+            continue
+        gains = forms.pairing_gains(np.array(a, float), np.array(b, float))
+
+        @cache
+        def best(i, j):
+            if i == len(a) or j == len(b):
+                return -forms.SKIP * (len(a) - i + len(b) - j)
+            return max(best(i + 1, j) - forms.SKIP, best(i, j + 1) - forms.SKIP, best(i + 1, j + 1) + gains[i, j])
+
+        total = sum(gains[i, j] for i, j in pairs) - forms.SKIP * (len(a) + len(b) - 2 * len(pairs))
+        assert abs(total - best(0, 0)) < 1e-9
+
+
+def test_mined_changes_by_brute_force(spark, sf_dir):
+    """The query's rows from Python's own matcher over the whole table."""
+    from collections import Counter
+
+    from quillmend.plans import records as plans
+
+    rows = [r[0] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").collect()]
+    seen = Counter(c for t in rows for c in mining.changes_of(t, t.replace("g", "q").replace("ri", "re")))
+    want = {}
+    for wrong in {w for w, _ in seen}:
+        ranked = sorted(((n, r) for (w, r), n in seen.items() if w == wrong), key=lambda x: (-x[0], x[1]))
+        if ranked[0][0] >= 5 and (len(ranked) == 1 or ranked[0][0] > ranked[1][0]):
+            want[wrong] = (ranked[0][1], ranked[0][0])
+    assert {r["wrong"]: (r["right"], r["n"]) for r in plans.mined_fixes(spark, sf_dir).collect()} == want and want
 
 
 def test_directory(spark):
