@@ -9,8 +9,9 @@ once, and its row passes straight through. Only the others shuffle, as a
 SHA-256 and an id, and are grouped exactly, so false positives cost time but
 never change a result.
 
-The filter is bounded by ``max_bits``; beyond that more rows take the exact
-path. Defined results: a null text counts as empty; of equal texts the largest
+One filter has at most ``max_bits`` cells. Tables that need more cut the hashes
+into slices, each with a filter and a pass of its own, so that the share of rows
+that shuffle does not grow. Defined results: a null text counts as empty; of equal texts the largest
 id stays (rows that repeat both id and text get equal answers, and
 ``drop_exact_duplicates`` returns one of them); a null id loses to any other;
 an empty table gives an empty result; further columns are left alone.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, join_hot, text_of
+from .common import HOT_SHARE, cut, join_hot, small_batches, text_of, unused
 
 SEGMENT_BITS = 1 << 18
 PROBES = 3
@@ -114,11 +115,13 @@ def in_filter(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((packed[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).all(axis=0)
 
 
-def maybe_repeated(df: DataFrame, text: str = "text", max_bits: int = 1 << 30):
-    """A function of a 64-bit hash column that is false only where the text certainly occurs once."""
-    bits = filter_bits(df.count(), max_bits=max_bits)
-    twice = filter_of(df.select(F.xxhash64(text_of(text)).alias("h")), bits, repeated=True)
-    shared = df.sparkSession.sparkContext.broadcast(twice)
+def filter_slices(rows: int, per_row: int = 12, max_bits: int = 1 << 30) -> int:
+    """Slices of the hashes, so that each one's filter has room for its rows."""
+    return max(1, -(-rows * per_row // max_bits))
+
+
+def _test(shared, bits: int):
+    """A function of a hash column: whether all its cells are set in the broadcast filter."""
 
     @F.pandas_udf("boolean")
     def test(hashes: pd.Series) -> pd.Series:
@@ -127,10 +130,24 @@ def maybe_repeated(df: DataFrame, text: str = "text", max_bits: int = 1 << 30):
     return test
 
 
-def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 1 << 30) -> DataFrame:
+def maybe_repeated(df: DataFrame, key: str, into: str, rows: int, max_bits: int = 1 << 30, slices: int | None = None) -> DataFrame:
+    """``df`` with a column that is false only where the 64-bit hash ``key`` certainly occurs once."""
+    n = slices or filter_slices(rows, max_bits=max_bits)
+    bits = filter_bits(-(-rows // n), max_bits=max_bits)
+    out = None
+    for k in range(n):
+        part = df if n == 1 else df.filter(F.pmod(F.xxhash64(key, F.lit("slice")), F.lit(n)) == k)
+        twice = df.sparkSession.sparkContext.broadcast(filter_of(part.select(key), bits, repeated=True))
+        found = part.withColumn(into, _test(twice, bits)(key))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 1 << 30, slices: int | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
-    test = maybe_repeated(df, text, max_bits)
-    rows = cut(df.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(text_of(text), 256)).alias("sha"), test(F.xxhash64(text_of(text))).alias("maybe")))
+    small_batches(df.sparkSession, rows=10_000)
+    keys = cut(df.select(F.col(doc_id).alias("doc_id"), F.unhex(F.sha2(text_of(text), 256)).alias("sha"), F.xxhash64(text_of(text)).alias("h")))
+    rows = cut(maybe_repeated(keys, "h", "maybe", keys.count(), max_bits, slices))
     single = rows.filter(~F.col("maybe")).select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
     repeated = rows.filter("maybe").select("doc_id", "sha")
     groups = cut(repeated.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -140,12 +157,13 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 1 << 30) -> DataFrame:
+def drop_exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 1 << 30, slices: int | None = None) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; rows that may repeat are the only ones to shuffle."""
-    test = maybe_repeated(df, text, max_bits)
-    marked = df.select("*", test(F.xxhash64(text_of(text))).alias("__maybe"), F.sha2(text_of(text), 256).alias("__sha"))
-    repeated = marked.filter("__maybe")
-    winners = cut(repeated.groupBy("__sha").agg(F.max(doc_id).alias("__keep")).withColumnRenamed("__sha", "__of"))
+    small_batches(df.sparkSession)
+    h, maybe, sha, of, keep = unused(df, "h", "maybe", "sha", "of", "keep")
+    marked = maybe_repeated(df.withColumn(h, F.xxhash64(text_of(text))), h, maybe, df.count(), max_bits, slices)
+    repeated = marked.filter(F.col(maybe)).withColumn(sha, F.sha2(text_of(text), 256))
+    winners = cut(repeated.groupBy(F.col(sha).alias(of)).agg(F.max(doc_id).alias(keep)))
     # One row per text and id at most: ids decide among copies, so hot texts thin out to one row each before any join.
-    kept = repeated.join(winners, (F.col("__sha") == F.col("__of")) & F.col(doc_id).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["__sha"])
-    return marked.filter(~F.col("__maybe")).unionByName(kept).select(*df.columns)
+    kept = repeated.join(winners, (F.col(sha) == F.col(of)) & F.col(doc_id).eqNullSafe(F.col(keep)), "left_semi").dropDuplicates([sha])
+    return marked.filter(~F.col(maybe)).select(*(F.col(f"`{c}`") for c in df.columns)).unionByName(kept.select(*(F.col(f"`{c}`") for c in df.columns)))
