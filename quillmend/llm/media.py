@@ -2,7 +2,10 @@
 
 ``media_tiles`` decodes a binary column, resizes by area through integral
 images and returns each picture's size, tile (NPY bytes) and 64-bit difference
-hash. ``payload_media`` stores texts as Netpbm pixmaps and reads them back.
+hash. ``payload_media`` stores texts as pictures (Netpbm pixmaps, or BMP where
+the payload's checksum is odd), reads them back, and gives the tile and hash of
+what it read. Integral images are summed in strips of STRIP rows, so that a
+picture needs little more memory than its samples.
 
 Defined results: null or undecodable content gives nulls (with the reason in
 ``problem``); a null text is the empty one; rows that repeat, and equal
@@ -27,6 +30,7 @@ from .common import small_batches
 TILE = 32
 UNIT = 192
 ROW_PIXELS = 64
+STRIP = 1024
 
 
 def encode_netpbm(pixels: np.ndarray) -> bytes:
@@ -110,28 +114,31 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of each target cell's area, exact for fractional edges: differences of the interpolated integral image."""
-    integral = np.zeros((pixels.shape[0] + 1, pixels.shape[1] + 1, *pixels.shape[2:]))
-    integral[1:, 1:] = pixels.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-
-    def along(values: np.ndarray, cells: int, axis: int) -> np.ndarray:
-        edge = np.arange(cells + 1) * ((values.shape[axis] - 1) / cells)
-        low = np.minimum(edge.astype(np.int64), values.shape[axis] - 2)
-        share = (edge - low).reshape([-1 if a == axis else 1 for a in range(values.ndim)])
-        return np.diff(values.take(low, axis) * (1 - share) + values.take(low + 1, axis) * share, axis=axis)
+def integral_rows(pixels: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Rows of the vertical integral image at fractional edges, summed strip by strip."""
+    low = np.minimum(edges.astype(np.int64), len(pixels) - 1)
+    share = (edges - low).reshape(-1, *[1] * (pixels.ndim - 1))
+    out, above = np.zeros((len(edges), *pixels.shape[1:])), np.zeros((1, *pixels.shape[1:]))
+    for at in range(0, len(pixels), STRIP):
+        strip = pixels[at : at + STRIP].astype(np.float64)
+        sums = np.concatenate([above, above + strip.cumsum(axis=0)])
+        here = (low >= at) & (low < at + len(strip))
+        out[here] = sums[low[here] - at] * (1 - share[here]) + sums[low[here] - at + 1] * share[here]
+        above = sums[-1:]
+    return out
 
-    area = (pixels.shape[0] / height) * (pixels.shape[1] / width)
-    return along(along(integral, height, 0), width, 1) / area
 
-
-def grey(pixels: np.ndarray) -> np.ndarray:
-    return pixels.astype(np.float64).mean(axis=2) if pixels.ndim == 3 else pixels.astype(np.float64)
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of each target cell's area, exact for fractional edges: differences of the interpolated integral image."""
+    rows = np.diff(integral_rows(pixels, np.arange(height + 1) * (pixels.shape[0] / height)), axis=0)
+    columns = np.diff(integral_rows(np.moveaxis(rows, 1, 0), np.arange(width + 1) * (pixels.shape[1] / width)), axis=0)
+    return np.moveaxis(columns, 0, 1) / ((pixels.shape[0] / height) * (pixels.shape[1] / width))
 
 
 def difference_hash(pixels: np.ndarray) -> str:
-    """16 hex digits: where a cell of the 8 x 9 reduction is darker than its right neighbour."""
-    small = area_resize(grey(pixels), 8, 9)
+    """16 hex digits: where a cell of the 8 x 9 grey reduction is darker than its right neighbour."""
+    small = area_resize(pixels, 8, 9)
+    small = small.mean(axis=2) if small.ndim == 3 else small
     # Exact ties must not depend on rounding.
     return np.packbits(np.round(np.diff(small, axis=1), 6) > 0).tobytes().hex()
 
@@ -171,12 +178,13 @@ def to_payload(text: str | None) -> tuple[bytes, int]:
 
 
 def store_payload(payload: bytes) -> bytes:
-    """The payload as the samples of a pixmap ROW_PIXELS wide."""
-    return encode_netpbm(np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3))
+    """The payload as the samples of a picture ROW_PIXELS wide, whose rows need no padding in either format."""
+    pixels = np.frombuffer(payload, np.uint8).reshape(-1, ROW_PIXELS, 3)
+    return encode_bmp(pixels) if zlib.crc32(payload) & 1 else encode_netpbm(pixels)
 
 
 def payload_media(df: DataFrame, doc_id: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
-    """Every text stored as a pixmap and read back: sizes, digests and the picture's features, and the files if asked for."""
+    """Every text stored as a picture and read back: sizes, digests, the difference hash with the tile's digest, and the files if asked for."""
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "tile"] * with_media
@@ -186,13 +194,13 @@ def payload_media(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
         payload, size = to_payload(text)
         stored = store_payload(payload)
         pixels = decode(stored)
-        back = pixels.tobytes()
-        extra = (stored, npy_tile(pixels)) if with_media else ()
-        return (size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), *extra)
+        back, tile = pixels.tobytes(), npy_tile(pixels)
+        feature = f"{difference_hash(pixels)}:{hashlib.sha256(tile).hexdigest()[:16]}"
+        return (size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, stored, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [one(t) for t in batch.column(1).to_pylist()]
+            found = [one(t)[: len(names) - 1] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], t) for i, t in enumerate(kinds[: len(names) - 1]))], names)
 
     schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string" + ", media binary, tile binary" * with_media
