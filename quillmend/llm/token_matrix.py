@@ -5,8 +5,9 @@ longest first into the open sequence whose free room is the smallest that
 fits; a segment tree over free room finds it. Documents longer than a sequence
 are split losslessly into full sequences and a remainder. A row of the result
 is one row of the id matrix as little-endian unsigned integers padded with the
-pad id, the cumulative segment lengths (from 0 to the tokens used), and its
-pieces; positions restart at 0 with each segment.
+pad id, the cumulative segment lengths (from 0 to the tokens used), the row of
+the position matrix, which restarts at 0 with each segment (padding has 0), and
+its pieces. Ids or positions beyond ``dtype`` raise an error.
 
 Defined results: as for packing: null texts are empty, each row is packed, an
 empty table gives no rows, further columns are ignored.
@@ -84,6 +85,13 @@ def positions(cu_seqlens: list[int]) -> np.ndarray:
     return np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
 
 
+def filled(matrix: np.ndarray, row: int, at: int, values: np.ndarray) -> None:
+    """Write values into a matrix row; they must fit its type."""
+    if len(values) and int(values.max()) > np.iinfo(matrix.dtype).max:
+        raise ValueError(f"{int(values.max())} does not fit {matrix.dtype.str}")
+    matrix[row, at : at + len(values)] = values
+
+
 def unpack_row(ids: bytes, cu_seqlens: list[int], dtype: str = "<u2") -> list[np.ndarray]:
     """The segments of a matrix row."""
     row = np.frombuffer(ids, dtype)
@@ -94,10 +102,10 @@ PIECE = "struct<doc_id:{}, start:bigint, length:bigint, offset:bigint, doc_token
 
 
 def token_matrix(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, pad_id: int = 0, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, dtype: str = "<u2") -> DataFrame:
-    """One row per sequence: sequence_id, ids (binary), cu_seqlens, pieces. ``dtype`` must hold every id."""
+    """One row per sequence: sequence_id, ids and positions (binary), cu_seqlens, pieces. ``dtype`` must hold every id."""
     small_batches(df.sparkSession)
     kind = dict(df.dtypes)[doc_id]
-    schema = f"sequence_id bigint, ids binary, cu_seqlens array<int>, pieces array<{PIECE.format(kind)}>"
+    schema = f"sequence_id bigint, ids binary, positions binary, cu_seqlens array<int>, pieces array<{PIECE.format(kind)}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -114,21 +122,23 @@ def token_matrix(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
         def rows(group: list[Piece]) -> pa.RecordBatch:
             nonlocal count
             bins = best_fit([len(p.ids) for p in group], capacity)
-            matrix = np.full((len(bins), capacity), pad_id, dtype)
+            matrix, places = np.full((len(bins), capacity), pad_id, dtype), np.zeros((len(bins), capacity), dtype)
             cumulative, pieces = [], []
-            for row, members in zip(matrix, bins):
+            for row, members in enumerate(bins):
                 cu, inside = [0], []
                 for i in members:
                     p, a = group[i], cu[-1]
-                    row[a : a + len(p.ids)] = p.ids
-                    inside.append({"doc_id": p.doc_id, "start": p.start, "length": len(p.ids), "offset": a, "doc_tokens": p.doc_tokens, "ids_crc32": zlib.crc32(row[a : a + len(p.ids)].astype("<u4").tobytes())})
-                    cu.append(a + len(p.ids))
+                    b = a + len(p.ids)
+                    filled(matrix, row, a, p.ids)
+                    inside.append({"doc_id": p.doc_id, "start": p.start, "length": b - a, "offset": a, "doc_tokens": p.doc_tokens, "ids_crc32": zlib.crc32(matrix[row, a:b].astype("<u4").tobytes())})
+                    cu.append(b)
+                filled(places, row, 0, positions(cu))
                 cumulative.append(cu)
                 pieces.append(inside)
             struct = pa.struct([("doc_id", id_type), *((n, pa.int64()) for n in ("start", "length", "offset", "doc_tokens", "ids_crc32"))])
-            arrays = [pa.array(range(first + count, first + count + len(bins)), pa.int64()), pa.array([r.tobytes() for r in matrix], pa.binary()), pa.array(cumulative, pa.list_(pa.int32())), pa.array(pieces, pa.list_(struct))]
+            arrays = [pa.array(range(first + count, first + count + len(bins)), pa.int64()), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (matrix, places)), pa.array(cumulative, pa.list_(pa.int32())), pa.array(pieces, pa.list_(struct))]
             count += len(bins)
-            return pa.RecordBatch.from_arrays(arrays, ["sequence_id", "ids", "cu_seqlens", "pieces"])
+            return pa.RecordBatch.from_arrays(arrays, ["sequence_id", "ids", "positions", "cu_seqlens", "pieces"])
 
         group, tokens = [], 0
         for one, ids in encoded_documents(typed(), tokenizer, end_id):
@@ -147,5 +157,8 @@ def token_matrix(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
 
 
 def pieces_of(matrix: DataFrame) -> DataFrame:
-    """One row per piece with its sequence and how often positions restart in it before."""
-    return matrix.select("sequence_id", F.posexplode("pieces").alias("segment", "p"), F.size("cu_seqlens").alias("marks")).select("p.*", "sequence_id", "segment", (F.col("marks") - 1).alias("segments"))
+    """One row per piece with its sequence, the sequence's number of segments, and checksums of its ids, positions and cumulative lengths (as text joined by commas)."""
+    digests = [F.crc32(F.col(c)).alias(f"{name}_crc32") for name, c in (("row", "ids"), ("positions", "positions"))]
+    lengths = F.crc32(F.array_join(F.col("cu_seqlens").cast("array<string>"), ",").cast("binary")).alias("cu_seqlens_crc32")
+    rows = matrix.select("sequence_id", "pieces", (F.size("cu_seqlens") - 1).alias("segments"), *digests, lengths)
+    return rows.select(F.posexplode("pieces").alias("segment", "p"), *rows.columns).select("p.*", "sequence_id", "segment", "segments", "row_crc32", "positions_crc32", "cu_seqlens_crc32")
