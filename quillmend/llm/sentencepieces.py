@@ -5,8 +5,10 @@ kind and byte fallback, and the normaliser. From these come a unigram model
 with its scores, or a BPE model whose merges are the splits of each piece in
 order of score, a byte fallback, the compiled normaliser and the space marker.
 Where no piece holds a marker after another character, a text falls apart
-exactly at its spaces; each part is encoded once a worker, many to a
-multithreaded call. ``parity`` compares with the sentencepiece library.
+exactly before its markers, which are its spaces and any marker it held itself;
+each part is encoded once a worker, many to a multithreaded call. Models with
+user-defined pieces, which are matched ahead of all others, are refused.
+``parity`` compares with the sentencepiece library.
 
 Defined results: a null text is empty and has no ids; rows that repeat get
 equal ids; an empty table gives no rows; further columns are ignored.
@@ -94,7 +96,7 @@ class Model:
 
     def merges(self) -> list[tuple[str, str]]:
         """Splits of every piece into two pieces, best scored piece first."""
-        known = {p for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED)}
+        known = {p for p, _, kind in self.pieces if kind == NORMAL}
         ranked = sorted((-score, i, p) for i, (p, score, kind) in enumerate(self.pieces) if kind == NORMAL)
         return [(p[:k], p[k:]) for _, _, p in ranked for k in range(1, len(p)) if p[:k] in known and p[k:] in known]
 
@@ -102,6 +104,8 @@ class Model:
         """A tokenizers library tokenizer for texts whose prefix has been added."""
         from tokenizers import Regex, Tokenizer, models, normalizers
 
+        if any(kind == USER_DEFINED for _, _, kind in self.pieces):
+            raise ValueError("models with user-defined pieces are not supported")
         if self.kind == UNIGRAM:
             core = models.Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unknown_id, byte_fallback=self.byte_fallback)
         elif self.kind == BPE:
@@ -125,10 +129,10 @@ class Codec:
         with open(path, "rb") as f:
             self.model = Model.parse(f.read())
         self.library = self.model.tokenizer()
-        texts = [p for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)]
-        apart = self.model.kind == BPE and not self.model.charsmap and not self.model.squeeze_spaces and not any(MARKER in p.lstrip(MARKER) for p in texts)
+        texts = [p for p, _, kind in self.model.pieces if kind == NORMAL]
+        apart = self.model.kind == BPE and self.model.escape_spaces and not self.model.charsmap and not self.model.squeeze_spaces and not any(MARKER in p.lstrip(MARKER) for p in texts)
         lines = "" if any("\n" in p for p in texts) else "\n"
-        self.find = re.compile(f" *[^ {lines}]+| +" + f"|{lines}" * bool(lines)).findall if apart else None
+        self.find = re.compile(f"{MARKER}*[^{MARKER}{lines}]+|{MARKER}+" + f"|{lines}" * bool(lines)).findall if apart else None
         self.cache: dict[str, bytes] = {}
         self.bytes = [bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(MARKER, " ").encode() for p, _, kind in self.model.pieces]
 
@@ -154,7 +158,7 @@ class Codec:
         if len(self.cache) > CACHE_ENTRIES:
             self.cache.clear()
         get = self.cache.get
-        split = [self.find(t) for t in ready]
+        split = [self.find(t.replace(" ", MARKER)) for t in ready]
         parts = [list(map(get, w)) for w in split]
         gaps = [(w, p, at) for w, p in zip(split, parts) for at in gaps_in(p)]
         if gaps:
