@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -48,6 +49,42 @@ def test_encoder_with_a_full_cache(monkeypatch, texts):
     assert [b for t in some for b in ours.encode([t])] == pretokens.Encoder(WORD).encode(some)
 
 
+UNUSUAL = ["aB1 .\n'sté", "日本語テスト かな、。１２", "Σσς ΑΒΓ αβγ'", "אבג ١٢٣ ", "áë \u3000 x", "😀🎉 👩‍👩‍👧 a", "<|endoftext|> a\n", "İIıßẞǅ a1", "Აა 𝒜𝟙 \u200b\ufeff", "²Ⅷ①½ x"]
+
+
+def unusual_texts(n):
+    rng = random.Random(3)
+    for _ in range(n):
+        letters = rng.choice(UNUSUAL) + rng.choice(UNUSUAL)
+        yield "".join(rng.choice(letters) for _ in range(rng.randrange(30))) + rng.choice(["", "", "<|endoftext|>", "<|startoftext|>x"])
+        ranges = [(32, 127), (0x80, 0x3000), (0x3000, 0xD800), (0xE000, 0x110000)]
+        yield "".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(12)))
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_over_all_of_unicode(path):
+    """Any script takes the table and cache, special strings too, and gives the library's ids."""
+    from tokenizers import Tokenizer
+
+    ours, library = pretokens.Encoder(path), Tokenizer.from_file(path)
+    some = list(unusual_texts(1500))
+    for text, ids in zip(some, ours.encode(some)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum(ours.split(t) is None for t in some) <= 0.02 * len(some) and ours.split("日本語 テスト <|endoftext|>") is not None
+    if path == BYTE:
+        counts = token_counts.TokenCounter(BYTE, token_counts.LengthTable({})).counts(some)
+        assert counts == [len(library.encode(t, add_special_tokens=False).ids) for t in some]
+
+
+def test_disputed_code_points_go_to_the_library():
+    members = {"L": list("ab"), "N": list("12"), "S": [" "], "O": list("!?\n")}
+    library = pretokens.encoder(BYTE).library.pre_tokenizer
+    offsets = lambda t: [o for _, o in library.pre_tokenize_str(t)]
+    assert pretokens.disputed(offsets, members, True) == ""
+    wrong = {"L": list("a1"), "N": list("2b"), "S": [" ", "?"], "O": list("!c")}
+    assert pretokens.disputed(offsets, wrong, True) == "1?bc"
+
+
 # 1
 
 
@@ -96,6 +133,13 @@ def test_exact_dedup_with_a_full_filter(docs):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
 
 
+def test_exact_dedup_in_slices(docs):
+    """Several filters of a part of the hashes each, as tables beyond one filter take."""
+    assert exact_dedup.filter_slices(10**9) == 12 and exact_dedup.filter_slices(1000) == 1
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs, slices=3).collect())) == sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    assert {r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs, slices=3).collect()} == {r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs).collect()}
+
+
 def test_filter_never_misses_a_repetition():
     rng = np.random.default_rng(1)
     hashes = rng.integers(-(2**63), 2**63, 5000)
@@ -126,6 +170,20 @@ def test_pieces_parity_and_round_trip(docs, texts):
     assert back == texts
 
 
+def test_pieces_parity_around_markers():
+    """Markers in the text itself, next to spaces and apart."""
+    rng = random.Random(7)
+    some = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for letters in ("▁ a", "▁ ab\n", "▁  日x", "▁a b<s>\t") for _ in range(2500)]
+    assert sentencepieces.parity(some, PIECE) == []
+    assert sentencepieces.parity([a + b for a in ODD_TEXTS for b in ODD_TEXTS], PIECE) == []
+
+
+def test_user_defined_pieces_are_refused():
+    model = sentencepieces.Model(pieces=[("<unk>", 0.0, 2), ("▁", -1.0, 1), ("xy", 0.0, 4)], kind=sentencepieces.BPE)
+    with pytest.raises(ValueError, match="user-defined"):
+        model.tokenizer()
+
+
 def test_unigram_model_is_rebuilt(tmp_path):
     """A small unigram model written by hand as protobuf."""
     import struct
@@ -144,8 +202,8 @@ def test_unigram_model_is_rebuilt(tmp_path):
 # 4
 
 
-def check_shards(spark, frame, shards=24):
-    rows = sharding.shard_digest(frame, shards=shards).collect()
+def check_shards(spark, frame, shards=24, **how):
+    rows = sharding.shard_digest(frame, shards=shards, **how).collect()
     slots = defaultdict(list)
     for r in rows:
         slots[r["shard"]].append(r["slot"])
@@ -176,6 +234,36 @@ def test_a_hot_text_is_split(spark):
     assert max(load.values()) <= 1.02 * min(load.values())
 
 
+def test_large_units_are_numbered_in_parts(spark):
+    """Windows bound what one task sorts; they change the order of slots, not the shards."""
+    frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    keys = frame.select("doc_id", F.xxhash64("text").alias("key"), sharding.record_size().alias("size")).cache()
+    plan = sharding.layout(keys, 4, ranges_per_shard=2, rows_per_window=50)
+    assert max(v[2] for v in plan.units.values()) > 1
+    few = check_shards(spark, frame, 4, ranges_per_shard=2, rows_per_window=50)
+    whole = check_shards(spark, frame, 4, ranges_per_shard=2)
+    assert {(r["doc_id"], r["shard"]) for r in few} == {(r["doc_id"], r["shard"]) for r in whole}
+
+
+def test_hot_keys_are_counted_exactly(spark):
+    """A key of tiny texts shows by its rows, one of long texts by its bytes; others are not taken for hot."""
+    frame = spark.range(9000).select("id", F.when(F.col("id") < 3000, 1).when(F.col("id") < 3080, 2).otherwise(F.col("id")).alias("key"), F.when(F.col("id") < 3000, 8).when(F.col("id") < 3080, 90_000).otherwise(300).cast("bigint").alias("size"))
+    plan = sharding.layout(frame.withColumnRenamed("id", "doc_id").cache(), 8)
+    assert plan.hot == [1, 2]
+    assert sum(n for _, n, _ in plan.units.values()) > 0 and all(r >= 0 for r, _ in plan.units)
+
+
+def test_shards_against_sql(spark, sf_dir, tmp_path):
+    """Sizes, gapless slots and equal texts together, in SQL over the result."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    sharding.shard_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")).write.parquet(f"{tmp_path}/got")
+    con.sql(f"CREATE VIEW got AS SELECT * FROM '{tmp_path}/got/*.parquet'")
+    assert con.sql("SELECT count(*) FROM documents d FULL JOIN got g USING (doc_id) WHERE g.size IS DISTINCT FROM strlen(coalesce(d.text, '')) + 8").fetchall() == [(0,)]
+    assert con.sql("SELECT count(*) FROM (SELECT shard FROM got GROUP BY shard HAVING min(slot) <> 0 OR max(slot) <> count(*) - 1 OR count(DISTINCT slot) <> count(*))").fetchall() == [(0,)]
+    assert con.sql("SELECT max(n) FROM (SELECT count(DISTINCT shard) n FROM documents JOIN got USING (doc_id) GROUP BY coalesce(text, ''))").fetchall() == [(1,)]
+
+
 def test_shards_keep_columns(spark, odd):
     out = sharding.shard_records(odd, shards=4)
     assert out.columns == [c for c in odd.columns if c != "shard"] + ["shard", "slot"] and out.count() == odd.count()
@@ -224,6 +312,44 @@ def test_media_tiles(spark):
     assert all(r["tile"] is None and r["problem"] for r in rows[1:])
 
 
+def test_resizing_in_strips_equals_the_whole(monkeypatch):
+    pixels = np.random.default_rng(2).integers(0, 256, (157, 13, 3), np.uint8)
+    whole = [media.area_resize(pixels, h, w) for h, w in ((32, 32), (8, 9), (200, 5))]
+    monkeypatch.setattr(media, "STRIP", 10)
+    assert all(np.allclose(a, media.area_resize(pixels, *a.shape[:2])) for a in whole)
+    integral = np.pad(pixels.astype(float).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0), (0, 0)))
+    want = np.diff(np.diff(integral[::157][:, ::13], axis=0), axis=1) / (157 * 13)
+    assert np.allclose(media.area_resize(pixels, 1, 1), want)
+
+
+def test_a_very_long_payload_needs_little_memory():
+    import tracemalloc
+
+    payload = media.to_payload("x" * 30_000_000)[0]
+    pixels = media.decode(media.store_payload(payload))
+    tracemalloc.start()
+    assert media.npy_tile(pixels) and media.difference_hash(pixels) == "0" * 16
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_payload_features_come_from_the_stored_picture(docs, texts):
+    """Both formats occur, and tile and hash are those of the picture in the file."""
+    import io
+
+    rows = media.payload_media(docs, with_media=True).limit(200).collect()
+    assert {bytes(r["media"][:2]) for r in rows} == {b"BM", b"P6"}
+    for r in rows:
+        pixels = np.frombuffer(media.to_payload(texts[r["doc_id"]])[0], np.uint8).reshape(-1, 64, 3)
+        assert (media.decode(r["media"]) == pixels).all() and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"]
+        tile = np.load(io.BytesIO(r["tile"]))
+        integral = np.pad(pixels.astype(float).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0), (0, 0)))
+        at = lambda values, n, axis: np.stack([np.take(values, int(e), axis) + (e - int(e)) * (np.take(values, min(int(e) + 1, values.shape[axis] - 1), axis) - np.take(values, int(e), axis)) for e in np.arange(n + 1) * ((values.shape[axis] - 1) / n)], axis)
+        cells = np.diff(np.diff(at(at(integral, 32, 0), 32, 1), axis=0), axis=1) / ((len(pixels) / 32) * 2)
+        assert np.abs(tile - cells).max() <= 0.5 + 1e-6
+        assert r["feature"] == f"{media.difference_hash(pixels)}:{hashlib.sha256(r['tile']).hexdigest()[:16]}"
+
+
 def test_payloads(docs, texts):
     for r in media.payload_media(docs).collect():
         raw = texts[r["doc_id"]].encode()
@@ -265,7 +391,35 @@ def test_token_matrix(docs, texts):
         assert len(r["ids"]) == 2 * 4096 and r["cu_seqlens"][-1] == sum(p["length"] for p in r["pieces"])
         for p, part in zip(r["pieces"], token_matrix.unpack_row(r["ids"], r["cu_seqlens"])):
             assert zlib.crc32(part.astype("<u4").tobytes()) == p["ids_crc32"]
+        want = np.concatenate([np.arange(p["length"]) for p in r["pieces"]])
+        assert np.array_equal(np.frombuffer(r["positions"], "<u2"), np.pad(want, (0, 4096 - len(want))))
     assert token_matrix.positions([0, 3, 5]).tolist() == [0, 1, 2, 0, 1]
+    digests = {r["sequence_id"]: (zlib.crc32(r["ids"]), zlib.crc32(r["positions"]), zlib.crc32(",".join(map(str, r["cu_seqlens"])).encode()), len(r["pieces"])) for r in matrix.collect()}
+    assert all((r["row_crc32"], r["positions_crc32"], r["cu_seqlens_crc32"], r["segments"]) == digests[r["sequence_id"]] for r in token_matrix.pieces_of(matrix).collect())
+
+
+def test_ids_that_do_not_fit_raise():
+    matrix = np.zeros((1, 4), "<u2")
+    token_matrix.filled(matrix, 0, 1, np.array([65535], "<u4"))
+    assert matrix[0].tolist() == [0, 65535, 0, 0]
+    with pytest.raises(ValueError, match="70000"):
+        token_matrix.filled(matrix, 0, 0, np.array([70000], "<u4"))
+
+
+def test_packing_of_long_and_full_documents():
+    """One document of many groups, pieces near the capacity, and many tiny ones: all lossless, with little padding."""
+    rng = random.Random(5)
+    for lengths in ([3_000_001], [rng.randrange(3900, 4096) for _ in range(400)], [rng.randrange(1, 30) for _ in range(20_000)]):
+        packer = packing.Packer()
+        for i, n in enumerate(lengths):
+            packer.add(packing.Piece(i, 0, np.full(n, i % 7, "<u4"), n))
+        packer.flush(last=True)
+        got, used = Counter(), [sum(len(p.ids) for p in s) for s in packer.ready]
+        for s in packer.ready:
+            for p in s:
+                got[p.doc_id] += len(p.ids)
+        assert got == Counter(dict(enumerate(lengths))) and max(used) <= 4096
+        assert sum(4096 - u for u in used if u & (u - 1)) <= 0.01 * sum(lengths)
 
 
 def test_differencing():
@@ -338,8 +492,8 @@ def test_simhash(docs, texts):
         assert (int(r["fingerprint"], 16), r["component_id"]) == (fp[r["doc_id"]], want[r["doc_id"]])
 
 
-def test_links_join_planted_points(spark):
-    rng = random.Random(8)
+def near_points(rng, crowd):
+    """Random fingerprints with chains of near ones, and many that share a segment's value."""
     points = [rng.getrandbits(64) for _ in range(40)]
     for p in points[:25]:
         q = p
@@ -347,21 +501,56 @@ def test_links_join_planted_points(spark):
             q ^= 1 << rng.randrange(64)
             q ^= rng.choice([0, 1 << rng.randrange(64)])
             points.append(q)
-    signed = {p - (1 << 64) if p >> 63 else p: p for p in points}
-    found = {r["node"]: r["root"] for r in simhash.components(simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"))).collect()}
-    ids = {s: i for i, s in enumerate(sorted(signed))}
-    want = brute_components({ids[s]: p for s, p in signed.items()}, 2)
-    back = {i: s for s, i in ids.items()}
-    assert all(found.get(s, s) == back[want[ids[s]]] for s in signed)
-
-
-def test_components_of_a_long_chain(spark):
+    low = rng.getrandbits(32)
+    for _ in range(crowd):
+        high = rng.getrandbits(11) << 40
+        points += [high << 8 | low, (high << 8 ^ 1 << rng.randrange(32, 64)) | low ^ rng.choice([0, 1 << rng.randrange(32)])]
+    return sorted({simhash.signed(p) for p in points})
+
+
+@pytest.mark.parametrize("segments,crowd", [(2, 64), (2, 1), (3, 64), (4, 5), (8, 2)])
+def test_links_are_all_pairs_within_the_radius(spark, segments, crowd):
+    """Tables change with the number of segments and with what counts as crowded; links don't."""
+    points = near_points(random.Random(8), 60)
+    want = {(a, b) for k, a in enumerate(points) for b in points[k + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    frame = spark.createDataFrame([(p,) for p in points], "fp long")
+    assert len(want) > 100 and {tuple(r) for r in simhash.links(frame, segments, crowd=crowd).collect()} == want
+
+
+def test_segments_cover_all_bits():
+    for n in (2, 3, 4, 8, 64):
+        masks = simhash.segment_masks(n)
+        assert sum(masks) == (1 << 64) - 1 and len(masks) == n
+        assert len({flip for _, _, flip in simhash.segment_balls(n, 2)}) == (65 if n == 2 else 1)
+    with pytest.raises(ValueError):
+        simhash.segment_balls(1, 2)
+
+
+@pytest.mark.parametrize("last_pairs", [0, 40, simhash.LAST_PAIRS])
+def test_components_of_a_long_chain(spark, last_pairs):
+    """By distributed rounds alone, by rounds and one last task, and by that task alone."""
     chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     star = spark.range(1000, 1050).select(F.lit(2000).cast("long").alias("a"), F.col("id").alias("b"))
-    got = {r["node"]: r["root"] for r in simhash.components(chain.unionByName(star)).collect()}
+    got = {r["node"]: r["root"] for r in simhash.components(chain.unionByName(star).repartition(7), last_pairs).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{i: 1000 for i in (*range(1000, 1050), 2000)}}
 
 
+def test_local_roots_and_forests():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 30, 400):
+        a, b = rng.integers(0, 300, n), rng.integers(0, 300, n)
+        root = {i: i for i in range(300)}
+        for x, y in zip(a.tolist(), b.tolist()):
+            low, high = sorted((root[x], root[y]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        nodes, got = simhash.local_roots(a, b)
+        assert dict(zip(nodes.tolist(), got.tolist())) == {i: root[i] for i in {*a.tolist(), *b.tolist()}}
+        chosen = simhash.likeliest(a, b, rng.random(n))
+        kept = simhash.local_roots(a[chosen], b[chosen])
+        want = simhash.local_roots(*(x[a != b] for x in (a, b)))
+        assert len(chosen) == len(want[0]) - len(set(want[1].tolist())) and all(np.array_equal(x, y) for x, y in zip(kept, want))
+
+
 def test_similar_texts_are_grouped(spark):
     rng = random.Random(6)
     rows, near = [], {}
@@ -441,7 +630,19 @@ def test_prefixes_of_similar_sets_meet():
             common = np.sort(rng.choice(union, rng.integers(n + 1), replace=False))
             assert set(simhash.set_prefix(a, 0.8, common).tolist()) & set(simhash.set_prefix(b, 0.8, common).tolist())
             sizes = [np.array([len(x)]) for x in (a, b)]
-            assert simhash.may_be_similar(*sizes, *(simhash.set_sketch(x)[None] for x in (a, b)), 0.8).all()
+            most = simhash.most_apart(*sizes, 0.8)
+            assert all(simhash.sketches_apart(x, y) <= most for x, y in ([simhash.node_sketch(s) for s in (a, b)], [simhash.odd_sketch(s, simhash.ENTRY_CELLS) for s in (a, b)]))
+
+
+def test_odd_sketches_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(14)
+    for n, m in ((0, 0), (0, 5), (200, 300), (300, 5000), (40_000, 40_000)):
+        both = rng.choice(np.iinfo(np.int64).max, 30_000, replace=False).astype(np.uint64)
+        a, b = (np.unique(rng.choice(both, k)) for k in (n, m))
+        apart = simhash.sketches_apart(simhash.node_sketch(a), simhash.node_sketch(b))
+        assert apart == simhash.sketches_apart(simhash.node_sketch(b), simhash.node_sketch(a)) <= len(np.setxor1d(a, b))
+        folded = min(len(simhash.node_sketch(x)) for x in (a, b)) * 8
+        assert apart == simhash.sketches_apart(simhash.odd_sketch(a, folded), simhash.odd_sketch(b, folded))
 
 
 def test_groups_are_those_at_the_similarity(spark):
@@ -479,27 +680,73 @@ def test_counts_without_a_table():
 # 10
 
 
-def test_nearest_equals_brute_force():
+def brute_vectors(texts, labels, association):
+    """Full TF-IDF vectors from the raw texts, in plain dictionaries."""
+    import math
+    import re
+
+    bags = [Counter(re.findall(r"[^\W\d_]+", t.lower())) for t in texts]
+    n, n1 = len(bags), sum(labels)
+    weight = {}
+    for t in {t for b in bags for t in b}:
+        d, a = sum(t in b for b in bags), sum(t in b and y for b, y in zip(bags, labels))
+        phi = (n * a - d * n1) ** 2 / max(1, d * (n - d) * n1 * (n - n1)) if association else 1.0
+        weight[t] = math.log(1 + n / d) * phi
+
+    def vector(text):
+        bag = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in bag.items() if weight.get(t)}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    return vector
+
+
+@pytest.mark.parametrize("association", [False, True])
+def test_nearest_equals_brute_force(association):
+    """Every term counts, those seen once too; the nearest are those of the complete cosine from the raw texts."""
     rng = random.Random(9)
     names = [f"t{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
-    counts = [Counter(rng.choices(names[:40] if i % 2 else names[20:], k=12)) for i in range(300)]
-    index = toxicity.Index.build(list(range(300)), counts, [i % 2 for i in range(300)])
-    assert index.terms
-    dense = np.zeros((300, len(index.idf)))
-    for place, i in enumerate(index.ids[:300]):
-        rows, weights = toxicity.unit_vector(counts[i], index.terms, index.idf)
-        dense[place, rows] = weights
-    for q in counts[:60]:
-        vector = toxicity.unit_vector(q, index.terms, index.idf)
-        places, cosines = index.nearest(vector)
-        full = np.zeros(len(index.idf))
-        full[vector[0]] = vector[1]
-        every = dense @ full
-        want = np.lexsort((np.arange(300), -np.round(every, 12)))
-        want = [w for w in want if every[w] > 0][: toxicity.NEIGHBOURS]
+    texts = [" ".join([*rng.choices(names[:40] if i % 2 else names[20:], k=12), "own" + "abcdefghij"[i % 10] * (i // 10 + 1)]) for i in range(300)]
+    labels = [i % 2 for i in range(300)]
+    index = toxicity.Index.build(list(range(300)), [toxicity.term_counts(t) for t in texts], labels, association)
+    vector = brute_vectors(texts, labels, association)
+    examples = [vector(texts[i]) for i in index.ids]
+    assert len(index.terms) == 360
+    for text in [*texts[:40], "taa tab " * 3, "owna nothing else"]:
+        q = vector(text)
+        every = np.array([sum(x * e.get(t, 0) for t, x in q.items()) for e in examples])
+        want = [w for w in np.lexsort((np.arange(300), -np.round(every, 12))) if every[w] > 0][: toxicity.NEIGHBOURS]
+        places, cosines = index.nearest(index.vector(toxicity.term_counts(text)))
         assert places.tolist() == want and np.allclose(cosines, every[want])
 
 
+def test_toxicity_of_whole_query_equals_brute_force(spark, docs, labels):
+    """Scores from raw texts: complete cosines to all examples, votes and calibration by hand."""
+    index = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    vector = brute_vectors([texts[i] for i in index.ids], index.toxic.tolist(), True)
+    examples = [vector(texts[i]) for i in index.ids]
+    for r in toxicity.scores(docs, index).limit(60).collect():
+        q = vector(texts[r["doc_id"]])
+        every = np.array([sum(x * e.get(t, 0) for t, x in q.items()) for e in examples])
+        best = np.lexsort((np.arange(len(every)), -np.round(every, 12)))[: toxicity.NEIGHBOURS]
+        weight = every[best] ** 2
+        raw = (weight * index.toxic[best]).sum() / (weight.sum() + toxicity.NO_EVIDENCE)
+        assert r["score"] == pytest.approx(index.score(raw), abs=1e-9)
+
+
+def test_equal_examples_and_ids(spark):
+    """Of equal texts the smallest id is the example; ids may repeat or be text."""
+    rows = [("b", "you fool and clown"), ("a", "you fool and clown"), ("c", "a calm river"), ("c", "zz a calm river"), ("d", None)]
+    marked = [("a", 1), ("b", 1), ("c", 0), ("d", 0), ("c", 0)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(i, y, y) for i, y in marked], "doc_id string, toxic int, quality int")
+    index = toxicity.fit(docs, labels, out_of=1, held=-1)
+    assert sorted(index.ids) == ["a", "c", "d"] and "zz" not in index.terms
+    assert toxicity.scores(docs, index).count() == 5 and quality.scores(docs, quality.fit(docs, labels, out_of=1, held=-1)).count() == 5
+
+
 def test_toxicity_held_out(docs, labels):
     out = toxicity.scores(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").toPandas()
     held = out[out.held_out]

@@ -1,7 +1,5 @@
 """The pipeline against its stages by hand."""
 
-from collections import defaultdict
-
 import duckdb
 import pytest
 
@@ -35,23 +33,6 @@ def test_stages(spark, sf_dir, kept):
     assert ids(kept[3]) == set(best.values())
 
 
-def test_near_stage_keeps_one_of_each_group(kept):
-    """Brute force over wide fingerprints: only similar documents go, and the pairs at 0.85 or more are found."""
-    texts = {r["doc_id"]: r["text"] for r in kept[3].collect()}
-    left = ids(kept[4])
-    shingles = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
-    by = defaultdict(set)
-    for i, s in shingles.items():
-        for h in s:
-            by[h].add(i)
-    for gone in texts.keys() - left:
-        others = {j for h in shingles[gone] for j in by[h]} - {gone}
-        assert any(len(shingles[gone] & shingles[j]) / len(shingles[gone] | shingles[j]) >= 0.6 for j in others)
-    for i in left:
-        for j in {j for h in shingles[i] for j in by[h]} & left - {i}:
-            assert len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) < 0.85
-
-
 def test_near_stage_decides_at_the_similarity(kept):
     """Brute force at 0.8 on both sides: who goes has such a neighbour, and of who stays no two are so similar."""
     sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in kept[3].collect()}
