@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .quality import THRESHOLD, labelled_sample, labelled_texts
 
-SAMPLE_ROWS = 4000
-BLOCK = 64
+SAMPLE_ROWS = 2400
+BLOCK = 128
 #: Blocks that a query visits at a time: a few first, then all that the best of these leave open.
-FIRST_BLOCKS = 6
+FIRST_BLOCKS = 3
 NEIGHBOURS = 15
 NO_EVIDENCE = 0.5
 
@@ -172,8 +172,10 @@ def term_weights(counts: list[Counter], labels: list[int], association: bool = T
 
 def unit_vector(counts: Counter, terms: dict[str, int], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order and weights (1 + log count) * weight of a text's terms that the examples have, of length 1."""
-    found = sorted((terms[t], counts[t]) for t in counts.keys() & terms.keys())
-    rows, n = np.array(found, np.int64).reshape(-1, 2).T
+    known = counts.keys() & terms.keys()
+    rows, n = (np.fromiter(map(of.__getitem__, known), np.int64, len(known)) for of in (terms, counts))
+    order = np.argsort(rows)
+    rows, n = rows[order], n[order]
     values = (1 + np.log(n)) * weights[rows]
     length = np.sqrt((values**2).sum())
     return (rows[values > 0], values[values > 0] / length) if length else (rows[:0], values[:0])
