@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # Script ranges.
 HIRAGANA, KATAKANA, KANJI = "ぁ-ゟ", "ァ-ヿ", "㐀-鿿豈-﫿"
@@ -52,6 +52,79 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def best_ratios(words: pd.Series, known: pd.Series) -> pd.Series:
+    """For each of an array of words its highest sequence ratio with any of the known ones; 0 where either is empty."""
+
+    def one(these: Sequence[str], those: Sequence[str]) -> list[float]:
+        return [max((SequenceMatcher(None, w, k).ratio() for k in those if w and k), default=0.0) for w in these]
+
+    return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(words, known)])
+
+
+# Ratios from which two wordings count as the same, and a remainder as an option.
+SAME_WORDING, SAME_OPTION = 0.72, 0.75
+
+
+def close(a: Column, b: Column, least: float = SAME_WORDING) -> Column:
+    """Whether two forms are the same wording: equal, one inside the other, or of a high sequence ratio. Empty ones are not."""
+    inside = F.contains(a, b) | F.contains(b, a)
+    return F.when((a == "") | (b == ""), False).when(inside, True).otherwise(sequence_ratio(a, b) >= least)
+
+
+# Characters that spell the same place.
+PLACE_VARIANTS = {
+    "竜": "龍", "ヶ": "ケ", "ガ": "ケ", "が": "ケ", "之": "ノ", "ノ": "ノ", "櫻": "桜", "澤": "沢", "瀧": "滝", "藝": "芸", "嶋": "島", "嶌": "島",
+    "濱": "浜", "邊": "辺", "邉": "辺", "齋": "斎", "齊": "斉", "淺": "浅", "眞": "真", "德": "徳", "祿": "禄", "廣": "広", "區": "区", "縣": "県",
+}
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Whether two place names differ only in variants of characters; null counts as empty."""
+    left, right = (map_glyphs(F.coalesce(c, F.lit("")), PLACE_VARIANTS) for c in (a, b))
+    return left == right
+
+
+# The order in which a value's levels are shown, and the confidence that a lone character keeps at most.
+NEEDS_CHECK, LONE_CHARACTER = ("low", "medium"), 0.30
+
+
+def shown_level(confirmed: Column, anonymised: Column, edited: Column, confidence: Column) -> Column:
+    """What a value is shown as: confirmed, anonymised, edited, or its level of confidence, the first that holds."""
+    return F.when(confirmed, "confirmed").when(anonymised, "anonymised").when(edited, "edited").otherwise(confidence_level(confidence))
+
+
+def needs_check(level: Column) -> Column:
+    return level.isin(*NEEDS_CHECK)
+
+
+def passes(level: Column, wanted: str) -> Column:
+    """Whether a value passes the list's filter: all, those that need a check, or one level."""
+    return F.lit(True) if wanted == "all" else needs_check(level) if wanted == "check" else level == wanted
+
+
+def blank_lone(value: Column, confidence: Column) -> Column:
+    """A free text of one character is blank, with little confidence and a note: value, confidence, note."""
+    lone = F.length(F.regexp_replace(value, r"\s", "")) == 1
+    return F.struct(F.when(lone, "").otherwise(value).alias("value"), F.when(lone, F.least(confidence, F.lit(LONE_CHARACTER))).otherwise(confidence).alias("confidence"), F.when(lone, "one character only").otherwise("").alias("note"))
+
+
+def isolated(read: Callable[[str], str]):
+    """A reader of one field as a function of a column: value and problem, so that an error in one row stays there."""
+
+    @F.pandas_udf("struct<value:string,problem:string>")
+    def guarded(values: pd.Series) -> pd.DataFrame:
+        out: list[tuple[str | None, str | None]] = []
+        for v in values:
+            try:
+                out.append((None if v is None else read(v), None))
+            except Exception as e:  # noqa: BLE001  whatever a reader raises belongs to its row
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["value", "problem"])
+
+    return guarded
+
+
 def map_glyphs(text: Column, table: Mapping[str, str]) -> Column:
     """Replace single characters, those with longer targets after the others."""
     single = {k: v for k, v in table.items() if len(k) == len(v) == 1 and k != v}
@@ -75,11 +148,14 @@ def clean_reading(text: Column, variants: Mapping[str, str] = VARIANTS) -> Colum
     return F.when(out.rlike(ONLY_MARKS), "").otherwise(out)
 
 
+# Marks of printed labels, tick boxes at their ends, and signs that pass for the long vowel's.
+LABEL_MARKS, LABEL_BOXES, LONG_VOWELS = r"[\s　:：・.,、。()（）\[\]【】「」]+", "^[口ロ□■☐▢〇○●]+|[口ロ□■☐▢]+$", r"[ー—–‐\-─―一]"
+
+
 def label_form(text: Column, compose: bool = True) -> Column:
     """Comparison form of printed labels: no marks, no tick boxes at the ends, one long-vowel sign."""
-    bare = F.regexp_replace(nfkc(text) if compose else text, r"[\s　:：・.,、。()（）\[\]【】「」]+", "")
-    bare = F.regexp_replace(bare, "^[口ロ□■☐▢〇○●]+|[口ロ□■☐▢]+$", "")
-    return F.regexp_replace(bare, r"[ー—–‐\-─―一]", "ー")
+    bare = F.regexp_replace(nfkc(text) if compose else text, LABEL_MARKS, "")
+    return F.regexp_replace(F.regexp_replace(bare, LABEL_BOXES, ""), LONG_VOWELS, "ー")
 
 
 # White space as browsers trim it.
@@ -96,10 +172,14 @@ _NOISE_CLASS = "[" + "".join("\\" + c if c in "^\\|{}*$" else c for c in NOISE)
 NOISE_PATTERN = f"(?<![0-9０-９])%|(?!%){_NOISE_CLASS}"
 
 
+# Marks that may lead a reading.
+LEADING_MARKS = r"^[\s.,、。・:：;；\-ー_]+"
+
+
 def strip_noise(text: Column) -> Column:
     """Drop meaningless marks (a percent sign after a digit stays), squeeze blanks, drop marks at the start."""
     out = F.trim(F.regexp_replace(F.regexp_replace(text, NOISE_PATTERN, ""), "[ 　]{2,}", " "))
-    return F.regexp_replace(trim_space(out), r"^[\s.,、。・:：;；\-ー_]+", "")
+    return F.regexp_replace(trim_space(out), LEADING_MARKS, "")
 
 
 def noise_found(text: Column) -> Column:
@@ -107,7 +187,7 @@ def noise_found(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({NOISE_PATTERN})"), F.lit(1))
 
 
-# Look-alikes between characters of one script (left context, wrong, right context, right).
+# Look-alikes between characters of one script (context on both sides, wrong, right).
 CONTEXT = [
     (KATAKANA, "力", "カ"), (KATAKANA, "口", "ロ"), (KATAKANA, "二", "ニ"), (KATAKANA, "へ", "ヘ"),
     (HIRAGANA, "ヘ", "へ"), (KATAKANA, "一", "ー"), (KATAKANA, "[-−–—]", "ー"),
@@ -215,12 +295,15 @@ def restore_point(text: Column, low: float, high: float) -> Column:
     return F.when(odd & moved.try_cast("double").between(low, high), moved).otherwise(t)
 
 
+# How a corporation's name begins and ends.
+CORPORATION = r"^(?:社会|特定)?医療法人\s*(?:社団法人|財団法人|社団|財団)?\s*(?:[^\s]{1,12}?(?:会館|協会|会))?\s+"
+
+
 def strip_corporation(text: Column) -> Column:
     """Drop a corporation's name before a facility's, where white space parts them and three characters stay."""
     t = F.trim(text)
-    head = r"^(?:社会|特定)?医療法人\s*(?:社団法人|財団法人|社団|財団)?\s*(?:[^\s]{1,12}?(?:会館|協会|会))?\s+"
-    rest = F.trim(F.regexp_replace(t, head, ""))
-    return F.when(t.rlike(head) & (F.length(rest) >= 3), rest).otherwise(t)
+    rest = F.trim(F.regexp_replace(t, CORPORATION, ""))
+    return F.when(t.rlike(CORPORATION) & (F.length(rest) >= 3), rest).otherwise(t)
 
 
 # Character sets of fields.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmend.functions import text as T
 from quillmend.functions.dates import let
 
 NARROW = ("digits", "decimal", "phone", "postal", "date_digits", "kana")
@@ -76,7 +77,10 @@ def joined_value(values: Column) -> Column:
 
 
 def expanded_options(text: Column, options: Column) -> Column:
-    """Places of the options that a free answer names, the longest consumed first; null where something else is left over."""
+    """Places of the options that a free answer names, the longest consumed first.
+
+    What is left over counts as the first option that it begins, that begins it, or that it is much like; null if there is none.
+    """
     ordered = F.array_sort(F.transform(options, lambda o, i: F.struct((-F.length(o)).alias("n"), i.alias("i"), o.alias("o"))))
     start = F.struct(text.alias("rest"), F.array().cast("array<int>").alias("hit"))
 
@@ -86,13 +90,13 @@ def expanded_options(text: Column, options: Column) -> Column:
         found = (at > 0) & (c["o"] != "")
         return F.struct(F.when(found, cut).otherwise(acc["rest"]).alias("rest"), F.when(found, F.array_append(acc["hit"], c["i"])).otherwise(acc["hit"]).alias("hit"))
 
-    def finish(acc: Column) -> Column:
-        rest = F.regexp_replace(acc["rest"], r"[・,、／/\s]", "")
-        near = F.filter(ordered, lambda c: F.startswith(c["o"], rest) | F.startswith(rest, c["o"]))
-        hits = F.when(rest == "", acc["hit"]).when(F.size(near) > 0, F.array_union(acc["hit"], F.array(F.get(near, F.lit(0))["i"])))
-        return F.when(F.size(hits) > 0, F.array_sort(hits))
-
-    return F.aggregate(ordered, start, step, finish)
+    named = F.aggregate(ordered, start, step)
+    rest = F.regexp_replace(named["rest"], r"[・,、／/\s]", "")
+    placed = F.transform(options, lambda o, i: F.struct(o.alias("o"), i.alias("i")))
+    fits = lambda c, ratio: (c["o"] != "") & (F.startswith(c["o"], rest) | F.startswith(rest, c["o"]) | (ratio >= T.SAME_OPTION))
+    near = F.filter(F.zip_with(placed, T.best_ratios(options, F.array(rest)), lambda c, ratio: F.when(fits(c, ratio), c["i"])), lambda i: i.isNotNull())
+    hits = F.when(rest == "", named["hit"]).when(F.size(near) > 0, F.array_union(named["hit"], F.array(F.get(near, F.lit(0)))))
+    return F.when(F.size(hits) > 0, F.array_sort(hits))
 
 
 def compared_form(text: Column, kind: Column, hiragana) -> Column:

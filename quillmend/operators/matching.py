@@ -278,10 +278,11 @@ def backfill(entries: DataFrame, best: DataFrame, key: list[str], fields: list[s
     """
     joined = entries.join(best, key, "left")
     takes = F.coalesce(F.col("score") >= adopt, F.lit(False))
-    for f in fields:
-        weak = takes & F.col(f"dir_{f}").isNotNull() & ((F.coalesce(F.col(f), F.lit("")) == "") | (F.coalesce(F.col(f"{f}_confidence"), F.lit(0.0)) < 0.5))
-        joined = joined.withColumn(f"{f}_confidence", F.when(weak, F.greatest(F.coalesce(F.col(f"{f}_confidence"), F.lit(0.0)), F.lit(floors[f]))).otherwise(F.col(f"{f}_confidence"))).withColumn(f, F.when(weak, F.col(f"dir_{f}")).otherwise(F.col(f)))
-    return joined.select(*entries.columns)
+    sure = {f: F.coalesce(F.col(f"{f}_confidence"), F.lit(0.0)) for f in fields}
+    weak = {f: takes & F.col(f"dir_{f}").isNotNull() & ((F.coalesce(F.col(f), F.lit("")) == "") | (sure[f] < 0.5)) for f in fields}
+    made = {f: F.when(weak[f], F.col(f"dir_{f}")).otherwise(F.col(f)) for f in fields}
+    made |= {f"{f}_confidence": F.when(weak[f], F.greatest(sure[f], F.lit(floors[f]))).otherwise(F.col(f"{f}_confidence")) for f in fields}
+    return joined.withColumns(made).select(*entries.columns)
 
 
 def infer_region(texts: DataFrame, key: str, ordinal: str, form: str, regions: DataFrame, region: str, region_form: str, list_ordinal: str, suffix: int = 1) -> DataFrame:

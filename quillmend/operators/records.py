@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmend.functions import dates as D
+from quillmend.functions import text as T
 from quillmend.functions.text import confidence_level
 
 ANONYMISED, MASKED = "（匿名化済み）", "（マスク済み）"
@@ -129,11 +131,13 @@ def option_index(label: Column, options: Column, aliases: dict[str, str], normal
 
 
 def form_drift(row_text: Column, options: Column, words: Column, known: Column, normal) -> Column:
-    """Options found in and missing from a row, and its words that no known label is close to."""
+    """Options found in and missing from a row, and its words that are the wording of no known label. ``normal`` must be built in."""
     text = normal(row_text)
     found = F.filter(options, lambda o: (normal(o) != "") & F.contains(text, normal(o)))
-    close = lambda w: F.exists(known, lambda k: (normal(w) != "") & (normal(k) != "") & (F.contains(normal(w), normal(k)) | F.contains(normal(k), normal(w))))
-    return F.struct(found.alias("found"), F.array_except(options, found).alias("missing"), F.filter(words, lambda w: ~close(w)).alias("extra"))
+    inside = lambda w: F.exists(known, lambda k: (normal(w) != "") & (normal(k) != "") & (F.contains(normal(w), normal(k)) | F.contains(normal(k), normal(w))))
+    alike = T.best_ratios(F.transform(words, normal), F.transform(known, normal))
+    extra = F.filter(F.zip_with(words, alike, lambda w, ratio: F.when(~inside(w) & (ratio < T.SAME_WORDING), w)), lambda w: w.isNotNull())
+    return F.struct(found.alias("found"), F.array_except(options, found).alias("missing"), extra.alias("extra"))
 
 
 def drift_reported(drift: Column) -> Column:
@@ -155,3 +159,71 @@ def confirm(entries: DataFrame, visible: Column) -> DataFrame:
     """Confirm visible entries; ``newly`` counts as the event's size."""
     newly = visible & ~F.coalesce(F.col("confirmed"), F.lit(False))
     return entries.withColumn("newly", newly).withColumn("confirmed", F.coalesce(F.col("confirmed"), F.lit(False)) | visible)
+
+
+def for_field(fields: DataFrame, field_map: DataFrame, terms: DataFrame, field: str = "field", lexicon: str = "lexicon") -> DataFrame:
+    """The terms of the lexicon that each field uses; fields without one have none."""
+    return fields.join(field_map, field).join(terms, lexicon)
+
+
+def known_texts(template: DataFrame, definition: DataFrame, field: str = "field") -> DataFrame:
+    """Text places of a template whose field is still defined, with its definition."""
+    return template.join(definition, field)
+
+
+def anchors(left: DataFrame, right: DataFrame, label: str) -> DataFrame:
+    """Rows of two templates that correspond by a label that each has just once."""
+    once = [side.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).filter("__n = 1").select(label) for side in (left, right)]
+    return left.join(once[0], label, "left_semi").join(right.join(once[1], label, "left_semi"), label)
+
+
+def corresponding(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Boxes of two templates that stand for the same option."""
+    return left.join(right, key)
+
+
+def apply_row(entries: DataFrame, picked: DataFrame, doc: str = "doc", field: str = "field", value: str = "value", taken: str = "taken") -> tuple[DataFrame, DataFrame]:
+    """Entries with a picked row's values taken over and marked as edited, and one event for each change: doc, field, before, after.
+
+    ``picked`` has a row for each doc and field it fills; empty values fill nothing.
+    """
+    joined = entries.join(picked.select(doc, field, F.col(taken).alias("__t")), [doc, field], "left")
+    takes = (F.coalesce(F.col("__t"), F.lit("")) != "") & ~F.col("__t").eqNullSafe(F.col(value))
+    marked = joined.withColumn("edited", takes)
+    events = marked.filter("edited").select(doc, field, F.col(value).alias("before"), F.col("__t").alias("after"))
+    return marked.withColumn(value, F.when(F.col("edited"), F.col("__t")).otherwise(F.col(value))).drop("__t"), events
+
+
+def filtered_terms(terms: DataFrame, name: str, code: str, query: str, most: int = 400) -> DataFrame:
+    """Terms whose name or code holds the query, the first of them in order of name."""
+    hit = F.contains(F.col(name), F.lit(query)) | F.contains(F.col(code), F.lit(query))
+    return terms.filter(hit).orderBy(name, code).limit(most)
+
+
+def derived(dates: DataFrame, codes: DataFrame, written: DataFrame, doc: str = "doc", birth: str = "birth_date", entry: tuple[str, str] = ("entry_date", "last_exam_date")) -> DataFrame:
+    """What follows from a record: parts of each date, codes of each name, and the age, computed and as written.
+
+    ``dates`` has doc, field, iso, era, year, month, day; ``codes`` doc, field, code, flagged; ``written`` doc, age.
+    The age is taken at the first of the entry dates that is complete.
+    """
+    parts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("iso", "era", "year", "month", "day").alias("v")))))
+    d = dates.groupBy(doc).agg(parts.alias("dates"))
+    c = codes.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("code", "flagged").alias("v"))))).alias("codes"))
+    at = F.coalesce(*(F.when(D.full_date(F.col("dates")[e]["iso"]).isNotNull(), F.col("dates")[e]["iso"]) for e in entry))
+    both = d.join(c, doc, "full").join(written.select(doc, F.col("age").try_cast("int").alias("age_written")), doc, "left")
+    out = both.withColumn("age_computed", D.age(F.col("dates")[birth]["iso"], at))
+    return out.withColumn("age_matches", F.abs(F.col("age_computed") - F.col("age_written")) <= 1)
+
+
+def junk_counts(readings: DataFrame, key: str, truth: str, read: str, least: int = 2) -> DataFrame:
+    """For each key how many blanks were read as blank, and how many have so many characters of junk."""
+    blank = F.coalesce(F.trim(truth), F.lit("")) == ""
+    size = F.length(F.coalesce(F.trim(read), F.lit("")))
+    return readings.groupBy(key).agg(F.count_if(blank & (size == 0)).alias("blank_right"), F.count_if(blank & (size >= least)).alias("junk"), F.count_if(blank).alias("blanks"))
+
+
+def best_engine(readings: DataFrame, key: str, engine: str, parts: str, confidence: str) -> DataFrame:
+    """The engine that read most parts, the surer one on ties, then the first by name: key, engine, n_parts."""
+    n = F.size(F.filter(parts, lambda p: p.isNotNull()))
+    better = F.struct((-n).alias("n"), (-F.col(confidence)).alias("c"), F.col(engine).alias("e"))
+    return readings.groupBy(key).agg(F.min(better).alias("b")).select(key, F.col("b.e").alias(engine), (-F.col("b.n")).alias("n_parts"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quillmend.functions.kernels import score_confidence
+
 
 def single_choice(readings: DataFrame, key: str, option: str, score: str, checked: str, confidence: str) -> DataFrame:
     """The strongest option of each field if it is checked; confidence falls with the margin over the second: key, picked, confidence."""
@@ -16,23 +18,34 @@ def single_choice(readings: DataFrame, key: str, option: str, score: str, checke
     return ranked.filter("__r = 1").select(key, F.when(F.col(checked), F.col(option)).alias("picked"), sure.alias("confidence"))
 
 
-def resolve_strikes(readings: DataFrame, key: str, ordinal: str, bands: str, all_bands: str, length: str, checked: str) -> DataFrame:
-    """Uncheck marks that were struck out, in order: an earlier one that falls no longer counts as another mark. Adds struck and still_checked.
+# A struck-out mark's highest score, and the lengths from which a stroke counts beside another mark and alone.
+STRUCK_SCORE, STRIKE_BESIDE, STRIKE_ALONE = 0.45, 1.8, 2.2
+
+
+def resolve_strikes(readings: DataFrame, key: str, ordinal: str, bands: str, all_bands: str, length: str, checked: str, score: str | None = None, confidence: str | None = None) -> DataFrame:
+    """Uncheck marks that were struck out, in order: an earlier one that falls no longer counts as another mark.
 
-    A fold over each field's ordered marks: at most as many as the form has boxes.
+    Gives struck and still_checked; with ``score`` and ``confidence`` also these, a struck mark's score
+    lowered and its confidence made from it. A fold over each field's ordered marks: at most as many as the form has boxes.
     """
     item = F.struct(F.col(ordinal).alias("o"), F.col(checked).alias("c"), (F.col(checked) & (F.col(bands) >= 1) & (F.col(all_bands) >= 2)).alias("can"), F.col(length).cast("double").alias("len"))
     grouped = readings.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__m"))
     start = F.struct(F.size(F.filter("__m", lambda m: m["c"])).alias("on"), F.array().cast("array<struct<o:bigint,struck:boolean,still:boolean>>").alias("out"))
 
     def step(acc: Column, m: Column) -> Column:
-        need = F.when(acc["on"] > 1, 1.8).otherwise(2.2)
+        need = F.when(acc["on"] > 1, STRIKE_BESIDE).otherwise(STRIKE_ALONE)
         gone = m["can"] & (m["len"] >= need)
         row = F.struct(m["o"].cast("bigint").alias("o"), gone.alias("struck"), (m["c"] & ~gone).alias("still"))
         return F.struct((acc["on"] - gone.cast("int")).alias("on"), F.array_append(acc["out"], row).alias("out"))
 
     folded = grouped.select(key, F.explode(F.aggregate("__m", start, step, lambda a: a["out"])).alias("r"))
-    return folded.select(key, F.col("r.o").alias(ordinal), F.col("r.struck").alias("struck"), F.col("r.still").alias("still_checked"))
+    out = folded.select(key, F.col("r.o").alias(ordinal), F.col("r.struck").alias("struck"), F.col("r.still").alias("still_checked"))
+    if score is None or confidence is None:
+        return out
+    low = F.round(F.least(F.col(score), F.lit(STRUCK_SCORE)), 4)
+    lowered = F.when(F.col("struck"), low).otherwise(F.col(score))
+    sure = F.when(F.col("struck"), score_confidence(low)).otherwise(F.col(confidence))
+    return out.join(readings.select(key, F.col(ordinal).cast("bigint").alias(ordinal), score, confidence), [key, ordinal]).select(*out.columns, lowered.alias("score"), sure.alias("confidence"))
 
 
 def circled(readings: DataFrame, key: str, option: str, halo: str, checked: str, excess: float = 0.06) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, forms, matching, records, spatial, text, windows
+from . import aggregates, forms, matching, records, repairs, spatial, text, windows
 
-FAMILIES = [matching, text, aggregates, windows, spatial, records, forms]
+FAMILIES = [matching, text, aggregates, windows, spatial, records, forms, repairs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -161,6 +161,21 @@ def records_json(entries: DataFrame, doc: str = "doc", field: str = "field", val
     return entries.groupBy(doc).agg(F.to_json(F.map_from_entries(ordered)).alias("json"))
 
 
+def full_records(entries: DataFrame, sources: DataFrame, derived: DataFrame, drift: DataFrame, meta: list[str], doc: str = "doc", field: str = "field", value: str = "value", answer: str = "answer") -> DataFrame:
+    """One JSON a document with values, answers, meta, sources, derived and form_drift, fields in order.
+
+    ``meta`` names the entries' columns that go into meta; ``sources`` has rows of a document, ``derived`` one row and
+    ``drift`` a row for each field that drifted. Documents without any of these have null or nothing there.
+    """
+    by_field = lambda rows: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(field).alias("k"), rows.alias("v")))))
+    e = entries.groupBy(doc).agg(by_field(F.col(value)).alias("values"), by_field(F.col(answer)).alias("answers"), by_field(F.struct(*meta)).alias("meta"))
+    s = sources.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(*(c for c in sources.columns if c != doc)))).alias("sources"))
+    d = derived.select(doc, F.struct(*(c for c in derived.columns if c != doc)).alias("derived"))
+    f = drift.groupBy(doc).agg(by_field(F.struct(*(c for c in drift.columns if c not in (doc, field)))).alias("form_drift"))
+    joined = e.join(s, doc, "left").join(d, doc, "left").join(f, doc, "left")
+    return joined.select(doc, F.to_json(F.struct("values", "answers", "meta", F.coalesce("sources", F.array().cast(dict(s.dtypes)["sources"])).alias("sources"), "derived", "form_drift")).alias("json"))
+
+
 def from_records_json(rows: DataFrame, doc: str = "doc", json: str = "json") -> DataFrame:
     """Field values of saved records again."""
     return rows.select(doc, F.explode(F.from_json(json, "map<string,string>")).alias("field", "value"))

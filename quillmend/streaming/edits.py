@@ -77,3 +77,29 @@ def retain(events: DataFrame, key: str, ordinal: str, most: int) -> DataFrame:
 def of_token(events: DataFrame, token: str, own: str | Column) -> DataFrame:
     """Only a user's own events, for validly formed tokens."""
     return events.filter((F.col(token) == own) & F.col(token).rlike("^[0-9a-f]{8,64}$"))
+
+
+def held_by_token(events: DataFrame, token: str) -> DataFrame:
+    """How many events each validly formed token holds."""
+    return events.filter(F.col(token).rlike("^[0-9a-f]{8,64}$")).groupBy(token).agg(F.count(F.lit(1)).alias("held"))
+
+
+def purged(events: DataFrame, token: str, own: str | Column) -> DataFrame:
+    """What stays when all other tokens' events are purged; events without a token are nobody's and stay."""
+    return events.filter(F.col(token).isNull() | (F.col(token) == own))
+
+
+def migrated(events: DataFrame, token: str, own: str | Column) -> DataFrame:
+    """Events from before there were tokens, given to the one that is in use."""
+    return events.withColumn(token, F.coalesce(token, F.lit(own) if isinstance(own, str) else own))
+
+
+def flush(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: int | None = None) -> None:
+    """Take in all that has arrived, write what is finished and stop: before an export, nothing is pending that could be written.
+
+    Bursts still open at the last watermark stay in the checkpoint's state and come with the next flush.
+    """
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination(timeout)
+    if query.exception() is not None:
+        raise query.exception()

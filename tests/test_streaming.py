@@ -58,3 +58,17 @@ def test_summary(spark, events, stream, tmp_path):
     got = {r["started"]: r["actions"] for r in finished(spark, edits.summary(stream, "ts", "1 day", "event_type", "click", "value"), tmp_path, "days").collect()}
     want = {r["d"]: r["n"] for r in events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got and all(want[d] == n for d, n in got.items())
+
+
+def test_flush_writes_what_is_finished(spark, events, stream, tmp_path):
+    out = str(tmp_path / "out")
+    edits.flush(edits.first_seen(stream.select("user_id", "ts"), ["user_id"], "ts"), out, str(tmp_path / "state"), timeout=120)
+    assert spark.read.parquet(out).count() == events.select("user_id").distinct().count()
+
+
+def test_tokens_are_kept_apart(spark):
+    own, other = "ab" * 6, "cd" * 6
+    e = spark.createDataFrame([(own, 1), (own, 2), (other, 3), (None, 4), ("bad!", 5)], "token string, n int")
+    assert {tuple(r) for r in edits.held_by_token(e, "token").collect()} == {(own, 2), (other, 1)}
+    assert sorted(r["n"] for r in edits.purged(e, "token", own).collect()) == [1, 2, 4]
+    assert edits.migrated(e, "token", own).filter(F.col("token") == own).count() == 3
