@@ -195,6 +195,21 @@ class NearPhrases:
         return np.flatnonzero(found)
 
 
+# A proposal's likeness to an offered term, its characters' overlap with the reading, and the shortest reading.
+PROPOSED_ALIKE, PROPOSED_OVERLAP, SHORTEST_ASKED = 0.9, 0.34, 3
+
+
+def gated_proposal(reading: Column, proposal: Column, offered: Column) -> Column:
+    """The offered term that a model's proposal stands for, null if it is none or has too little of the reading. All are match forms.
+
+    The first that is equal or much alike counts; a reading that is too short is not worth asking about.
+    """
+    same = F.get(F.filter(offered, lambda o: (o == proposal) | (S.similarity(o, proposal) >= PROPOSED_ALIKE)), F.lit(0))
+    letters = [F.array_distinct(F.filter(F.split(c, ""), lambda x: x != "")) for c in (reading, same)]
+    overlap = F.try_divide(F.size(F.array_intersect(*letters)), F.least(F.size(letters[0]), F.size(letters[1])))
+    return F.when((F.length(reading) >= SHORTEST_ASKED) & (proposal != "") & (F.coalesce(overlap, F.lit(0.0)) >= PROPOSED_OVERLAP), same)
+
+
 def drop_boilerplate(lines: DataFrame, form: str, boilerplate: DataFrame, phrase: str, alike: float = S.LINES_ALIKE, length_ratio: float = 0.70, per_block: int = BLOCK_TERMS) -> DataFrame:
     """Lines that are no near copy of a printed phrase of about their length.
 
@@ -250,25 +265,35 @@ def query_forms(text: Column, ends: list[str] = FACILITY_ENDS) -> Column:
     return F.array_distinct(F.filter(F.array(text, bare), lambda x: x != ""))
 
 
-def match_directory(readings: DataFrame, text: str, region: str, directory: DataFrame, name: str, form_of, k: int = 5, least: float = 0.55, groups: dict[str, str] | None = None, ends: list[str] = FACILITY_ENDS, owners: str = OWNERS, shortest: int = 3) -> DataFrame:
+def match_directory(readings: DataFrame, text: str, region: str, directory: DataFrame, name: str, form_of, k: int = 5, least: float = 0.55, groups: dict[str, str] | None = None, ends: list[str] = FACILITY_ENDS, owners: str = OWNERS, shortest: int = 3, per_block: int = BLOCK_TERMS) -> DataFrame:
     """The k best directory names of each reading in its region: text, region, rank, name, score.
 
     The score is the best over the reading's forms and the name's core forms of at
     least half the reading's length. ``form_of`` makes match forms of array items, so it
-    must be built in (compose beforehand). Readings and
-    names meet on the region, so a partitioned directory is pruned.
+    must be built in (compose beforehand). Readings and names meet on the region, so a
+    partitioned directory is pruned; a region's names come as arrays of at most about
+    ``per_block``, so that only the best of each become rows.
     """
     left = readings.select(text, region).distinct().withColumn("__q", F.transform(query_forms(F.col(text), ends), form_of))
     left = left.filter(F.array_max(F.transform("__q", F.length)) >= shortest)
-    right = directory.select(F.col(region), F.col(name).alias("name")).distinct().withColumn("__c", F.transform(core_names(F.col("name"), ends, owners), form_of))
+    names = directory.select(F.col(region), F.col(name).alias("name")).distinct()
+    largest = names.groupBy(region).count().agg(F.max("count")).first()[0] or 0
+    block = F.pmod(F.xxhash64("name"), F.lit(max(1, -(-largest // per_block))))
+    item = F.struct("name", F.transform(core_names(F.col("name"), ends, owners), form_of).alias("c"))
+    right = names.groupBy(region, block.alias("__b")).agg(F.collect_list(item).alias("items"))
+
+    def scored(e: Column) -> Column:
+        def against(q: Column) -> Column:
+            fit = F.filter(e["c"], lambda c: F.length(c) >= F.greatest(F.lit(4.0), F.length(q) * 0.5))
+            return F.coalesce(F.array_max(F.transform(fit, lambda c: S.similarity(q, c, groups))), F.lit(0.0))
 
-    def against(q: Column) -> Column:
-        fit = F.filter("__c", lambda c: F.length(c) >= F.greatest(F.lit(4.0), F.length(q) * 0.5))
-        return F.coalesce(F.array_max(F.transform(fit, lambda c: S.similarity(q, c, groups))), F.lit(0.0))
+        score = F.round(F.array_max(F.transform("__q", against)), 3)
+        return F.struct((-score).alias("order"), F.length(e["name"]).alias("long"), e["name"].alias("name"))
 
-    scored = left.join(right, region).withColumn("score", F.round(F.array_max(F.transform("__q", against)), 3)).filter(F.col("score") >= least)
-    order = W.partitionBy(text, region).orderBy(F.desc("score"), F.length("name"), "name")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(text, region, "rank", "name", "score")
+    ranked = F.array_sort(F.filter(F.transform("items", scored), lambda s: s["order"] <= -least))
+    best = left.join(right, region).select(text, region, F.explode(F.slice(ranked, 1, k)).alias("m"))
+    rank = F.row_number().over(W.partitionBy(text, region).orderBy("m"))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(text, region, "rank", F.col("m.name").alias("name"), (-F.col("m.order")).alias("score"))
 
 
 def backfill(entries: DataFrame, best: DataFrame, key: list[str], fields: list[str], floors: dict[str, float], adopt: float = 0.85) -> DataFrame:

@@ -181,3 +181,21 @@ def retain(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:
 def first_seen(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """The first value that arrived for each key."""
     return rows.groupBy(*key).agg(F.min_by(value, F.struct(*order)).alias(value))
+
+
+def slots_between(marks: DataFrame, on: list[str], left: str, right: str, pad: float = 0.12, narrowest: float = 20.0) -> DataFrame:
+    """Slots between printed marks: from the end of the mark before (0 at the first) to this mark's start, padded, if wide enough: on, low, high."""
+    begin = F.coalesce(F.lag(right).over(W.partitionBy(*on).orderBy(left)), F.lit(0.0))
+    wide = marks.withColumn("__l", begin).withColumn("__w", F.col(left) - F.col("__l")).filter(F.col("__w") >= narrowest)
+    return wide.select(*on, F.round(F.col("__l") + F.col("__w") * pad, 2).alias("low"), F.round(F.col(left) - F.col("__w") * pad, 2).alias("high"))
+
+
+def fields_in_order(places: DataFrame, definition: DataFrame, form: str, field: str = "field", ordinal: str = "ordinal") -> DataFrame:
+    """Position of each field of a form: by its first place (page, y, x), fields without one last in the definition's order: form, field, position.
+
+    ``places`` has a row for each of a field's boxes or texts with columns page, y and x.
+    """
+    first = places.groupBy(form, field).agg(F.min(F.struct("page", "y", "x")).alias("__p"))
+    known = places.select(form).distinct().join(definition.select(field, ordinal)).join(first, [form, field], "left")
+    order = W.partitionBy(form).orderBy(F.col("__p").asc_nulls_last(), ordinal)
+    return known.select(form, field, F.row_number().over(order).alias("position"))

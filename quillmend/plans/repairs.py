@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmend.functions import similarity as S
 from quillmend.functions import text as T
+from quillmend.operators import evaluation as E
 from quillmend.operators import forms as O
 from quillmend.operators import matching as M
 from quillmend.operators import mining as N
@@ -165,6 +166,29 @@ def strike_scores(spark, sf_dir):
     return W.resolve_strikes(li, "l_orderkey", "l_linenumber", "bands", "all_bands", "len", "checked", "s", "c").select("l_orderkey", "l_linenumber", "struck", "score", "confidence")
 
 
+def proposals(spark, sf_dir):
+    """Proposals of a model for parts' names, kept only where they stand for an offered term that fits the reading."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 7).alias("read"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.lower("p_type")).otherwise("made up").alias("proposal"), F.array(F.lower("p_type"), F.col("p_name")).alias("offered"))
+    return p.select("p_partkey", M.gated_proposal(F.col("read"), F.col("proposal"), F.col("offered")).alias("kept"))
+
+
+def only_winners(spark, sf_dir):
+    """Values of events whose type lost its user's vote are cleared."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.col("value").alias("shown"))
+    return E.only_winner(e, "user_id", "event_type", "value", ["shown"]).select("event_id", "shown")
+
+
+def directory_rows(spark, sf_dir):
+    """Suppliers as rows of a sheet whose status stands in the row below; closed ones and rows without an address go."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    address = F.when(k % 6 == 0, "none").otherwise(F.concat(F.lit("〒123-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" 土浦市"), "s_name"))
+    status = F.array(F.lit(""), F.when(k % 5 == 0, "廃止").when(k % 5 == 1, "休止").otherwise("x"))
+    rows = s.select(F.col("s_nationkey").alias("sheet"), (k * 2).alias("r"), k.cast("string").alias("no"), F.concat(F.lit("c"), k.cast("string")).alias("code"), F.col("s_name").alias("name"), address.alias("address"), F.concat(F.lit(" "), k.cast("string")).alias("phone"), F.array().cast("array<string>").alias("status_cells"))
+    below = s.select(F.col("s_nationkey").alias("sheet"), (k * 2 + 1).alias("r"), F.lit("").alias("no"), F.lit("").alias("code"), F.lit("").alias("name"), F.lit("").alias("address"), F.lit("").alias("phone"), status.alias("status_cells"))
+    return O.directory_rows(rows.unionByName(below), ["sheet"], "r").select("sheet", "code", "name", "postal", "address", "phone", "status")
+
+
 def backfilled(spark, sf_dir):
     """Customers' phone and segment from their nation's best directory row, where these are empty or unsure."""
     c = table(spark, sf_dir, "customer")
@@ -330,7 +354,7 @@ def saved_overrides(spark, sf_dir):
 
 
 QUERIES = {f"fix_{f.__name__}": f for f in (in_context, katakana_runs, hiragana, composed_forms, proofread, clean_readings, label_forms, trimmed_edges, joined_japanese, words_in_row, answers, facilities, standard_names, confusable_pairs, same_places, shown_levels, labels, closeness, strike_scores)}
-QUERIES |= {f"adopt_{f.__name__}": f for f in (backfilled, applied_rows, applied_events, lexicon_fields, label_anchors, filtered_terms, derived_records, full_records, junk_counts, best_engines, cleared, joined_values, regions, option_places, companions, vocabulary, header_dates, form_outline, lexicon_json, overviews, failure_pages, saved_overrides)}
+QUERIES |= {f"adopt_{f.__name__}": f for f in (proposals, only_winners, directory_rows, backfilled, applied_rows, applied_events, lexicon_fields, label_anchors, filtered_terms, derived_records, full_records, junk_counts, best_engines, cleared, joined_values, regions, option_places, companions, vocabulary, header_dates, form_outline, lexicon_json, overviews, failure_pages, saved_overrides)}
 
 _CONTEXT, _LAST = _context_sql("r", "t")
 _CONTEXT2, _LAST2 = _context_sql("n", "t")
@@ -369,6 +393,13 @@ ORACLE_SQL = {
               UNION ALL SELECT m.k, m.o, m.i, m.q, m.can AND m.len >= CASE WHEN f.rest > 1 THEN 1.8 ELSE 2.2 END, f.rest - (m.can AND m.len >= CASE WHEN f.rest > 1 THEN 1.8 ELSE 2.2 END)::INT FROM f JOIN m ON m.k = f.k AND m.i = f.i + 1),
         s AS (SELECT *, round(q / 50, 4) AS s, least(round(q / 50, 4), 0.45) AS low FROM f)
         SELECT k AS l_orderkey, o::BIGINT AS l_linenumber, struck, CASE WHEN struck THEN low ELSE s END AS score, CASE WHEN struck THEN round(least(1.0, 0.45 + abs(low - 0.5) * 1.1), 3) ELSE 0.9 END::DOUBLE AS confidence FROM s""",
+    "adopt_proposals": f"""WITH q AS (SELECT p_partkey, p_name, lower(p_type) AS ty, substr(p_name, 1, 7) AS read, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN lower(p_type) ELSE 'made up' END AS pr FROM part), p AS (SELECT ty AS a, pr AS b FROM q UNION SELECT p_name, pr FROM q), {SIM_SQL},
+        k AS (SELECT q.*, CASE WHEN s1.score >= 0.9 THEN ty WHEN s2.score >= 0.9 THEN p_name END AS k FROM q JOIN sim s1 ON s1.a = ty AND s1.b = pr JOIN sim s2 ON s2.a = p_name AND s2.b = pr),
+        o AS (SELECT *, list_distinct(string_split(read, '')) AS x, list_distinct(string_split(k, '')) AS y FROM k)
+        SELECT p_partkey, CASE WHEN len(list_intersect(x, y)) / least(len(x), len(y))::DOUBLE >= 0.34 THEN k END AS kept FROM o""",
+    "adopt_only_winners": """WITH s AS (SELECT user_id, event_type, round(sum(value), 4) AS score FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS k FROM s)
+        SELECT event_id, CASE WHEN e.event_type = r.event_type THEN value END AS shown FROM events e JOIN r ON r.user_id = e.user_id AND k = 1""",
+    "adopt_directory_rows": """SELECT s_nationkey AS sheet, 'c' || s_suppkey AS code, s_name AS name, '123-' || lpad((s_suppkey % 10000)::VARCHAR, 4, '0') AS postal, '土浦市' || s_name AS address, s_suppkey::VARCHAR AS phone, CASE WHEN s_suppkey % 5 = 1 THEN '休止' ELSE '現存' END AS status FROM supplier WHERE s_suppkey % 6 > 0 AND s_suppkey % 5 > 0""",
     "adopt_backfilled": """WITH e AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS s, c_custkey % 10 / 10.0::DOUBLE AS sc, c_name AS n, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 9 / 9.0::DOUBLE END AS nc FROM customer),
         j AS (SELECT e.*, n_name, n_nationkey / 24.0::DOUBLE + 0.3 >= 0.85 AS t FROM e JOIN nation ON n_nationkey = c_nationkey), w AS (SELECT *, t AND (s = '' OR sc < 0.5) AS ws, t AND n_nationkey_even AND coalesce(nc, 0) < 0.5 AS wn FROM (SELECT *, c_nationkey % 2 = 0 AS n_nationkey_even FROM j))
         SELECT c_custkey, CASE WHEN ws THEN n_name ELSE s END AS segment, round(CASE WHEN ws THEN greatest(sc, 0.9) ELSE sc END, 4) AS segment_confidence, CASE WHEN wn THEN n_name ELSE n END AS name, round(CASE WHEN wn THEN greatest(coalesce(nc, 0), 0.8) ELSE nc END, 4) AS name_confidence FROM w""",

@@ -109,10 +109,9 @@ def first_seen(spark, sf_dir):
 
 
 def separators_to_slots(spark, sf_dir):
-    """Slots between printed separators: from the last mark's end to this mark, padded, if wide enough."""
+    """Slots between marks that stand where a supplier's lines were shipped and are as wide as their quantity."""
     o = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_shipdate").agg(F.min("l_quantity").alias("w")).select("l_suppkey", F.datediff("l_shipdate", F.lit("1995-01-01").cast("date")).alias("x"), "w")
-    left = F.coalesce(F.lag(F.col("x") + F.col("w")).over(W.partitionBy("l_suppkey").orderBy("x")), F.lit(0.0))
-    return o.withColumn("left", left).withColumn("width", F.col("x") - F.col("left")).filter("width >= 20").select("l_suppkey", F.round(F.col("left") + F.col("width") * 0.12, 2).alias("low"), F.round(F.col("x") - F.col("width") * 0.12, 2).alias("high"))
+    return O.slots_between(o.withColumn("end", F.col("x") + F.col("w")), ["l_suppkey"], "x", "end")
 
 
 def recent_events(spark, sf_dir):
@@ -126,9 +125,10 @@ def status_look_ahead(spark, sf_dir):
 
 
 def field_order(spark, sf_dir):
-    """Groups in order of their top-left member, unplaced ones last by name."""
-    s = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min_by("p_partkey", F.struct("p_size", "p_partkey")).alias("first"), F.min(F.when(F.col("p_size") < 3, F.col("p_size"))).alias("y"))
-    return s.select("p_brand", "first", F.row_number().over(W.orderBy(F.col("y").asc_nulls_last(), "p_brand")).alias("position"))  # one row per group
+    """Order priorities as fields of each customer's form, placed by status, price and key; priorities that a customer lacks come last."""
+    places = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("form"), F.col("o_orderpriority").alias("field"), F.col("o_orderstatus").alias("page"), F.floor(F.col("o_totalprice") / 1000).alias("y"), F.col("o_orderkey").alias("x"))
+    definition = spark.sql("SELECT * FROM VALUES ('1-URGENT', 4), ('2-HIGH', 2), ('3-MEDIUM', 5), ('4-NOT SPECIFIED', 1), ('5-LOW', 3) AS t(field, ordinal)")
+    return O.fields_in_order(places, F.broadcast(definition), "form")
 
 
 QUERIES = {f"win_{f.__name__}": f for f in (single_choice, resolve_strikes, circled, best_page, latest_snapshot, dedupe_first, merged_coordinates, intervals, runs_above, clusters_with_gap, anchored_rows, pair_splitter, record_splitter, reading_order, next_to_check, texts_after_marks, debounce, retention, first_seen, separators_to_slots, recent_events, status_look_ahead, field_order)}
@@ -179,5 +179,6 @@ ORACLE_SQL = {
         SELECT l_suppkey, round(l + (x - l) * 0.12, 2) AS low, round(x - (x - l) * 0.12, 2) AS high FROM l WHERE x - l >= 20""",
     "win_recent_events": "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "win_status_look_ahead": "SELECT conv_id, turn, coalesce(lead(role) OVER (PARTITION BY conv_id ORDER BY turn), 'end') AS next_role FROM conversations",
-    "win_field_order": """WITH s AS (SELECT p_brand, arg_min(p_partkey, p_size * 1000000 + p_partkey) AS first, min(p_size) FILTER (p_size < 3) AS y FROM part GROUP BY 1) SELECT p_brand, first, row_number() OVER (ORDER BY y NULLS LAST, p_brand)::INT AS position FROM s""",
+    "win_field_order": """WITH f AS (SELECT * FROM (VALUES ('1-URGENT', 4), ('2-HIGH', 2), ('3-MEDIUM', 5), ('4-NOT SPECIFIED', 1), ('5-LOW', 3)) AS t(field, ordinal)), p AS (SELECT o_custkey AS form, o_orderpriority AS field, min(struct_pack(page := o_orderstatus, y := floor(o_totalprice / 1000)::BIGINT, x := o_orderkey)) AS p FROM orders GROUP BY 1, 2)
+        SELECT g.form, f.field, row_number() OVER (PARTITION BY g.form ORDER BY p NULLS LAST, ordinal)::INT AS position FROM (SELECT DISTINCT o_custkey AS form FROM orders) g CROSS JOIN f LEFT JOIN p ON p.form = g.form AND p.field = f.field""",
 }

@@ -214,6 +214,8 @@ def test_directory(spark):
     reads = spark.createDataFrame([("1 筑波記念病院記", "茨城県"), ("4 筐波記念病院", "茨城県"), ("病院", "茨城県")], "t string, pref string")
     got = {r["t"]: (r["name"], r["score"]) for r in M.match_directory(reads, "t", "pref", names, "name", lambda c: T.match_form(c, compose=False)).filter("rank = 1").collect()}
     assert got == {"1 筑波記念病院記": ("筑波記念病院", 1.0), "4 筐波記念病院": ("筑波記念病院", 0.833)}
+    all_of = [sorted(map(tuple, M.match_directory(reads, "t", "pref", names, "name", lambda c: T.match_form(c, compose=False), least=0.1, per_block=n).collect())) for n in (1, 100)]
+    assert all_of[0] == all_of[1] and len(all_of[0]) == 4
 
 
 @pytest.mark.parametrize("read, name, out", [("右大腿骨折術後", "大腿骨頸部骨折", "右大腿骨頸部骨折術後"), ("腰椎圧迫骨折", "圧迫骨折", "腰椎圧迫骨折"), ("肺炎", "", "肺炎")])
