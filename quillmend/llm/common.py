@@ -70,12 +70,6 @@ def literal_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.arrays_zip(*arrays).alias("z")).select(F.inline("z")).toDF(*names)
 
 
-def hot_keys(rows: DataFrame, key: str, total: int) -> list:
-    """Keys with more than total/HOT_SHARE of the rows: fewer than HOT_SHARE, found after map-side counts."""
-    counts = rows.groupBy(key).count().filter(F.col("count") > total // HOT_SHARE)
-    return [r[0] for r in counts.select(key).collect()]
-
-
 def join_hot(rows: DataFrame, one_per_key: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
     """Inner or left join of many rows to one row per key.
 
