@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from itertools import chain
 
 from pyspark.sql import Column
@@ -119,3 +122,24 @@ def slot_confidence(parts: Column, confidences: Column, inked: Column) -> Column
 def merge_readings(first: Column, second: Column, low: int, high: int) -> Column:
     """The first plausible of two readings of one part."""
     return F.coalesce(F.when(first.between(low, high), first), F.when(second.between(low, high), second))
+
+
+# How sure a date with so many parts is, and at most.
+READ_BASE, READ_PER_PART, READ_MOST = 0.55, 0.15, 0.95
+# What a year of an era, a month and a day can be.
+PLAUSIBLE_PARTS = ((1, 99), (1, 12), (1, 31))
+
+
+def reread(first: Column, confidence: Column, second: Column, again: Column, ranges: tuple[tuple[int, int], ...] = PLAUSIBLE_PARTS) -> Column:
+    """Parts of a date from a reading and, where these are not plausible, from a second, narrower one; and the confidence.
+
+    ``first`` and ``second`` are arrays of a part each, ``ranges`` their plausible values. The second reading's confidence
+    (``again``, 0.5 if unknown) counts only if it filled something; each part that is there makes the date surer.
+    """
+    parts = [merge_readings(first[i], second[i], low, high) for i, (low, high) in enumerate(ranges)]
+    filled = [~F.coalesce(first[i].between(low, high), F.lit(False)) & parts[i].isNotNull() for i, (low, high) in enumerate(ranges)]
+    known = lambda c, unknown: F.when(F.coalesce(c, F.lit(0.0)) > 0, c).otherwise(unknown)
+    base = F.when(reduce(operator.or_, filled), F.least(known(confidence, F.lit(1.0)), known(again, F.lit(0.5)))).otherwise(confidence)
+    n = reduce(operator.add, (p.isNotNull().cast("int") for p in parts))
+    sure = F.when(n > 0, F.least(F.lit(READ_MOST), known(base, F.lit(0.5)) * (READ_BASE + READ_PER_PART * n))).otherwise(0.0)
+    return F.struct(F.array(*parts).alias("parts"), F.round(sure, 6).alias("confidence"))

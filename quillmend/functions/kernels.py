@@ -59,9 +59,26 @@ def pick_segment(means: Column, n: int) -> Column:
     return F.struct((F.array_position(means, top) - 1).cast("int").alias("segment"), F.round(top - median, 4).alias("excess"), F.round(top - second, 4).alias("margin"))
 
 
+# Columns of ink a line's height that one character has at least and at most, and the lowest line that counts.
+INK_MIN, INK_MAX, LOWEST_LINE = 0.35, 1.70, 6
+
+
+def written_shape(lines: Column, width: Column, margin: int = 2) -> Column:
+    """What is written in a field, from its lines (structs columns, height, first, last): density, fewest and most characters, lines, and whether ink touches an edge.
+
+    The density is the sum of inked columns over the height of each line that is high enough; columns and not the
+    width count, so gaps add nothing.
+    """
+    high = F.filter(lines, lambda l: (l["columns"] > 0) & (l["height"] >= LOWEST_LINE))
+    density = F.aggregate(high, F.lit(0.0), lambda a, l: a + l["columns"] / l["height"])
+    left = F.exists(lines, lambda l: l["first"] <= margin)
+    right = F.exists(lines, lambda l: l["last"] >= width - 1 - margin)
+    return F.struct(F.round(density, 6).alias("density"), half_up(density / INK_MAX).cast("int").alias("min_chars"), half_up(density / INK_MIN).cast("int").alias("max_chars"), F.size(lines).alias("lines"), left.alias("cut_left"), right.alias("cut_right"))
+
+
 def ink_check(density: Column, read: Column, charset: Column, cut_left: Column, cut_right: Column) -> Column:
     """Penalty and notes of a reading against the ink seen."""
-    low, high = half_up(density / 1.70), half_up(density / 0.35)
+    low, high = half_up(density / INK_MAX), half_up(density / INK_MIN)
     empty = (density < 0.25) & (read >= 1)
     few = ~empty & (charset == "") & (low >= 3) & (read < low * 0.8)
     many = ~empty & ~few & (charset == "") & (read > high + 2)

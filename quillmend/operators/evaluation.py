@@ -166,3 +166,10 @@ def pairs_of_changes(changes: DataFrame, wrong: str, right: str, support: int) -
     w = W.partitionBy(wrong).orderBy(F.desc("count"), right)
     ranked = n.withColumn("r", F.row_number().over(w)).withColumn("next", F.lead("count").over(w))
     return ranked.filter((F.col("r") == 1) & (F.col("count") >= support) & (F.col("count") > F.coalesce("next", F.lit(0)))).select(wrong, right, F.col("count").alias("n"))
+
+
+def category_counts(rows: DataFrame, name: str, rules: list[tuple[str, str]], other: str, size: str | None = None) -> DataFrame:
+    """How many rows fall in each category, by the first rule whose pattern their name matches: category, n, and the total size if given."""
+    category = F.coalesce(*(F.when(F.col(name).rlike(pattern), label) for label, pattern in rules), F.lit(other))
+    total = [F.sum(size).alias("size")] if size else []
+    return rows.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"), *total)

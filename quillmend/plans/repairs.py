@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillmend.functions import dates as D
 from quillmend.functions import similarity as S
 from quillmend.functions import text as T
+from quillmend.functions.kernels import written_shape
 from quillmend.operators import evaluation as E
 from quillmend.operators import forms as O
 from quillmend.operators import matching as M
@@ -19,7 +21,7 @@ from .matching import SIM_SQL
 
 # Letters of the tables' names as katakana, their look-alikes and others.
 LATIN, JAPANESE = "abcdefghijklmnopqrstuvwxyz", "カ力ロ口ニ二トタ夕エ工オ才ハ八チ千ー一ムヘへみのをん"
-K, H = "ァ-ヿ", "ぁ-ゟ"
+K = "ァ-ヿ"
 
 
 def _readings(spark, sf_dir):
@@ -189,6 +191,28 @@ def directory_rows(spark, sf_dir):
     return O.directory_rows(rows.unionByName(below), ["sheet"], "r").select("sheet", "code", "name", "postal", "address", "phone", "status")
 
 
+def reread_dates(spark, sf_dir):
+    """Order dates with parts misread, filled from a second reading."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    y, m, d = F.year("o_orderdate") - 1988, F.month("o_orderdate"), F.dayofmonth("o_orderdate")
+    first = F.array(F.when(k % 3 > 0, y), F.when(k % 4 == 0, F.lit(13)).otherwise(m), F.when(k % 5 == 0, F.lit(77)).otherwise(d))
+    second = F.array(y, F.when(k % 8 > 0, m), F.lit(99))
+    r = D.reread(first, F.when(k % 7 > 0, 0.8).otherwise(0.0), second, F.when(k % 2 == 0, 0.6))
+    return o.select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.parts")[0].alias("year"), F.col("r.parts")[1].alias("month"), F.col("r.parts")[2].alias("day"), "r.confidence")
+
+
+def written_shapes(spark, sf_dir):
+    """The lines of an order as lines of writing."""
+    line = F.struct(F.col("l_quantity").cast("int").alias("columns"), F.col("l_linenumber").cast("int").alias("n"), (F.col("l_partkey") % 12 + 1).cast("int").alias("height"), (F.col("l_suppkey") % 50).cast("int").alias("first"), (F.col("l_partkey") % 400).cast("int").alias("last"))
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return g.select("l_orderkey", written_shape(F.col("lines"), F.lit(400)).alias("s")).select("l_orderkey", F.round("s.density", 3).alias("density"), "s.lines", "s.cut_left", "s.cut_right")
+
+
+def category_counts(spark, sf_dir):
+    return E.category_counts(table(spark, sf_dir, "part"), "p_type", [("small", "^SMALL"), ("metal", "STEEL|TIN|BRASS"), ("economy", "^ECONOMY")], "rest", "p_size")
+
+
 def backfilled(spark, sf_dir):
     """Customers' phone and segment from their nation's best directory row, where these are empty or unsure."""
     c = table(spark, sf_dir, "customer")
@@ -354,7 +378,7 @@ def saved_overrides(spark, sf_dir):
 
 
 QUERIES = {f"fix_{f.__name__}": f for f in (in_context, katakana_runs, hiragana, composed_forms, proofread, clean_readings, label_forms, trimmed_edges, joined_japanese, words_in_row, answers, facilities, standard_names, confusable_pairs, same_places, shown_levels, labels, closeness, strike_scores)}
-QUERIES |= {f"adopt_{f.__name__}": f for f in (proposals, only_winners, directory_rows, backfilled, applied_rows, applied_events, lexicon_fields, label_anchors, filtered_terms, derived_records, full_records, junk_counts, best_engines, cleared, joined_values, regions, option_places, companions, vocabulary, header_dates, form_outline, lexicon_json, overviews, failure_pages, saved_overrides)}
+QUERIES |= {f"adopt_{f.__name__}": f for f in (reread_dates, written_shapes, category_counts, proposals, only_winners, directory_rows, backfilled, applied_rows, applied_events, lexicon_fields, label_anchors, filtered_terms, derived_records, full_records, junk_counts, best_engines, cleared, joined_values, regions, option_places, companions, vocabulary, header_dates, form_outline, lexicon_json, overviews, failure_pages, saved_overrides)}
 
 _CONTEXT, _LAST = _context_sql("r", "t")
 _CONTEXT2, _LAST2 = _context_sql("n", "t")
@@ -393,6 +417,12 @@ ORACLE_SQL = {
               UNION ALL SELECT m.k, m.o, m.i, m.q, m.can AND m.len >= CASE WHEN f.rest > 1 THEN 1.8 ELSE 2.2 END, f.rest - (m.can AND m.len >= CASE WHEN f.rest > 1 THEN 1.8 ELSE 2.2 END)::INT FROM f JOIN m ON m.k = f.k AND m.i = f.i + 1),
         s AS (SELECT *, round(q / 50, 4) AS s, least(round(q / 50, 4), 0.45) AS low FROM f)
         SELECT k AS l_orderkey, o::BIGINT AS l_linenumber, struck, CASE WHEN struck THEN low ELSE s END AS score, CASE WHEN struck THEN round(least(1.0, 0.45 + abs(low - 0.5) * 1.1), 3) ELSE 0.9 END::DOUBLE AS confidence FROM s""",
+    "adopt_reread_dates": """WITH o AS (SELECT o_orderkey, o_orderkey AS k, year(o_orderdate) - 1988 AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders),
+        p AS (SELECT *, CASE WHEN y BETWEEN 1 AND 99 THEN y END AS a, CASE WHEN k % 4 > 0 OR k % 8 > 0 THEN m END AS b, CASE WHEN k % 5 > 0 THEN d END AS c, (k % 3 = 0 AND y BETWEEN 1 AND 99) OR (k % 4 = 0 AND k % 8 > 0) AS filled, CASE WHEN k % 7 > 0 THEN 0.8 ELSE 0 END AS f, CASE WHEN k % 2 = 0 THEN 0.6 ELSE 0 END AS g FROM o),
+        q AS (SELECT *, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS n, CASE WHEN filled THEN least(CASE WHEN f > 0 THEN f ELSE 1.0 END, CASE WHEN g > 0 THEN g ELSE 0.5 END) ELSE f END AS base FROM p)
+        SELECT o_orderkey, a::INT AS year, b::INT AS month, c::INT AS day, CASE WHEN n > 0 THEN round(least(0.95, CASE WHEN base > 0 THEN base ELSE 0.5 END::DOUBLE * (0.55 + 0.15 * n)), 6) ELSE 0 END::DOUBLE AS confidence FROM q""",
+    "adopt_written_shapes": """SELECT l_orderkey, round(coalesce(sum((l_quantity::INT)::DOUBLE / (l_partkey % 12 + 1)) FILTER (l_quantity::INT > 0 AND l_partkey % 12 + 1 >= 6), 0), 3) AS density, count(*)::INT AS lines, bool_or(l_suppkey % 50 <= 2) AS cut_left, bool_or(l_partkey % 400 >= 397) AS cut_right FROM lineitem GROUP BY 1""",
+    "adopt_category_counts": "SELECT CASE WHEN regexp_matches(p_type, '^SMALL') THEN 'small' WHEN regexp_matches(p_type, 'STEEL|TIN|BRASS') THEN 'metal' WHEN regexp_matches(p_type, '^ECONOMY') THEN 'economy' ELSE 'rest' END AS category, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY 1",
     "adopt_proposals": f"""WITH q AS (SELECT p_partkey, p_name, lower(p_type) AS ty, substr(p_name, 1, 7) AS read, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN lower(p_type) ELSE 'made up' END AS pr FROM part), p AS (SELECT ty AS a, pr AS b FROM q UNION SELECT p_name, pr FROM q), {SIM_SQL},
         k AS (SELECT q.*, CASE WHEN s1.score >= 0.9 THEN ty WHEN s2.score >= 0.9 THEN p_name END AS k FROM q JOIN sim s1 ON s1.a = ty AND s1.b = pr JOIN sim s2 ON s2.a = p_name AND s2.b = pr),
         o AS (SELECT *, list_distinct(string_split(read, '')) AS x, list_distinct(string_split(k, '')) AS y FROM k)
