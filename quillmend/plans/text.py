@@ -52,8 +52,11 @@ def restore_point(spark, sf_dir):
 
 
 def char_accuracy(spark, sf_dir):
-    """Every line against a copy with confused glyphs."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("pos", "truth"))
+    """Every line against a copy with confused glyphs.
+
+    Distances cost far more than moving the texts, so documents are dealt out first, by the key that they are grouped by.
+    """
+    lines = _docs(spark, sf_dir).repartition("doc_id").select("doc_id", F.explode(F.split("t", "\n")).alias("truth"))
     read = lines.withColumn("read", F.translate("truth", "eot.", "c0t"))
     acc = read.withColumn("acc", F.round(T.char_accuracy(F.col("truth"), F.col("read")), 4))
     return acc.groupBy("doc_id").agg(F.round(F.sum("acc"), 4).alias("accuracy_sum"), F.count_if(F.col("truth") == F.col("read")).alias("exact"), F.count_if(F.col("acc") >= 0.8).alias("rough"), F.count(F.lit(1)).alias("n"))
