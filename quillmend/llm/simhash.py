@@ -16,14 +16,19 @@ which small Hamming distances alone cannot promise (sets of similarity 0.8
 differ by some ten bits of 64). Its first links come from the same tables; the
 rest from prefixes: in one order of all shingles, sets of similarity s share
 one of the first n - ceil(s n) + 1 of each set's n. Prefix shingles that occur
-once are dropped by a Bloom filter before they shuffle. Buckets are cut into
-blocks. A block first proposes a spanning forest of its likeliest pairs; when
-the verified ones are contracted, all its pairs that are still in different
-components are compared. Sizes and odd sketches (parities of the shingles in
-each cell, which differ in no more cells than the sets differ in shingles) rule
-pairs out without error, and the complete sets decide every link, so the result
-is exact. Work can grow with
-the square of a bucket only where its texts stay in different components.
+once are dropped by a Bloom filter before they shuffle. Of shingles that the
+same texts have, only the bucket of the first in the order is kept, so a pair
+meets once for all of them. Large buckets are dealt into parts. A part first
+proposes a spanning forest of its likeliest pairs; when the verified ones are
+contracted, all pairs of a bucket that are still in different components are
+compared, across its parts too, unless it has become one component. Three
+bounds rule pairs out without error: sizes; places in the order, since sets
+share nothing ahead of the first shingle that they share, and in its bucket the
+rest of each must be enough; and odd sketches (parities of the shingles in each
+cell, which differ in no more cells than the sets differ in shingles), of a cell
+a shingle or more. The complete sets decide every link, so the result is exact.
+Work can grow with the square of a bucket only where its texts stay in different
+components.
 
 Components are contracted inside tasks first, then by hooking each node to its
 smallest neighbour and pointer jumping until few pairs are left, which one task
@@ -243,15 +248,17 @@ COMMON_SHARE = 16
 #: Times that a common shingle is seen in these, and the most that are listed. The list only sets an order, so it never changes a result.
 COMMON_SEEN = 3
 COMMON_MOST = 200_000
-#: Cells of the odd sketch that goes with each entry of a bucket, and the fewest and most of a node's own.
+#: Cells in which entries of a bucket are compared first, the most of an entry's odd sketch, and the fewest and most of a node's own.
 ENTRY_CELLS = 512
+ENTRY_MOST = 1 << 15
 NODE_CELLS = (512, 1 << 16)
 #: Small tables are written in this share of the shuffle's partitions.
 FEWER = 8
-#: Entries of a bucket that meet in one block, give or take; entries a task compares at a time, and pairs of them.
+#: Entries of a bucket that meet in one block, give or take; entries a task compares at a time, pairs of them, and bytes of their sketches.
 BLOCK = 256
 ENTRIES_AT_ONCE = 20_000
 PAIRS_AT_ONCE = 1 << 18
+BYTES_AT_ONCE = 1 << 24
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -286,6 +293,11 @@ def node_sketch(shingles: np.ndarray) -> bytes:
     return odd_sketch(shingles, int(np.clip(1 << (2 * len(shingles)).bit_length(), *NODE_CELLS)))
 
 
+def entry_sketch(shingles: np.ndarray) -> bytes:
+    """An odd sketch of a cell a shingle or more, up to a bound."""
+    return odd_sketch(shingles, int(np.clip(1 << len(shingles).bit_length(), ENTRY_CELLS, ENTRY_MOST)))
+
+
 def sketches_apart(a: bytes, b: bytes) -> int:
     """Cells in which two odd sketches differ: no more than the shingles in which their sets do. The longer one is folded."""
     left, right = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
@@ -300,15 +312,56 @@ def most_apart(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.
     return np.where(fits, (1 - similarity) / (1 + similarity) * (size_a + size_b) + 1e-6, -1)
 
 
+def may_start(size_a: np.ndarray, place_a: np.ndarray, size_b: np.ndarray, place_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may have the similarity if the shingle at these places is the first that they share."""
+    return np.minimum(size_a - place_a, size_b - place_b) >= similarity / (1 + similarity) * (size_a + size_b) - 1e-6
+
+
 def are_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared > 0 and shared / (len(a) + len(b) - shared) >= similarity
 
 
-def open_pairs(starts: np.ndarray, sizes_of_blocks: np.ndarray, roots: np.ndarray, own: np.ndarray, within: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Sketches:
+    """Odd sketches of entries, by their lengths, and all of them folded to ENTRY_CELLS."""
+
+    def __init__(self, column: list[bytes]) -> None:
+        self.words = np.array([len(s) // 8 for s in column], np.int64)
+        self.row = np.zeros(len(column), np.int64)
+        self.folded = np.zeros((len(column), ENTRY_CELLS // 64), np.uint64)
+        self.of: dict[int, np.ndarray] = {}
+        for n in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == n)
+            self.of[n] = np.frombuffer(b"".join(column[k] for k in at), "<u8").reshape(-1, n)
+            self.row[at] = np.arange(len(at))
+            self.folded[at] = self.fold(self.of[n], ENTRY_CELLS // 64)
+
+    @staticmethod
+    def fold(sketches: np.ndarray, words: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+    def coarse(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Cells of ENTRY_CELLS in which the entries of each pair differ."""
+        return np.bitwise_count(self.folded[left] ^ self.folded[right]).sum(axis=1, dtype=np.int64)
+
+    def fine(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Cells in which they differ with the longer sketch folded to the shorter."""
+        short, long_ = np.where(self.words[left] <= self.words[right], (left, right), (right, left))
+        apart = np.zeros(len(left), np.int64)
+        for n, m in np.unique(np.stack([self.words[short], self.words[long_]], axis=1), axis=0).tolist():
+            at = np.flatnonzero((self.words[short] == n) & (self.words[long_] == m))
+            step = max(1, BYTES_AT_ONCE // (8 * m))
+            for some in (at[k : k + step] for k in range(0, len(at), step)):
+                sides = self.of[n][self.row[short[some]]], self.fold(self.of[m][self.row[long_[some]]], n)
+                apart[some] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+        return apart
+
+
+def open_pairs(starts: np.ndarray, sizes_of_blocks: np.ndarray, roots: np.ndarray, own: np.ndarray, within: np.ndarray, sizes: np.ndarray, places: np.ndarray, sketches: Sketches, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of two entries of one block that are of different components and may be similar, and how far they are apart.
 
     Blocks are runs of entries; blocks of one length are compared together, a bounded number of pairs at a time.
+    Pairs that share a shingle ahead of the block's may be left to the bucket of the first that they share.
     """
     out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for n in np.unique(sizes_of_blocks[sizes_of_blocks > 1]).tolist():
@@ -318,10 +371,13 @@ def open_pairs(starts: np.ndarray, sizes_of_blocks: np.ndarray, roots: np.ndarra
         for some in range(0, len(at), step):
             left, right = ((at[some : some + step, None] + side).ravel() for side in (first, second))
             open_ = (roots[left] != roots[right]) & (within[left] | (own[left] != own[right]))
+            open_ &= may_start(sizes[left], places[left], sizes[right], places[right], similarity)
             left, right = left[open_], right[open_]
             most = most_apart(sizes[left], sizes[right], similarity)
             left, right, most = left[most >= 0], right[most >= 0], most[most >= 0]
-            apart = np.bitwise_count(sketches[left] ^ sketches[right]).sum(axis=1, dtype=np.int64)
+            met = sketches.coarse(left, right) <= most
+            left, right, most = left[met], right[met], most[met]
+            apart = sketches.fine(left, right)
             met = apart <= most
             out.append((left[met], right[met], apart[met] / np.maximum(most[met], 1e-9)))
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -352,10 +408,6 @@ def _longs(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(b, "<u8") for b in column.to_pylist()]
 
 
-def _entry_sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, ENTRY_CELLS // 64)
-
-
 def common_shingles(source: DataFrame, words: int) -> np.ndarray:
     """Shingles that a share of the texts holds repeatedly, in order."""
 
@@ -411,11 +463,11 @@ def verified(pairs: DataFrame, source: DataFrame, nodes: DataFrame, similarity:
 
 
 def proposals(forests: bool, similarity: float):
-    """Entries (key, i, j, node, root, own, size, small), sorted by block -> open pairs of nodes, all of them or a forest of the likeliest."""
+    """Entries (key, i, j, node, root, own, size, place, small), sorted by block -> open pairs of nodes, all of them or a forest of the likeliest."""
 
     def of(held: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        _, i, j, nodes, roots, own, sizes, sketches = held
-        left, right, far = open_pairs(starts, ends - starts, roots, own, i == j, sizes, sketches, similarity)
+        _, i, j, nodes, roots, own, sizes, places, small = held
+        left, right, far = open_pairs(starts, ends - starts, roots, own, i == j, sizes, places, Sketches(small.tolist()), similarity)
         pairs = np.stack([np.minimum(nodes[left], nodes[right]), np.maximum(nodes[left], nodes[right])], axis=1)
         _, once = np.unique(pairs, axis=0, return_index=True)
         if forests:
@@ -435,7 +487,7 @@ def proposals(forests: bool, similarity: float):
 
         for batch in batches:
             if batch.num_rows:
-                parts.append([c.to_numpy() for c in batch.columns[:7]] + [_entry_sketches(batch.column(7))])
+                parts.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             if sum(len(x[0]) for x in parts) >= ENTRIES_AT_ONCE:
                 yield from flush(last=False)
         if parts:
@@ -457,7 +509,7 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id
             hashes = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
             found = [np.unique(h) for h in hashes]
             longs = [[set_mark(s) for s in found], [signed(fingerprint_of(h)) for h in hashes], [len(s) for s in found]]
-            raw = [[node_sketch(s) for s in found], [odd_sketch(s, ENTRY_CELLS) for s in found], [set_prefix(s, similarity, common.value).astype("<u8").tobytes() for s in found]]
+            raw = [[node_sketch(s) for s in found], [entry_sketch(s) for s in found], [set_prefix(s, similarity, common.value).astype("<u8").tobytes() for s in found]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in longs), *(pa.array(x, pa.binary()) for x in raw)], ["doc_id", "node", "fp", "size", "sketch", "small", "prefix"])
 
     docs = cut(source.mapInArrow(marks, f"doc_id {kind}, node bigint, fp bigint, size bigint, sketch binary, small binary, prefix binary"))
@@ -474,19 +526,22 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _longs(batch.column(3))
-            of = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
+            n = np.array([len(f) for f in found], np.int64)
             key = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             met = in_filter(shared.value, key, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(key[met]), *(c.take(pa.array(of[met])) for c in batch.columns[:3])], ["key", "node", "size", "small"])
-
-    entries = cut(prefixed.mapInArrow(repeated, "key bigint, node bigint, size bigint, small binary"))
-    large = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    large = F.broadcast(large) if entries.count() // BLOCK <= BROADCAST_ROWS else large
-    parted = entries.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    dealt = parted.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocked = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "own", "size", "small")
+            yield pa.RecordBatch.from_arrays([pa.array(key[met]), pa.array(np.repeat(batch.column(0).to_numpy(), n)[met]), pa.array(place[met])], ["key", "node", "place"])
+
+    entries = cut(prefixed.mapInArrow(repeated, "key bigint, node bigint, place bigint"))
+    # Shingles of the same nodes have one order in all of them, so the first has the least sum of places.
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.sum("place").alias("places")).filter("n > 1")
+    firsts = buckets.groupBy("n", "x", "y").agg(F.min_by("key", "places").alias("key"))
+    firsts = cut(firsts.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), FEWER)
+    chosen = entries.join(F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts, "key")
+    dealt = chosen.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")).join(prefixed.select("node", "size", "small"), "node")
     in_order = lambda entries: entries.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    blocks = cut(in_order(blocked))
+    columns = ["key", "i", "j", "node", "root", "own", "size", "place", "small"]
+    blocks = cut(in_order(dealt.select("*", F.col("own").alias("i"), F.col("own").alias("j"), F.col("node").alias("root"))).select(*columns, "parts"))
 
     # Fingerprints within a few bits, one node of each; the others of a fingerprint meet that node.
     heads_of = cut(heads.groupBy("fp").agg(F.min("node").alias("head")), FEWER)
@@ -496,14 +551,21 @@ def similar_groups(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id
     same = heads.join(heads_of, "fp").filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
     close = ends.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).unionByName(same)
 
-    apart = blocks.select("key", "i", "j", "node", F.col("node").alias("root"), "own", "size", "small")
-    likely = cut(apart.mapInArrow(proposals(True, similarity), "a bigint, b bigint").unionByName(close).distinct(), FEWER)
+    likely = cut(blocks.select(*columns).mapInArrow(proposals(True, similarity), "a bigint, b bigint").unionByName(close).distinct(), FEWER)
     near = verified(likely, source, nodes, similarity, words)
     roots = components(near)
-    rooted = _follow(apart, roots, "root")
+    rooted = _follow(blocks, roots, "root")
+    whole = rooted.filter("parts = 1").select(*columns)
     if roots.count() > BROADCAST_ROWS:  # a join by shuffle has left no order
-        rooted = in_order(rooted)
-    others = cut(rooted.mapInArrow(proposals(False, similarity), "a bigint, b bigint").distinct().join(likely, ["a", "b"], "left_anti"), FEWER)
+        whole = in_order(whole)
+    found = whole.mapInArrow(proposals(False, similarity), "a bigint, b bigint")
+    if not firsts.filter("parts > 1").isEmpty():
+        large = rooted.filter("parts > 1")
+        still = large.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        pieces = large.join(still, "key", "left_semi").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        met = pieces.withColumn("i", F.least("own", "with")).withColumn("j", F.greatest("own", "with")).select(*columns)
+        found = found.unionByName(in_order(met).mapInArrow(proposals(False, similarity), "a bigint, b bigint"))
+    others = cut(found.distinct().join(likely, ["a", "b"], "left_anti"), FEWER)
     roots = components(near.unionByName(verified(others, source, nodes, similarity, words)))
 
     rooted = cut(_follow(heads.withColumn("root", F.col("node")), roots, "root"), FEWER)

@@ -661,6 +661,70 @@ def test_groups_are_those_at_the_similarity(spark):
     assert grouped(spark, texts) == brute_groups(texts)
 
 
+def test_proposals_do_not_grow_with_shared_shingles(spark, monkeypatch):
+    """Long texts that share a passage, and copies that share most shingles: pairs are proposed for few of them."""
+    rng = random.Random(15)
+    passage = [f"p{k}" for k in range(200)]
+    texts = {i: " ".join([f"u{i}x{k}" for k in range(1500)] + passage) for i in range(40)}
+    for k in range(6):
+        words = [f"{rng.choice('bcdfgh')}{rng.randrange(4000)}" for _ in range(300)]
+        texts |= {100 + 10 * k + i: " ".join(edited(rng, words, 4, f"e{i}x")) for i in range(10)}
+    made, proposals = {}, simhash.proposals
+
+    def counted(forests, similarity):
+        run = proposals(forests, similarity)
+        rows = made.setdefault(forests, spark.sparkContext.accumulator(0))
+
+        def each(batches):
+            for batch in run(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return each
+
+    monkeypatch.setattr(simhash, "proposals", counted)
+    assert grouped(spark, texts) == brute_groups(texts)
+    assert made[True].value < len(texts) and made[False].value < len(texts)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, simhash.BROADCAST_ROWS])
+def test_buckets_in_parts(spark, monkeypatch, broadcast_rows):
+    """Buckets of many parts, of one component and of several: as by brute force, whether tables are broadcast or not."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(16)
+    words = [f"{rng.choice('bcdfgh')}{rng.randrange(4000)}" for _ in range(200)]
+    texts = {i: " ".join(edited(rng, words, 2, f"a{i}x")) for i in range(40)}
+    texts |= {100 + i: " ".join(edited(rng, words, 9, f"b{i}x")) for i in range(40)}
+    texts |= {200 + i: " ".join(words[:120] + [f"c{i % 4}x{k}" for k in range(80)] + [f"d{i}"]) for i in range(40)}
+    want = brute_groups(texts)
+    assert len(set(want.values())) > 4 and grouped(spark, texts) == want
+
+
+def test_bounds_of_entries_never_rule_out_the_similarity():
+    """At the first shared shingle of similar sets places allow the pair, and sketches of any two lengths differ in no more cells than the sets."""
+    rng = np.random.default_rng(17)
+    sets = []
+    for n in (1, 5, 40, 300, 700, 3000, 9000):
+        for _ in range(20):
+            union = np.sort(rng.choice(np.iinfo(np.int64).max, n, replace=False).astype(np.uint64) << np.uint64(1))
+            side = rng.permutation(n)[: n - int(np.ceil(0.8 * n - 1e-9))]
+            cut_at = rng.integers(len(side) + 1)
+            a, b = (np.delete(union, s) for s in (side[:cut_at], side[cut_at:]))
+            common = np.sort(rng.choice(union, rng.integers(n + 1), replace=False))
+            heads = [simhash.set_prefix(s, 0.8, common).tolist() for s in (a, b)]
+            first = next(h for h in heads[0] if h in set(heads[1]))
+            sizes, places = ([np.array([x]) for x in side] for side in ((len(a), len(b)), [h.index(first) for h in heads]))
+            assert simhash.may_start(sizes[0], places[0], sizes[1], places[1], 0.8).all()
+            sets += [a, b]
+    raw = [simhash.entry_sketch(s) for s in sets]
+    left, right = (rng.integers(len(sets), size=500) for _ in range(2))
+    sketches = simhash.Sketches(raw)
+    for got in (sketches.coarse(left, right), sketches.fine(left, right)):
+        assert all(x <= len(np.setxor1d(sets[i], sets[j])) for x, i, j in zip(got, left, right))
+    assert sketches.fine(left, right).tolist() == [simhash.sketches_apart(raw[i], raw[j]) for i, j in zip(left, right)]
+
+
 # 9
 
 
