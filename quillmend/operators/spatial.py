@@ -45,12 +45,65 @@ def with_neighbours(points: DataFrame, x: str, y: str, width: float, height: flo
     return points.withColumn("__d", F.explode(steps)).withColumn("cx", cx + F.col("__d.i")).withColumn("cy", cy + F.col("__d.j")).drop("__d")
 
 
+def undominated(low: np.ndarray, high: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Places of the intervals that lie in none of a smaller label, by their low ends.
+
+    One that does covers no more of anything than the one around it. Kept: the ends of intervals so far that lie in no other.
+    """
+    lows: list[float] = []
+    highs: list[float] = []
+    out = []
+    for at in np.lexsort((-high, low, label)).tolist():
+        a, b = low[at], high[at]
+        k = bisect_right(lows, a)
+        if k and highs[k - 1] >= b:
+            continue
+        first, last = bisect_left(lows, a), bisect_right(highs, b)
+        lows[first:max(first, last)], highs[first:max(first, last)] = [a], [b]
+        out.append(at)
+    kept = np.array(out, dtype=np.int64)
+    return kept[np.argsort(low[kept], kind="stable")]
+
+
+def widest(t0: np.ndarray, t1: np.ndarray, l0: np.ndarray, l1: np.ndarray, label: np.ndarray, centre_bonus: float, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token that meets a label: its place, the largest cover, and the smallest label that has it."""
+    kept = undominated(l0, l1, label)
+    l0, l1, label = l0[kept], l1[kept], label[kept]
+    reach, order = np.maximum.accumulate(l1), np.lexsort((t1, t0))
+    found = [(order[:0], t0[:0], label[:0])]
+    while len(order):
+        first = int(np.searchsorted(reach, t0[order[0]], "right"))
+        some, order = np.split(order, [max(1, at_once // max(1, len(l0) - first))])
+        near = slice(first, max(first, int(np.searchsorted(l0, t1[some].max()))))
+        a, b, low, high = t0[some, None], t1[some, None], l0[near], l1[near]
+        middle = (a + b) / 2
+        cover = np.maximum(0.0, np.minimum(b, high) - np.maximum(a, low)) + np.where((middle >= low) & (middle <= high), centre_bonus, 0.0)
+        cover[(a >= high) | (low >= b)] = -np.inf
+        best = cover.max(axis=1, initial=-np.inf)
+        met = best > -np.inf
+        if met.any():
+            found.append((some[met], best[met], np.where(cover[met] == best[met, None], label[near], label[near].max()).min(axis=1)))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def best_overlap(tokens: DataFrame, labels: DataFrame, on: list[str], token: str, label: str, width: float, centre_bonus: float = 1000.0) -> DataFrame:
-    """For each token the label with the largest horizontal overlap, one holding the token's centre first: token, label. Columns tx0, tx1 and lx0, lx1."""
-    pairs = interval_join(tokens, labels, on, ("tx0", "tx1"), ("lx0", "lx1"), width)
-    centre = (F.col("tx0") + F.col("tx1")) / 2
-    cover = overlap(F.col("tx0"), F.col("tx1"), F.col("lx0"), F.col("lx1")) + F.when(centre.between(F.col("lx0"), F.col("lx1")), centre_bonus).otherwise(0.0)
-    return pairs.groupBy(*on, token).agg(F.max_by(label, F.struct(cover.alias("c"), (-F.col(label)).alias("o"))).alias(label))
+    """For each token the label with the largest horizontal overlap, one holding the token's centre first: token, label. Columns tx0, tx1 and lx0, lx1.
+
+    Distinct tokens meet the labels of a cell of the given width; of these only those count that lie in none of a smaller number.
+    """
+    kinds = dict(labels.dtypes) | dict(tokens.dtypes)
+    shapes = bucketed(tokens.select(*on, "tx0", "tx1").distinct(), "tx0", "tx1", width)
+    own = bucketed(labels.groupBy(*on, "lx0", "lx1").agg(F.min(label).alias(label)), "lx0", "lx1", width)
+    names = [*on, "tx0", "tx1"]
+
+    def run(here: pa.Table, there: pa.Table) -> pa.Table:
+        at, cover, won = widest(*(here[c].to_numpy() for c in ("tx0", "tx1")), *(there[c].to_numpy() for c in ("lx0", "lx1", label)), centre_bonus)
+        return pa.Table.from_arrays([*here.select(names).take(pa.array(at)).columns, pa.array(cover, pa.float64()), pa.array(won, there.schema.field(label).type)], [*names, "__c", "__l"])
+
+    met = shapes.groupBy(*on, "cell").cogroup(own.groupBy(*on, "cell")).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + f", __c double, __l {kinds[label]}")
+    first = F.struct(F.col("__c").alias("c"), (-F.col("__l")).alias("o"))
+    found = met.groupBy(*names).agg(F.max_by(F.struct("__c", "__l"), first).alias("m")).select(*names, "m.*")
+    return tokens.join(found, names).groupBy(*on, token).agg(F.max_by("__l", first).alias(label))
 
 
 def lines_in(lines: DataFrame, rects: DataFrame, on: list[str], line: str, rect: str, share: float = 0.55, height: float = 64.0) -> DataFrame:

@@ -55,3 +55,21 @@ def test_texts_of_equal_rectangles_are_worked_out_once(spark, tmp_path):
     k = F.col("id")
     spark.range(4000).select((k * 3500).alias("p_partkey"), F.lit("one").alias("p_brand"), F.lit(5).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
     assert most_rows(P.containment(spark, str(tmp_path))) <= 16_000
+
+
+def test_best_labels_equal_brute_force(spark):
+    a, b = sides(300, 3), sides(300, 4)
+    want = {}
+    for p, t, t0, _, t1, _ in a:
+        found = [(-(min(t1, l1) - max(t0, l0) + (1000 if l0 <= (t0 + t1) / 2 <= l1 else 0)), n) for q, n, l0, _, l1, _ in b if p == q and t0 < l1 and l0 < t1]
+        if found:
+            want[t] = min(found)[1]
+    tokens, labels = spark.createDataFrame(a, BOX).selectExpr("page", "box AS token", "x0 AS tx0", "x1 AS tx1"), spark.createDataFrame(b, BOX).selectExpr("page", "box AS label", "x0 AS lx0", "x1 AS lx1")
+    assert {r["token"]: r["label"] for r in S.best_overlap(tokens, labels, ["page"], "token", "label", 50.0).collect()} == want
+
+
+def test_best_labels_make_no_pairs(spark):
+    k = F.col("id")
+    rows = spark.range(4000).select(F.lit("one").alias("page"), k.alias("token"), (k * 37 % 500 / 7).alias("tx0"), (k * 37 % 500 / 7 + 20 + k % 50).alias("tx1"))
+    labels = rows.withColumnsRenamed({"token": "label", "tx0": "lx0", "tx1": "lx1"})
+    assert most_rows(S.best_overlap(rows, labels, ["page"], "token", "label", 50.0)) <= 16_000
