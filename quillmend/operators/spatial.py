@@ -33,6 +33,31 @@ def interval_join(left: DataFrame, right: DataFrame, on: list[str], l: tuple[str
     return a.join(b, [*on, "cell"]).filter((F.col(l[0]) < F.col(r[1])) & (F.col(r[0]) < F.col(l[1])) & (F.col("cell") == begins)).drop("cell")
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, on: list[str], l: tuple[str, str], r: tuple[str, str]) -> DataFrame:
+    """How many pairs of a left and a right interval overlap in each key, and the length they share in all: on, pairs, shared.
+
+    A sweep over the distinct ends, without any pair: one counts where the later of the two begins,
+    and from one end to the next each open left interval shares the way with each open right one.
+    """
+    c, kinds = F.col, [f"{k}_{s}" for s in "lr" for k in ("begin", "end", "point")]
+
+    def ends(side: DataFrame, low: str, high: str, name: str) -> DataFrame:
+        long = (c(low) < c(high)).cast("bigint")
+        at_low, at_high = {f"begin_{name}": long, f"point_{name}": 1 - long}, {f"end_{name}": long}
+        steps = F.array(*(F.struct(c(at).alias("at"), *(here.get(k, F.lit(0).cast("bigint")).alias(k) for k in kinds)) for at, here in ((low, at_low), (high, at_high))))
+        return side.filter(c(low) <= c(high)).select(*on, F.inline(steps))
+
+    places = ends(left, *l, "l").unionByName(ends(right, *r, "r")).dropna(subset=on).groupBy(*on, "at").agg(*(F.sum(k).alias(k) for k in kinds))
+    w = W.partitionBy(*on).orderBy("at")
+    open_ = {f"open_{s}": F.sum(c(f"begin_{s}") - c(f"end_{s}")).over(w.rowsBetween(W.unboundedPreceding, 0)) for s in "lr"}
+    swept = places.withColumns(open_ | {"way": F.lead("at").over(w) - c("at")})
+    begun = {s: c(f"begin_{s}") + c(f"point_{s}") for s in "lr"}
+    before = {s: c(f"open_{s}") - c(f"begin_{s}") for s in "lr"}
+    pairs = begun["l"] * before["r"] + before["l"] * begun["r"] + c("begin_l") * c("begin_r")
+    shared = F.coalesce(F.sum(c("open_l") * c("open_r") * c("way")), F.lit(0.0))
+    return swept.groupBy(*on).agg(F.sum(pairs).alias("pairs"), shared.alias("shared")).filter("pairs > 0")
+
+
 def cell_of(x: str, y: str, width: float, height: float) -> list[Column]:
     """A point's cell of a grid."""
     return [F.floor(F.col(x) / width).alias("cx"), F.floor(F.col(y) / height).alias("cy")]

@@ -22,7 +22,7 @@ def interval_overlap(spark, sf_dir):
     b = _boxes(spark, sf_dir)
     left = b.filter("box % 2 = 0").select("page", "box", "x0", "x1")
     right = b.filter("box % 2 = 1").select("page", F.col("box").alias("other"), F.col("x0").alias("r0"), F.col("x1").alias("r1"))
-    return S.interval_join(left, right, ["page"], ("x0", "x1"), ("r0", "r1"), 50.0).groupBy("page").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum(S.overlap(F.col("x0"), F.col("x1"), F.col("r0"), F.col("r1"))), 2).alias("shared"))
+    return S.overlap_totals(left, right, ["page"], ("x0", "x1"), ("r0", "r1")).withColumn("shared", F.round("shared", 2))
 
 
 def best_overlap(spark, sf_dir):

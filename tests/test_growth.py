@@ -73,3 +73,24 @@ def test_best_labels_make_no_pairs(spark):
     rows = spark.range(4000).select(F.lit("one").alias("page"), k.alias("token"), (k * 37 % 500 / 7).alias("tx0"), (k * 37 % 500 / 7 + 20 + k % 50).alias("tx1"))
     labels = rows.withColumnsRenamed({"token": "label", "tx0": "lx0", "tx1": "lx1"})
     assert most_rows(S.best_overlap(rows, labels, ["page"], "token", "label", 50.0)) <= 16_000
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    a, b = sides(300, 1), sides(300, 2)
+    want = {}
+    for p, _, x0, _, x1, _ in a:
+        for q, _, r0, _, r1, _ in b:
+            if p == q and x0 < r1 and r0 < x1:
+                n, s = want.get(p, (0, 0.0))
+                want[p] = n + 1, s + min(x1, r1) - max(x0, r0)
+    left, right = spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX).withColumnsRenamed({"x0": "r0", "x1": "r1"})
+    got = S.overlap_totals(left, right, ["page"], ("x0", "x1"), ("r0", "r1"))
+    assert {r["page"]: (r["pairs"], r["shared"]) for r in got.collect()} == want
+
+
+def test_interval_overlap_query_makes_no_pairs(spark, tmp_path):
+    from quillmend.plans import spatial as P
+
+    k = F.col("id")
+    spark.range(4000).select(k.alias("p_partkey"), F.lit("one").alias("p_brand"), (k % 50 + 1).cast("int").alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    assert most_rows(P.interval_overlap(spark, str(tmp_path))) <= 16_000
