@@ -193,11 +193,15 @@ def row_lines(lines: DataFrame, boxes: DataFrame, on: list[str], field: str, pad
 
 
 def nearest(points: DataFrame, targets: DataFrame, on: list[str], point: str, target: str, max_dx: float, max_dy: float) -> DataFrame:
-    """The nearest target of each point within limits on both axes: point, target, distance. Columns px, py and qx, qy. They meet in cells of the limits' size."""
+    """The nearest target of each point within limits on both axes: point, target, distance. Columns px, py and qx, qy. Distinct places meet in cells of the limits' size."""
     dx, dy = F.abs(F.col("px") - F.col("qx")), F.abs(F.col("py") - F.col("qy"))
-    around = with_neighbours(points, "px", "py", max_dx, max_dy)
-    near = around.join(targets.select("*", *cell_of("qx", "qy", max_dx, max_dy)), [*on, "cx", "cy"]).filter((dx <= max_dx) & (dy <= max_dy)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    return near.groupBy(*on, point).agg(F.min_by(F.struct(target, "distance"), F.struct(F.round("distance", 9).alias("d"), target)).alias("n")).select(*on, point, F.col(f"n.{target}").alias(target), F.round("n.distance", 4).alias("distance"))
+    places = [*on, "px", "py"]
+    around = with_neighbours(points.select(*places).distinct(), "px", "py", max_dx, max_dy)
+    first = targets.groupBy(*on, "qx", "qy").agg(F.min(target).alias(target))
+    near = around.join(first.select("*", *cell_of("qx", "qy", max_dx, max_dy)), [*on, "cx", "cy"]).filter((dx <= max_dx) & (dy <= max_dy)).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    best = F.min_by(F.struct(target, "distance"), F.struct(F.round("distance", 9).alias("d"), target)).alias("n")
+    found = near.groupBy(*places).agg(best).select(*places, "n.*")
+    return points.join(found, places).groupBy(*on, point).agg(best).select(*on, point, F.col(f"n.{target}").alias(target), F.round("n.distance", 4).alias("distance"))
 
 
 def unknown_boxes(found: DataFrame, known: DataFrame, on: list[str], close: float = 8) -> DataFrame:

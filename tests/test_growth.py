@@ -94,3 +94,23 @@ def test_interval_overlap_query_makes_no_pairs(spark, tmp_path):
     k = F.col("id")
     spark.range(4000).select(k.alias("p_partkey"), F.lit("one").alias("p_brand"), (k % 50 + 1).cast("int").alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
     assert most_rows(P.interval_overlap(spark, str(tmp_path))) <= 16_000
+
+
+def test_nearest_of_places_that_repeat(spark):
+    a, b = sides(300, 7, 10.0), sides(300, 8, 10.0)
+    a, b = a + a[:1], b + [(p, n + 1000, *rest) for p, n, *rest in b]
+    want = {}
+    for p, i, x, y, _, _ in a:
+        found = [(round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 9), n) for q, n, u, v, _, _ in b if p == q and abs(x - u) <= 110 and abs(y - v) <= 80]
+        if found:
+            want[i] = min(found)
+    points, targets = spark.createDataFrame(a, BOX).selectExpr("page", "box AS point", "x0 AS px", "y0 AS py"), spark.createDataFrame(b, BOX).selectExpr("page", "box AS target", "x0 AS qx", "y0 AS qy")
+    got = S.nearest(points, targets, ["page"], "point", "target", 110.0, 80.0)
+    assert {r["point"]: (r["distance"], r["target"]) for r in got.collect()} == {k: (pytest.approx(d, abs=1e-4), n) for k, (d, n) in want.items()}
+
+
+def test_places_that_repeat_meet_once(spark):
+    k = F.col("id")
+    points = spark.range(4000).select(F.lit("one").alias("page"), k.alias("point"), (k % 40).cast("double").alias("px"), (k % 40).cast("double").alias("py"))
+    targets = points.withColumnsRenamed({"point": "target", "px": "qx", "py": "qy"})
+    assert most_rows(S.nearest(points, targets, ["page"], "point", "target", 110.0, 80.0)) <= 16_000
