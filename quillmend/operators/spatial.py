@@ -220,6 +220,31 @@ def same_row(fields: DataFrame, on: list[str], field: str, y: str, pad: float =
     return left.join(right, [*on, "__band"]).filter(F.abs(F.col("__y") - F.col("__y2")) <= pad).select(*on, field, "other")
 
 
+def weight_within(at: np.ndarray, weight: np.ndarray, pad: float) -> np.ndarray:
+    """The weight of all places no further than so much from each. Places are distinct and ascend."""
+    first, last = np.searchsorted(at, at - pad), np.searchsorted(at, at + pad, "right") - 1
+    for edge, out in ((first, -1), (last, 1)):  # where a bound was rounded, the difference itself decides
+        while (far := np.abs(at - at[edge]) > pad).any():
+            edge[far] -= out
+        while (near := (edge + out >= 0) & (edge + out < len(at)) & (np.abs(at - at[np.clip(edge + out, 0, len(at) - 1)]) <= pad)).any():
+            edge[near] += out
+    sums = np.append(0, np.cumsum(weight))
+    return sums[last + 1] - sums[first]
+
+
+def row_mates(fields: DataFrame, on: list[str], field: str, y: str, pad: float = 18) -> DataFrame:
+    """How many fields of its page have a centre close to each field's, itself included: on, field, others. A page's distinct centres are one group."""
+    kinds, names = dict(fields.dtypes), [*on, y]
+    centres = fields.dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+
+    def run(page: pa.Table) -> pa.Table:
+        page = page.sort_by(y)
+        return page.select(names).append_column("__n", pa.array(weight_within(page[y].to_numpy(), page["__n"].to_numpy(), pad)))
+
+    around = centres.groupBy(*on).applyInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", __n bigint")
+    return fields.join(around, names).groupBy(*on, field).agg(F.sum("__n").alias("others"))
+
+
 def anchored_rect(fields: DataFrame, boxes: DataFrame, on: list[str], gap: float) -> DataFrame:
     """Rectangles by rule: right of a box (after), between two boxes, or across the page (span).
 

@@ -68,7 +68,7 @@ def unknown_boxes(spark, sf_dir):
 
 def same_row(spark, sf_dir):
     f = _boxes(spark, sf_dir).select("page", F.col("box").alias("field"), "y0")
-    return S.same_row(f, ["page"], "field", "y0").groupBy("page", "field").agg(F.count(F.lit(1)).alias("others"))
+    return S.row_mates(f, ["page"], "field", "y0")
 
 
 def suppress(spark, sf_dir):

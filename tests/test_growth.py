@@ -114,3 +114,19 @@ def test_places_that_repeat_meet_once(spark):
     points = spark.range(4000).select(F.lit("one").alias("page"), k.alias("point"), (k % 40).cast("double").alias("px"), (k % 40).cast("double").alias("py"))
     targets = points.withColumnsRenamed({"point": "target", "px": "qx", "py": "qy"})
     assert most_rows(S.nearest(points, targets, ["page"], "point", "target", 110.0, 80.0)) <= 16_000
+
+
+def test_row_mates_equal_pairs(spark):
+    fields = spark.createDataFrame(sides(400, 9, 0.1), BOX).selectExpr("page", "box AS field", "y0")
+    pairs = S.same_row(fields, ["page"], "field", "y0").groupBy("page", "field").agg(F.count(F.lit(1)).alias("others"))
+    counted = S.row_mates(fields, ["page"], "field", "y0")
+    assert counted.columns == pairs.columns and counted.dtypes == pairs.dtypes
+    assert Counter(map(tuple, counted.collect())) == Counter(map(tuple, pairs.collect()))
+
+
+def test_row_mates_query_makes_no_pairs(spark, tmp_path):
+    from quillmend.plans import spatial as P
+
+    k = F.col("id")
+    spark.range(4000).select(k.alias("p_partkey"), F.lit("one").alias("p_brand"), F.lit(5).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    assert most_rows(P.same_row(spark, str(tmp_path))) <= 16_000
