@@ -182,13 +182,25 @@ def zip_if_equal(left: DataFrame, right: DataFrame, on: list[str], l_order: list
     return a.join(b, [*on, "__i", "__n"]).drop("__n").withColumnRenamed("__i", "position")
 
 
+def reaches(boxes: DataFrame, on: list[str]) -> DataFrame:
+    """The stretches that the boxes of a key cover together, one row for each: on, bx0, bx1."""
+    w = W.partitionBy(*on).orderBy("bx0")
+    furthest = boxes.dropna(subset=[*on, "bx0", "bx1"]).groupBy(*on, "bx0").agg(F.max("bx1").alias("bx1"))
+    apart = F.col("bx0") > F.max("bx1").over(w.rowsBetween(W.unboundedPreceding, -1))
+    begun = furthest.withColumn("__new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return begun.groupBy(*on, "__run").agg(F.min("bx0").alias("bx0"), F.max("bx1").alias("bx1")).drop("__run")
+
+
 def row_lines(lines: DataFrame, boxes: DataFrame, on: list[str], field: str, pad_y: float = 6, pad_x: float = 10, height: float = 64.0) -> DataFrame:
-    """Distinct lines that touch any box of a field, joined in order: on, field, text. Boxes bx0..by1, lines x0..y1 and text. They meet in bands of the given height."""
+    """Distinct lines that touch any box of a field, joined in order: on, field, text. Boxes bx0..by1, lines x0..y1 and text.
+
+    They meet in bands of the given height. Boxes of a field and of one middle that touch each other count as one, as whatever touches that touches one of them.
+    """
     c = F.col
     middle = (c("by0") + c("by1")) / 2
     banded = lines.withColumn("__band", F.explode(F.sequence(F.floor((c("y0") - pad_y) / height), F.floor((c("y1") + pad_y) / height))))
-    hit = middle.between(c("y0") - pad_y, c("y1") + pad_y) & (c("x1") >= c("bx0") - pad_x) & (c("x0") <= c("bx1") + pad_x)
-    met = banded.join(boxes.withColumn("__band", F.floor(middle / height)), [*on, "__band"]).filter(hit).select(*on, field, "y0", "x0", "text").distinct()
+    hit = c("__middle").between(c("y0") - pad_y, c("y1") + pad_y) & (c("x1") >= c("bx0") - pad_x) & (c("x0") <= c("bx1") + pad_x)
+    met = banded.join(reaches(boxes.withColumn("__middle", middle), [*on, field, "__middle"]).withColumn("__band", F.floor(c("__middle") / height)), [*on, "__band"]).filter(hit).select(*on, field, "y0", "x0", "text").distinct()
     return met.groupBy(*on, field).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda s: s["text"]), " ").alias("text"))
 
 

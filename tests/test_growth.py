@@ -130,3 +130,22 @@ def test_row_mates_query_makes_no_pairs(spark, tmp_path):
     k = F.col("id")
     spark.range(4000).select(k.alias("p_partkey"), F.lit("one").alias("p_brand"), F.lit(5).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
     assert most_rows(P.same_row(spark, str(tmp_path))) <= 16_000
+
+
+def test_lines_of_fields_equal_brute_force(spark):
+    a, b = sides(200, 10), sides(60, 11)
+    want = {}
+    for p, n, x0, y0, x1, y1 in a:
+        for q, m, u0, v0, u1, v1 in b:
+            if p == q and y0 - 6 <= (v0 + v1) / 2 <= y1 + 6 and x1 >= u0 - 10 and x0 <= u1 + 10:
+                want.setdefault((p, m % 3), set()).add((y0, x0, str(n)))
+    lines = spark.createDataFrame(a, BOX).withColumn("text", F.col("box").cast("string")).drop("box")
+    boxes = spark.createDataFrame(b, BOX).selectExpr("page", "box % 3 AS field", "x0 AS bx0", "y0 AS by0", "x1 AS bx1", "y1 AS by1")
+    assert {(r["page"], r["field"]): r["text"] for r in S.row_lines(lines, boxes, ["page"], "field").collect()} == {k: " ".join(t for _, _, t in sorted(v)) for k, v in want.items()}
+
+
+def test_boxes_of_a_field_meet_lines_once(spark):
+    k = F.col("id")
+    boxes = spark.range(4000).select(F.lit("one").alias("page"), (k % 2).alias("field"), (k % 100).cast("double").alias("bx0"), (k % 5 * 7.0).alias("by0"), (k % 100 + 12.0).alias("bx1"), (k % 5 * 7.0 + 4).alias("by1"))
+    lines = spark.range(1000).select(F.lit("one").alias("page"), F.lit(3.0).alias("x0"), F.lit(5.0).alias("y0"), F.lit(90.0).alias("x1"), F.lit(8.0).alias("y1"), k.cast("string").alias("text"))
+    assert most_rows(S.row_lines(lines, boxes, ["page"], "field")) <= 16_000
