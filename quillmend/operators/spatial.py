@@ -218,7 +218,7 @@ def nearest(points: DataFrame, targets: DataFrame, on: list[str], point: str, ta
 
 def unknown_boxes(found: DataFrame, known: DataFrame, on: list[str], close: float = 8) -> DataFrame:
     """Found boxes with no known box of the same key closer than so much on both axes. Columns px, py and qx, qy."""
-    around = with_neighbours(known.select(*(F.col(c).alias(f"__{c}") for c in on), "qx", "qy"), "qx", "qy", close, close).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
+    around = with_neighbours(known.select(*(F.col(c).alias(f"__{c}") for c in on), "qx", "qy").distinct(), "qx", "qy", close, close).withColumnsRenamed({"cx": "__cx", "cy": "__cy"})
     cells = found.select("*", *cell_of("px", "py", close, close))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on] + [F.col("cx") == F.col("__cx"), F.col("cy") == F.col("__cy")]
     return cells.join(around, [*same, F.abs(F.col("px") - F.col("qx")) < close, F.abs(F.col("py") - F.col("qy")) < close], "left_anti").drop("cx", "cy")

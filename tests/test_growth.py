@@ -149,3 +149,12 @@ def test_boxes_of_a_field_meet_lines_once(spark):
     boxes = spark.range(4000).select(F.lit("one").alias("page"), (k % 2).alias("field"), (k % 100).cast("double").alias("bx0"), (k % 5 * 7.0).alias("by0"), (k % 100 + 12.0).alias("bx1"), (k % 5 * 7.0 + 4).alias("by1"))
     lines = spark.range(1000).select(F.lit("one").alias("page"), F.lit(3.0).alias("x0"), F.lit(5.0).alias("y0"), F.lit(90.0).alias("x1"), F.lit(8.0).alias("y1"), k.cast("string").alias("text"))
     assert most_rows(S.row_lines(lines, boxes, ["page"], "field")) <= 16_000
+
+
+def test_known_places_that_repeat_are_spread_once(spark):
+    k = F.col("id")
+    found = spark.range(1000).select(F.lit("one").alias("page"), k.alias("box"), (k % 50).cast("double").alias("px"), (k % 7).cast("double").alias("py"))
+    known = spark.range(4000).select(F.lit("one").alias("page"), (k % 20).cast("double").alias("qx"), F.lit(0.0).alias("qy"))
+    left = S.unknown_boxes(found, known, ["page"], 30.0)
+    assert most_rows(left) <= 4000
+    assert {r["box"] for r in left.collect()} == {i for i in range(1000) if i % 50 == 49}
