@@ -218,44 +218,83 @@ def pairing_gains(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return alike - np.abs(a[:, 1][:, None] - b[:, 1][None, :]) * PAIR_DISTANCE
 
 
-def aligned(a: list[tuple[int, float]], b: list[tuple[int, float]], skip: float = SKIP) -> list[tuple[int, int]]:
+def total_rows(a: np.ndarray, b: np.ndarray, above: np.ndarray, skip: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The gains of each of ``a`` with all of ``b``, and the row of totals below ``above`` and so on.
+
+    A whole row is made at a time: a run of items left out on one side is a running
+    maximum once each place is lifted by what skipping up to it costs.
+    """
+    lift = skip * np.arange(len(b) + 1)
+    known: dict[float, np.ndarray] = {}
+    level = np.column_stack([b[:, 0], np.zeros(len(b))])
+    for boxes, middle in a:
+        if boxes not in known:
+            known = known if len(known) < 16 else {}
+            known[boxes] = pairing_gains(np.array([[boxes, 0.0]]), level)[0]
+        gains = np.abs(middle - b[:, 1])
+        gains *= PAIR_DISTANCE
+        np.subtract(known[boxes], gains, out=gains)
+        row = above - skip
+        np.maximum(row[1:], above[:-1] + gains, out=row[1:])
+        row += lift
+        np.maximum.accumulate(row, out=row)
+        row -= lift
+        yield gains, row
+        above = row
+
+
+def aligned(a: list[tuple[int, float]] | np.ndarray, b: list[tuple[int, float]] | np.ndarray, skip: float = SKIP) -> list[tuple[int, int]]:
     """Order-keeping pairs of two sequences of (boxes, relative middle) with the greatest total gain, less a cost for each item left out.
 
-    A whole row of totals is made at a time: a run of items left out on one side
-    is a running maximum once each place is lifted by what skipping up to it costs.
+    Every so many rows of totals are kept. The way back makes the rows between two of them
+    again, up to the column that it has come to, and keeps two bits of each place near it: whether
+    a pair or an item left out leads there. So memory grows with the length to the power of 1.5.
     """
-    if not a or not b:
+    if not len(a) or not len(b):
         return []
-    gains = pairing_gains(np.array(a, float), np.array(b, float))
-    lift = skip * np.arange(len(b) + 1)
-    totals = [-lift]
-    for row in gains:
-        above = totals[-1]
-        start = np.maximum(above - skip, np.append(-np.inf, above[:-1] + row))
-        totals.append(np.maximum.accumulate(start + lift) - lift)
+    a, b = np.array(a, float), np.array(b, float)
+    every = max(1, int((32 * len(a)) ** 0.5))  # as many bytes for the rows kept as for the bits
+    kept = [-(skip * np.arange(len(b) + 1))]
+    for i, (_, row) in enumerate(total_rows(a, b, kept[0], skip), 1):
+        if i % every == 0:
+            kept.append(row)
     pairs, i, j = [], len(a), len(b)
     while i and j:
-        here = totals[i][j]
-        if abs(here - totals[i - 1][j - 1] - gains[i - 1, j - 1]) < 1e-9:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif abs(here - totals[i - 1][j] + skip) < 1e-9:
-            i -= 1
-        else:
-            j -= 1
+        top = (i - 1) // every * every
+        above, bits, least = kept[top // every][: j + 1], [], max(0, j - 4 * every)
+        for gains, row in total_rows(a[top:i], b[:j], above, skip):
+            paired = np.abs(row[least + 1 :] - above[least:-1] - gains[least:]) < 1e-9
+            left_out = np.abs(row[least + 1 :] - above[least + 1 :] + skip) < 1e-9
+            bits.append((np.packbits(paired), np.packbits(left_out)))
+            above = row
+        while i > top and j > least:
+            at, bit = j - 1 - least >> 3, 128 >> (j - 1 - least & 7)
+            if bits[i - 1 - top][0][at] & bit:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif bits[i - 1 - top][1][at] & bit:
+                i -= 1
+            else:
+                j -= 1
     return pairs[::-1]
 
 
 def align_sequences(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Aligned places of two arrays of structs (boxes, middle) a key: key, i, j. A sequence is one page's rows."""
-    kind = dict(rows.dtypes)[key]
+    """Aligned places of two arrays of structs (boxes, middle) a key: key, i, j. A sequence is one page's rows.
+
+    The work of a key grows with the product of its lengths, so keys are dealt out, whatever few bytes they have.
+    """
+    kind, deal = dict(rows.dtypes)[key], 16 * rows.sparkSession.sparkContext.defaultParallelism
+
+    def sequence(value: pa.ListScalar) -> np.ndarray:
+        items = value.values
+        return np.zeros((0, 2)) if items is None else np.column_stack([items.field(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, i, j = [], [], []
-            for k, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                for x, y in aligned([tuple(s.values()) for s in a or []], [tuple(s.values()) for s in b or []]):
-                    keys.append(k), i.append(x), j.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(i, pa.int32()), pa.array(j, pa.int32())], [key, "i", "j"])
+            for k, a, b in zip(*batch.columns):
+                pairs = np.array(aligned(sequence(a), sequence(b)), np.int32).reshape(-1, 2)
+                keys = pa.array([k.as_py()], batch.schema.field(0).type).take(pa.array(np.zeros(len(pairs), np.int32)))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(np.ascontiguousarray(pairs[:, s])) for s in (0, 1))], [key, "i", "j"])
 
-    return rows.select(key, left, right).mapInArrow(run, f"{key} {kind}, i int, j int")
+    return rows.select(key, left, right).repartition(deal, key).mapInArrow(run, f"{key} {kind}, i int, j int")

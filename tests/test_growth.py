@@ -158,3 +158,44 @@ def test_known_places_that_repeat_are_spread_once(spark):
     left = S.unknown_boxes(found, known, ["page"], 30.0)
     assert most_rows(left) <= 4000
     assert {r["box"] for r in left.collect()} == {i for i in range(1000) if i % 50 == 49}
+
+
+def test_alignment_keeps_a_small_part_of_the_totals():
+    import tracemalloc
+
+    from quillmend.operators import forms
+
+    rng = random.Random(12)
+    a, b = ([(rng.randrange(5), i / 1500) for i in range(1500)] for _ in "ab")
+    tracemalloc.start()
+    pairs = forms.aligned(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1500 * 1500 * 8 / 4  # the whole table of totals has four times as much
+    assert all(p < q for c in (0, 1) for p, q in zip([p[c] for p in pairs], [p[c] for p in pairs][1:]))
+
+
+def test_alignment_of_long_and_short_sequences_has_the_best_total():
+    import numpy as np
+
+    from quillmend.operators import forms
+
+    rng = random.Random(13)
+    for n, m in ((700, 60), (60, 700), (400, 380)):
+        a, b = ([(rng.randrange(5), rng.random()) for _ in range(k)] for k in (n, m))
+        gains = forms.pairing_gains(*(np.array(s, float) for s in (a, b)))
+        best = [-forms.SKIP * j for j in range(m + 1)]
+        for i in range(n):
+            row = [best[0] - forms.SKIP]
+            for j in range(m):
+                row.append(max(best[j] + gains[i, j], best[j + 1] - forms.SKIP, row[j] - forms.SKIP))
+            best = row
+        pairs = forms.aligned(a, b)
+        assert sum(gains[i, j] for i, j in pairs) - forms.SKIP * (n + m - 2 * len(pairs)) == pytest.approx(best[-1], abs=1e-6)
+
+
+def test_aligned_keys_are_dealt_out(spark):
+    from quillmend.operators import forms
+
+    rows = spark.range(6).selectExpr("id AS k", "array(struct(1D AS n, 0D AS m)) AS a", "array(struct(1D AS n, 0D AS m)) AS b").coalesce(1)
+    assert forms.align_sequences(rows, "k", "a", "b").select(F.spark_partition_id().alias("p")).distinct().count() > 1
