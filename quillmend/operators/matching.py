@@ -265,35 +265,148 @@ def query_forms(text: Column, ends: list[str] = FACILITY_ENDS) -> Column:
     return F.array_distinct(F.filter(F.array(text, bare), lambda x: x != ""))
 
 
-def match_directory(readings: DataFrame, text: str, region: str, directory: DataFrame, name: str, form_of, k: int = 5, least: float = 0.55, groups: dict[str, str] | None = None, ends: list[str] = FACILITY_ENDS, owners: str = OWNERS, shortest: int = 3, per_block: int = BLOCK_TERMS) -> DataFrame:
+def _spread(some: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Values at their places of n, 0 elsewhere."""
+    out = np.zeros(n, np.uint64)
+    out[some[0]] = some[1]
+    return out
+
+
+class DirectoryForms:
+    """Match forms of directory names, to bound how alike a reading is to every one of them at once.
+
+    Forms lie in the order of their lengths. Edits come from bit vectors, one a form, that
+    all move on by a character of the reading together.
+    """
+
+    def __init__(self, forms: list[str], names: list[int], groups: dict[str, str] | None = None):
+        """``names`` has for each form the place of its name."""
+        order = sorted(range(len(forms)), key=lambda i: len(forms[i]))
+        self.forms, self.names = [forms[i] for i in order], np.array([names[i] for i in order], np.int64)
+        self.lengths = np.array([len(f) for f in self.forms], np.int64)
+        self.moved = str.maketrans({c: r for c, r in groups.items() if c != r}) if groups else None
+        self.masks = self._masks(self.forms)
+        self.moved_masks = self._masks([f.translate(self.moved) for f in self.forms]) if self.moved is not None else None
+        grams = [self._grams(f) for f in self.forms]
+        self.distinct, self.where = np.array([len(g) for g in grams], np.int64), NearPhrases._postings(grams)
+
+    @staticmethod
+    def _grams(form: str) -> set[str]:
+        return {form[i : i + 2] for i in range(len(form) - 1)} or {form}
+
+    @staticmethod
+    def _masks(forms: list[str]) -> dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]:
+        """For each character the bits of its places in the first 64 of every form, or only the forms that have it and theirs where these are few."""
+        out: dict[str, tuple[list[int], list[int]]] = {}
+        for i, form in enumerate(forms):
+            for c, bits in character_masks(form[:64]).items():
+                at = out.setdefault(c, ([], []))
+                at[0].append(i), at[1].append(bits)
+        few = {c: (np.array(i), np.array(bits, np.uint64)) for c, (i, bits) in out.items()}
+        return {c: _spread(v, len(forms)) if 8 * len(v[0]) >= len(forms) else v for c, v in few.items()}
+
+    def edits(self, reading: str, some: slice, anywhere: bool, masks: dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Edits from each form to the reading, or to the nearest stretch of it; of forms beyond 64 characters no more than these."""
+        lengths = self.lengths[some]
+        if not len(lengths):
+            return lengths
+        one, size = np.uint64(1), np.minimum(lengths, 64)
+        top = one << (size - 1).astype(np.uint64)
+        up, down, edits = np.full(len(lengths), ~np.uint64(0)), np.zeros(len(lengths), np.uint64), size.copy()
+        fewest, none = edits.copy(), np.zeros(len(self.forms), np.uint64)
+        for c in reading:
+            bits = masks.get(c, none)
+            same = (_spread(bits, len(self.forms)) if isinstance(bits, tuple) else bits)[some]
+            flat = (((same & up) + up) ^ up) | same | down
+            rise, fall = down | ~(flat | up), up & flat
+            edits += ((rise & top) != 0).astype(np.int64) - ((fall & top) != 0)
+            np.minimum(fewest, edits, out=fewest)
+            rise, fall = rise << one, fall << one
+            if not anywhere:
+                rise |= one
+            up, down = fall | ~(flat | rise), rise & flat
+        return np.where(lengths > 64, 0, fewest if anywhere else edits)
+
+    def bounds(self, reading: str) -> tuple[slice, np.ndarray, np.ndarray]:
+        """The forms that count for a reading, by length, and the least and greatest likeness to each."""
+        n = len(reading)
+        first, longer = (int(np.searchsorted(self.lengths, v)) for v in (max(4.0, n * 0.5), n))
+        some, longer = slice(first, len(self.forms)), max(0, longer - first)
+        m = self.lengths[some]
+        held = self._grams(reading)
+        shared = np.bincount(np.concatenate([np.zeros(0, np.int64), *(self.where[g] for g in held & self.where.keys())]).astype(np.int64), minlength=len(self.forms))[some]
+        least = 2.0 * shared / (len(held) + self.distinct[some])
+        inner = self.edits(reading, slice(first, first + longer), True, self.masks)
+        whole = self.edits(reading, slice(first + longer, None), False, self.masks)
+        inside, exact = (inner == 0) & (m[:longer] <= 64), m[longer:] <= 64
+        least[:longer] = np.where(inside, np.maximum(least[:longer], 0.55 + 0.35 * m[:longer] / n), least[:longer])
+        most = least.copy()
+        most[:longer] = np.maximum(least[:longer], 1 - inner / (m[:longer] + 2))
+        near = 1 - whole / m[longer:]
+        most[longer:] = np.maximum(least[longer:], near)
+        least[longer:] = np.where(exact, most[longer:], least[longer:])
+        if self.moved is not None:
+            close = self.edits(reading.translate(self.moved), slice(first, None), False, self.moved_masks) <= 1
+            most[close] = np.maximum(most[close], 0.9)
+        return some, least, most
+
+    def best(self, readings: list[str], names: int, k: int, least: float) -> np.ndarray:
+        """Places of the names, of so many, that may be among a reading's k best of at least a likeness. Names lie in the order that settles ties."""
+        low, high = np.zeros(names), np.zeros(names)
+        for reading in readings:
+            some, lower, upper = self.bounds(reading)
+            np.maximum.at(low, self.names[some], lower)
+            np.maximum.at(high, self.names[some], upper)
+        bar = np.partition(low, -k)[-k] if names > k else 0.0
+        left = np.flatnonzero(high >= max(bar, least) - 0.0012)  # likenesses are rounded to four places and then to three
+        sure = left[low[left] == high[left]]
+        order = np.lexsort((sure, -low[sure]))
+        value = low[sure][order]
+        begin = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+        rank = np.arange(len(value)) - np.repeat(begin, np.diff(np.append(begin, len(value))))
+        return np.concatenate([left[low[left] != high[left]], sure[order][rank < k]])
+
+
+def match_directory(readings: DataFrame, text: str, region: str, directory: DataFrame, name: str, form_of, k: int = 5, least: float = 0.55, groups: dict[str, str] | None = None, ends: list[str] = FACILITY_ENDS, owners: str = OWNERS, shortest: int = 3, per_block: int = BLOCK_TERMS, at_once: int = 1000) -> DataFrame:
     """The k best directory names of each reading in its region: text, region, rank, name, score.
 
     The score is the best over the reading's forms and the name's core forms of at
     least half the reading's length. ``form_of`` makes match forms of array items, so it
-    must be built in (compose beforehand). Readings and names meet on the region, so a
-    partitioned directory is pruned; a region's names come as arrays of at most about
-    ``per_block``, so that only the best of each become rows.
+    must be built in (compose beforehand). About ``at_once`` readings of a region meet about
+    ``per_block`` of its names at a time, which names the few that may be among the best;
+    only for those is the likeness worked out.
     """
-    left = readings.select(text, region).distinct().withColumn("__q", F.transform(query_forms(F.col(text), ends), form_of))
+    kinds = dict(readings.dtypes)
+    of_text, of_name = F.transform(query_forms(F.col(text), ends), form_of), F.transform(core_names(F.col("name"), ends, owners), form_of)
+    left = readings.select(text, region).dropna().distinct().withColumn("__q", of_text)
     left = left.filter(F.array_max(F.transform("__q", F.length)) >= shortest)
-    names = directory.select(F.col(region), F.col(name).alias("name")).distinct()
-    largest = names.groupBy(region).count().agg(F.max("count")).first()[0] or 0
-    block = F.pmod(F.xxhash64("name"), F.lit(max(1, -(-largest // per_block))))
-    item = F.struct("name", F.transform(core_names(F.col("name"), ends, owners), form_of).alias("c"))
-    right = names.groupBy(region, block.alias("__b")).agg(F.collect_list(item).alias("items"))
-
-    def scored(e: Column) -> Column:
-        def against(q: Column) -> Column:
-            fit = F.filter(e["c"], lambda c: F.length(c) >= F.greatest(F.lit(4.0), F.length(q) * 0.5))
-            return F.coalesce(F.array_max(F.transform(fit, lambda c: S.similarity(q, c, groups))), F.lit(0.0))
-
-        score = F.round(F.array_max(F.transform("__q", against)), 3)
-        return F.struct((-score).alias("order"), F.length(e["name"]).alias("long"), e["name"].alias("name"))
-
-    ranked = F.array_sort(F.filter(F.transform("items", scored), lambda s: s["order"] <= -least))
-    best = left.join(right, region).select(text, region, F.explode(F.slice(ranked, 1, k)).alias("m"))
-    rank = F.row_number().over(W.partitionBy(text, region).orderBy("m"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select(text, region, "rank", F.col("m.name").alias("name"), (-F.col("m.order")).alias("score"))
+    names = directory.select(F.col(region), F.col(name).alias("name")).dropna().distinct()
+    blocks, pieces = (max(1, -(-(rows.groupBy(region).count().agg(F.max("count")).first()[0] or 0) // most)) for rows, most in ((names, per_block), (left, at_once)))
+    every = lambda n, c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c)
+    dealt = lambda c, n, to: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(to)
+    here = left.select("*", dealt(text, pieces, "__p")).select("*", every(blocks, "__b"))
+    there = names.select("*", of_name.alias("c"), dealt("name", blocks, "__b")).select("*", every(pieces, "__p"))
+    key = [region, "__b", "__p"]
+
+    def run(some: pa.Table, block: pa.Table) -> pa.Table:
+        known = sorted(zip(block["name"].to_pylist(), block["c"].to_pylist()), key=lambda v: (len(v[0]), v[0]))
+        met = [(i, f) for i, (_, forms) in enumerate(known) for f in forms or [] if f]
+        near = DirectoryForms([f for _, f in met], [i for i, _ in met], groups)
+        found = [near.best([q for q in qs if q], len(known), k, least) for qs in some["__q"].to_pylist()]
+        at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        return pa.Table.from_arrays([some[text].take(at), some[region].take(at), pa.array([known[i][0] for f in found for i in f.tolist()], pa.string())], [text, region, "name"])
+
+    # The work of a key grows with the product of its rows, so keys are dealt out, whatever few bytes they have.
+    deal = 16 * readings.sparkSession.sparkContext.defaultParallelism
+    met = here.repartition(deal, *key).groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(run, f"`{text}` {kinds[text]}, `{region}` {kinds[region]}, name string")
+
+    def against(q: Column) -> Column:
+        fit = F.filter("c", lambda c: F.length(c) >= F.greatest(F.lit(4.0), F.length(q) * 0.5))
+        return F.coalesce(F.array_max(F.transform(fit, lambda c: S.similarity(q, c, groups))), F.lit(0.0))
+
+    scored = met.withColumn("c", of_name).withColumn("score", F.round(F.array_max(F.transform(of_text, against)), 3)).filter(F.col("score") >= least)
+    rank = F.row_number().over(W.partitionBy(text, region).orderBy(F.desc("score"), F.length("name"), "name"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(text, region, "rank", "name", "score")
 
 
 def backfill(entries: DataFrame, best: DataFrame, key: list[str], fields: list[str], floors: dict[str, float], adopt: float = 0.85) -> DataFrame:

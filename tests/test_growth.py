@@ -199,3 +199,56 @@ def test_aligned_keys_are_dealt_out(spark):
 
     rows = spark.range(6).selectExpr("id AS k", "array(struct(1D AS n, 0D AS m)) AS a", "array(struct(1D AS n, 0D AS m)) AS b").coalesce(1)
     assert forms.align_sequences(rows, "k", "a", "b").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def edits_between(a, b, anywhere=False):
+    """Edits from a to b, or to its nearest stretch."""
+    row = [0 if anywhere else j for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        left, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    return min(row) if anywhere else row[-1]
+
+
+def test_bounds_of_directory_names_hold(spark):
+    from quillmend.functions import similarity
+    from quillmend.operators import matching as M
+
+    rng = random.Random(14)
+    word = lambda most: "".join(rng.choice("abc#0") for _ in range(rng.randrange(1, most)))
+    forms = [word(14) for _ in range(60)] + [word(14) * 9 for _ in range(4)] + ["ab#0" * 16]
+    readings = [word(14) for _ in range(30)] + ["ab#0" * 16, forms[62]]
+    groups = similarity.components_of([("a", "0")])
+    for group in (None, groups):
+        near = M.DirectoryForms(forms, list(range(len(forms))), group)
+        pairs = []
+        for r in readings:
+            some, least, most = near.bounds(r)
+            pairs += [(r, f, float(lo), float(hi)) for f, lo, hi in zip(near.forms[some], least, most)]
+        rows = spark.createDataFrame(pairs, "a string, b string, lo double, hi double")
+        wrong = rows.withColumn("s", similarity.similarity(F.col("a"), F.col("b"), group)).filter("s < lo - 0.00011 or s > hi + 0.00011").collect()
+        assert not wrong and len(pairs) > 500
+    near = M.DirectoryForms(forms, list(range(len(forms))))
+    for r in readings[:8]:
+        for anywhere in (False, True):
+            got = near.edits(r, slice(0, None), anywhere, near.masks).tolist()
+            assert got == [0 if len(f) > 64 else edits_between(f, r, anywhere) for f in near.forms]
+
+
+def test_directory_meets_few_names(spark):
+    from quillmend.functions import similarity
+    from quillmend.operators import matching as M
+
+    names = spark.range(600).select(F.lit(1).alias("region"), F.format_string("name of house %06d", F.col("id") * 7919 % 999983).alias("name"))
+    reads = names.select("region", F.regexp_replace("name", "of", "oi").alias("t"))
+    found = M.match_directory(reads, "t", "region", names, "name", lambda c: F.lower(c), k=3)
+    assert most_rows(found) <= 600 * 20
+    # The best of all pairs, in the order of score, length and name.
+    score = F.round(similarity.similarity(F.lower("t"), F.lower("name")), 3)
+    pairs = reads.limit(40).crossJoin(names.select("name")).withColumn("score", score).collect()
+    want = {t: [(n, s) for s, n in sorted((-r["score"], r["name"]) for r in pairs if r["t"] == t)[:3]] for t in {r["t"] for r in pairs}}
+    got = {}
+    for r in found.orderBy("t", "rank").collect():
+        got.setdefault(r["t"], []).append((r["name"], -r["score"]))
+    assert {t: got[t] for t in want} == want
