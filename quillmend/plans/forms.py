@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmend.operators import forms as O
-from quillmend.sources.tables import table
+from quillmend.sources.tables import per_value, table
 
 
 def routing(spark, sf_dir):

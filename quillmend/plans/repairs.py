@@ -15,7 +15,7 @@ from quillmend.operators import mining as N
 from quillmend.operators import records as R
 from quillmend.operators import windows as W
 from quillmend.sources import records as Q
-from quillmend.sources.tables import table
+from quillmend.sources.tables import per_value, table
 
 from .matching import SIM_SQL
 
@@ -72,7 +72,8 @@ def proofread(spark, sf_dir):
     """The whole repair over every reading with a unit behind it."""
     r = _readings(spark, sf_dir).withColumn("t", F.concat(F.lit("|・"), "t", F.lit("  120"), F.when(F.col("p_size") % 2 == 0, "rnmHg").otherwise("rng"), F.lit("!")))
     pairs = T.pair_array({"ロー": "ロ長", "カカ": "力カ"})
-    return r.select("p_partkey", T.proofread(F.col("t"), pairs, compose=False).alias("fixed"), (T.proofread(F.col("t"), pairs, compose=False) == T.proofread(F.col("t"), pairs)).alias("same"))
+    fixed = T.proofread(F.col("t"), pairs, compose=False)
+    return per_value(r.select("p_partkey", "t"), "t", {"fixed": fixed, "same": fixed == T.proofread(F.col("t"), pairs)}).select("p_partkey", "fixed", "same")
 
 
 def clean_readings(spark, sf_dir):

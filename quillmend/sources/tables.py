@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key to some tasks a core, where work on a row costs far more than to move it: a small file is one task otherwise, and AQE joins small partitions unless their number is given."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
+def per_value(rows: DataFrame, value: str, made: dict[str, Column]) -> DataFrame:
+    """Rows with columns that are made of one column only, worked out once for each of its values."""
+    return rows.join(dealt(rows.select(value).distinct(), value).withColumns(made), value, "left")

@@ -252,3 +252,34 @@ def test_directory_meets_few_names(spark):
     for r in found.orderBy("t", "rank").collect():
         got.setdefault(r["t"], []).append((r["name"], -r["score"]))
     assert {t: got[t] for t in want} == want
+
+
+def python_rows(frame):
+    """The most rows that any step of a query got from Python."""
+    frame.collect()
+    most, left = 0, [frame._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        metric = node.metrics().get("pythonNumRowsReceived")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        name, children = node.nodeName(), node.children()
+        left += [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in name else []
+        left += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def parts(spark, path, n, names):
+    k = F.col("id")
+    name = F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    spark.range(n).select(k.alias("p_partkey"), name.alias("p_name"), F.lit("SMALL").alias("p_type"), (k % 2 + 1).cast("int").alias("p_size")).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_a_reading_that_repeats_is_repaired_once(spark, tmp_path):
+    from quillmend.plans import repairs
+
+    found = repairs.proofread(spark, parts(spark, tmp_path, 2000, ["red rod", "hot ring", None]))
+    assert 0 < python_rows(found) <= 10
+    rows = found.collect()
+    assert len(rows) == 2000 and {r["p_partkey"] for r in rows} == set(range(2000))
+    assert all((r["fixed"] is None) == (r["p_partkey"] % 3 == 2) for r in rows)
