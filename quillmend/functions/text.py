@@ -11,7 +11,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 from difflib import SequenceMatcher
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,10 +52,18 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
 
 
+# Ratios of pairs that a batch of rows keeps, as values repeat.
+RATIOS_KEPT = 1 << 14
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def best_ratios(words: pd.Series, known: pd.Series) -> pd.Series:
     """For each of an array of words its highest sequence ratio with any of the known ones; 0 where either is empty."""
 
+    @lru_cache(RATIOS_KEPT)
+    def ratio(w: str, k: str) -> float:
+        return SequenceMatcher(None, w, k).ratio()
+
     def one(these: Sequence[str], those: Sequence[str]) -> list[float]:
         return [max((SequenceMatcher(None, w, k).ratio() for k in those if w and k), default=0.0) for w in these]
 

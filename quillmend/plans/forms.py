@@ -40,9 +40,9 @@ def fresh_keys(spark, sf_dir):
 
 
 def option_expansion(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     options = F.array(*map(F.lit, ("small", "small ring", "ring", "red", "bolt", "hot", "gear")))
-    return p.select("p_partkey", F.array_join(O.expanded_options(F.col("p_name"), options).cast("array<string>"), ",").alias("options"))
+    return per_value(p, "p_name", {"options": F.array_join(O.expanded_options(F.col("p_name"), options).cast("array<string>"), ",")}).select("p_partkey", "options")
 
 
 def compared_forms(spark, sf_dir):

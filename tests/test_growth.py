@@ -283,3 +283,11 @@ def test_a_reading_that_repeats_is_repaired_once(spark, tmp_path):
     rows = found.collect()
     assert len(rows) == 2000 and {r["p_partkey"] for r in rows} == set(range(2000))
     assert all((r["fixed"] is None) == (r["p_partkey"] % 3 == 2) for r in rows)
+
+
+def test_an_answer_that_repeats_is_expanded_once(spark, tmp_path):
+    from quillmend.plans import forms
+
+    found = forms.option_expansion(spark, parts(spark, tmp_path, 2000, ["small ring", "red bolt", "old plate", None]))
+    assert 0 < python_rows(found) <= 10
+    assert Counter(r["options"] for r in found.collect()) == {"1": 500, "3,4": 500, None: 1000}
