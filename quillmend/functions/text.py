@@ -1,7 +1,8 @@
 """Normalising, repairing and judging noisy text, as Column functions.
 
 Everything is a built-in expression except NFKC, edge trimming, runs of
-look-alike katakana and sequence ratios, which have none and run as Arrow UDFs.
+look-alike katakana, sequence ratios and counts of characters by class, which have
+none (or a slow one) and run as Arrow UDFs.
 Null in, null out.
 """
 
@@ -9,14 +10,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 # Script ranges.
 HIRAGANA, KATAKANA, KANJI = "ぁ-ゟ", "ァ-ヿ", "㐀-鿿豈-﫿"
@@ -65,7 +67,7 @@ def best_ratios(words: pd.Series, known: pd.Series) -> pd.Series:
         return SequenceMatcher(None, w, k).ratio()
 
     def one(these: Sequence[str], those: Sequence[str]) -> list[float]:
-        return [max((SequenceMatcher(None, w, k).ratio() for k in those if w and k), default=0.0) for w in these]
+        return [max((ratio(w, k) for k in those if w and k), default=0.0) for w in these]
 
     return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(words, known)])
 
@@ -269,13 +271,51 @@ def pair_array(pairs: Mapping[str, str]) -> Column:
 PLAUSIBLE = f"[^{JAPANESE}0-9０-９a-zA-Zａ-ｚＡ-Ｚ\\s、。・（）()「」『』〔〕：:；;／/＋+－\\-.,％%℃㎎㎏㎜㎝ー～〜]"
 
 
+class CharacterCounts:
+    """How many characters of a text are in each of some classes, given as patterns of one character."""
+
+    KNOWN = 1 << 16
+
+    def __init__(self, patterns: tuple[str, ...]):
+        self.patterns = [re.compile(p, re.ASCII) for p in patterns]  # as in the JVM, \s and \d are of ASCII
+        self.held = np.array([self._row(chr(c)) for c in range(128)], np.int64)
+        self.more: np.ndarray | None = None
+
+    def _row(self, char: str) -> list[bool]:
+        return [p.fullmatch(char) is not None for p in self.patterns]
+
+    def of(self, text: str) -> list[int]:
+        """The length, and the number of each class."""
+        if text.isascii():
+            return [len(text), *(np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=128) @ self.held).tolist()]
+        if self.more is None:
+            self.more = np.array([self._row(chr(c)) for c in range(self.KNOWN)], np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        high = codes[codes >= self.KNOWN]
+        counts = np.bincount(codes[codes < self.KNOWN].astype(np.int64))
+        sums = counts @ self.more[: len(counts)]
+        for c in high.tolist():
+            sums = sums + np.array(self._row(chr(c)), np.int64)
+        return [len(text), *sums.tolist()]
+
+
+def character_counts(text: Column, *patterns: str) -> Column:
+    """A text's length and how many of its characters each pattern of one character fits, as an array."""
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counts = CharacterCounts(patterns)
+        for values in batches:
+            yield pd.Series([None if v is None else counts.of(v) for v in values], dtype=object)
+
+    return counted(text)
+
+
 def script_score(text: Column, script: str = JAPANESE, implausible: str = PLAUSIBLE) -> Column:
     """How much text looks like the script, 0 to 1: plausible characters and those of the script; mostly digits count as plausible."""
-    t = F.trim(text)
-    n = F.length(t)
-    valid = F.length(F.regexp_replace(t, f"{implausible}+", "")) / n
-    own = F.length(F.regexp_replace(t, f"[^{script}]+", "")) / n
-    digits = F.length(F.regexp_replace(t, r"[^0-9０-９]+", ""))
+    counts = character_counts(F.trim(text), implausible, f"[{script}]", "[0-9０-９]")
+    n, digits = counts[0], counts[3]
+    valid, own = (n - counts[1]) / n, counts[2] / n
     mixed = F.least(F.lit(1.0), valid * 0.6 + F.least(own * 2, F.lit(1.0)) * 0.4)
     return F.when(text.isNull(), None).when(n == 0, 1.0).otherwise(F.round(F.when(digits >= n * 0.6, valid).otherwise(mixed), 3))
 

@@ -291,3 +291,28 @@ def test_an_answer_that_repeats_is_expanded_once(spark, tmp_path):
     found = forms.option_expansion(spark, parts(spark, tmp_path, 2000, ["small ring", "red bolt", "old plate", None]))
     assert 0 < python_rows(found) <= 10
     assert Counter(r["options"] for r in found.collect()) == {"1": 500, "3,4": 500, None: 1000}
+
+
+def test_script_scores_equal_those_of_patterns(spark):
+    from quillmend.functions import text as T
+
+    def by_patterns(text, script, implausible):
+        t = F.trim(text)
+        n = F.length(t)
+        valid, own = F.length(F.regexp_replace(t, f"{implausible}+", "")) / n, F.length(F.regexp_replace(t, f"[^{script}]+", "")) / n
+        mixed = F.least(F.lit(1.0), valid * 0.6 + F.least(own * 2, F.lit(1.0)) * 0.4)
+        digits = F.length(F.regexp_replace(t, r"[^0-9０-９]+", ""))
+        return F.when(text.isNull(), None).when(n == 0, 1.0).otherwise(F.round(F.when(digits >= n * 0.6, valid).otherwise(mixed), 3))
+
+    rng = random.Random(15)
+    signs = "ab zZ09５%\t\n\x0b\x85\xa0\u3000。漢字カひé𠀋😀|~[]^-_&"
+    texts = ["", "  ", "12 34", "😀", None, *("".join(rng.choice(signs) for _ in range(rng.randrange(1, 40))) for _ in range(300))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for script, implausible in (("a-z", r"[^a-zA-Z0-9\s.,;:()/%+\-]"), (T.JAPANESE, T.PLAUSIBLE)):
+        assert rows.filter(~T.script_score(F.col("t"), script, implausible).eqNullSafe(by_patterns(F.col("t"), script, implausible))).count() == 0
+
+
+def test_script_scores_need_no_pattern_over_whole_texts(spark, sf_dir):
+    from quillmend.plans import text
+
+    assert "regexp_replace" not in text.script_score(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
