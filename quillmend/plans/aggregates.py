@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quillmend.operators import evaluation as E
-from quillmend.sources.tables import table
+from quillmend.sources.tables import dealt, table
 
 
 def weighted_vote(spark, sf_dir):
@@ -84,8 +84,11 @@ def ensemble_pick(spark, sf_dir):
 
 
 def token_lines(spark, sf_dir):
-    """Rebuild the lines of documents from their words."""
-    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).select("doc_id", "line", F.posexplode(F.split("l", " ")).alias("ord", "token"))
+    """Rebuild the lines of documents from their words.
+
+    Documents are dealt out by the key of both groupings before they become words, so that no word is shuffled, and few enough to a task that its words are put in order in memory.
+    """
+    w = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 2000).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l")).select("doc_id", "line", F.posexplode(F.split("l", " ")).alias("ord", "token"))
     return E.rebuild_lines(w.withColumn("confidence", F.length("token") / 10.0), ["doc_id"], "line", "ord", "token", "confidence").select("doc_id", F.md5("text").alias("text_md5"), "lines", F.round("confidence", 4).alias("confidence"))
 
 

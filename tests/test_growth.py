@@ -316,3 +316,16 @@ def test_script_scores_need_no_pattern_over_whole_texts(spark, sf_dir):
     from quillmend.plans import text
 
     assert "regexp_replace" not in text.script_score(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_not_shuffled(spark, tmp_path):
+    from quillmend.plans import aggregates
+
+    k = F.col("id")
+    text = F.concat_ws("\n", F.concat_ws(" ", F.lit("a"), k.cast("string"), F.lit("c")), F.lit("d e"))
+    spark.range(500).select(k.alias("doc_id"), text.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = aggregates.token_lines(spark, str(tmp_path))
+    rows = found.collect()
+    assert len(rows) == 500 and {r["lines"] for r in rows} == {2}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange ") == 1
