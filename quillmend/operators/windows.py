@@ -140,11 +140,11 @@ def split_records(rows: DataFrame, key: str, ordinal: str, page: str) -> DataFra
     return g.select(key, F.explode(F.aggregate("b", start, step, lambda a: a["out"])).alias("r")).select(key, F.col("r.o").alias(ordinal), F.col("r.record").alias("record"))
 
 
-def reading_order(rows: DataFrame, key: str, top: str, left: str, height: str) -> DataFrame:
-    """Position of boxes in reading order: rows of 0.7 median heights, then left to right."""
+def reading_order(rows: DataFrame, key: str, top: str, left: str, height: str, item: str | None = None) -> DataFrame:
+    """Position of boxes in reading order: rows of 0.7 median heights, then left to right; boxes at one place by item, if given."""
     median = rows.groupBy(key).agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {height})").alias("__med"))
     line = F.round(F.col(top) / (F.col("__med") * 0.7))
-    return rows.join(median, key).withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(line, left, top))).drop("__med")
+    return rows.join(median, key).withColumn("position", F.row_number().over(W.partitionBy(key).orderBy(line, left, top, *([item] if item else [])))).drop("__med")
 
 
 def next_to_check(rows: DataFrame, key: str, ordinal: str, needs: Column) -> DataFrame:

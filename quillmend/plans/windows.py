@@ -81,7 +81,7 @@ def record_splitter(spark, sf_dir):
 
 def reading_order(spark, sf_dir):
     s = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("top"), (F.col("p_partkey") * 37 % 1001).alias("left"), F.col("p_size").cast("double").alias("h"))
-    return O.reading_order(s, "p_brand", "top", "left", "h").select("p_partkey", "position")
+    return O.reading_order(s, "p_brand", "top", "left", "h", "p_partkey").select("p_partkey", "position")
 
 
 def next_to_check(spark, sf_dir):

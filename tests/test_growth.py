@@ -329,3 +329,11 @@ def test_words_are_not_shuffled(spark, tmp_path):
     assert len(rows) == 500 and {r["lines"] for r in rows} == {2}
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange ") == 1
+
+
+def test_boxes_at_one_place_are_read_in_order_of_their_keys(spark):
+    from quillmend.operators import windows
+
+    rows = spark.range(40).select(F.lit("p").alias("page"), (39 - F.col("id")).alias("box"), F.lit(5.0).alias("top"), F.lit(7.0).alias("left"), F.lit(2.0).alias("h")).repartition(5)
+    got = windows.reading_order(rows, "page", "top", "left", "h", "box").collect()
+    assert {r["box"]: r["position"] for r in got} == {i: i + 1 for i in range(40)}
