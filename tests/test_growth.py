@@ -337,3 +337,32 @@ def test_boxes_at_one_place_are_read_in_order_of_their_keys(spark):
     rows = spark.range(40).select(F.lit("p").alias("page"), (39 - F.col("id")).alias("box"), F.lit(5.0).alias("top"), F.lit(7.0).alias("left"), F.lit(2.0).alias("h")).repartition(5)
     got = windows.reading_order(rows, "page", "top", "left", "h", "box").collect()
     assert {r["box"]: r["position"] for r in got} == {i: i + 1 for i in range(40)}
+
+
+def test_no_phrases_at_all():
+    from quillmend.operators import matching as M
+
+    near = M.NearPhrases([], 0.8, 0.7)
+    assert not [i for line in ("", "a", "abcdefgh") for i in near.candidates(line).tolist()]
+
+
+def test_phrases_of_near_copies_are_found_and_few_others_held_against_lines(monkeypatch):
+    from quillmend.operators import matching as M
+
+    rng = random.Random(16)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "en", "to", "of ", "it", "is ", "or", "es", " "]
+    made = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    phrases = [made(rng.randrange(8, 150)) for _ in range(600)] + ["th", "é", "th😀er"]
+    changed = lambda p, share: "".join(rng.choice(["", "e", "ex", "漢"]) if rng.random() < share else c for c in p)
+    lines = [changed(p, share) for p in rng.sample(phrases, 30) for share in (0.05, 0.2)] + [made(80) for _ in range(20)]
+    near, held, true = M.NearPhrases(phrases, 0.8, 0.7), [], M.near_stretch
+    wanted = []
+    for line in lines:
+        fits = [i for i, p in enumerate(phrases) if min(len(p), len(line)) >= 0.7 * max(len(p), len(line), 1)]
+        grams = lambda t: {t[k : k + 2] for k in range(len(t) - 1)}
+        shares = lambda p: 2 * len(grams(p) & grams(line)) >= near.alike * (len(grams(p)) + len(grams(line)))
+        close = lambda p: true(M.character_masks(p), len(p), line, (1 - near.alike) * (len(p) + 2))
+        wanted.append({i for i in fits if shares(phrases[i]) or close(phrases[i])})
+    monkeypatch.setattr(M, "near_stretch", lambda *a: held.append(1) or true(*a))
+    assert [set(near.candidates(line).tolist()) for line in lines] == wanted and sum(map(len, wanted)) > 30
+    assert len(held) <= sum(map(len, wanted)) + 4 * len(lines)
